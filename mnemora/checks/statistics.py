@@ -98,7 +98,8 @@ def profile_stats(t):
     return stats.profile_stats(t.preferences)
 
 
-@query("last_runs", """SELECT tenant_id, max(ts) AS last_run, arg_max(CASE action WHEN 'share' THEN 'completed' WHEN 'pull' THEN 'failed' ELSE 'skipped' END, (ts, id)) AS last_status FROM sharing_events JOIN (SELECT 1) ON TRUE GROUP BY user_id, tenant_id""".replace("tenant_id, max", "user_id AS tenant_id, max").replace("GROUP BY user_id, tenant_id", "GROUP BY user_id"))
+@query("last_runs", """SELECT user_id AS tenant_id, max(ts) AS last_run, arg_max(CASE action WHEN 'share' THEN 'completed' WHEN 'pull' THEN 'failed' ELSE 'skipped' END, (ts, id)) AS last_status
+FROM sharing_events GROUP BY user_id""")
 def last_runs(t):
     return stats.last_runs(induction_runs(t)).select("tenant_id", "last_run", "last_status")
 

@@ -103,7 +103,8 @@ def strip_envelope(text: Column) -> Column:
     letters = F.array_join(F.transform(rows, kind), "")
     skipped = F.regexp_replace(letters, r"H|\G(?<=[HT])T", "x")
     skipped = F.split(F.regexp_replace(skipped, r"(?<=x)B", "x"), "")
-    return strip_end(F.array_join(F.filter(rows, lambda line, i: skipped[i] != "x"), "\n"))
+    kept = F.zip_with(rows, skipped, lambda line, mark: F.when(mark != "x", line))
+    return strip_end(F.array_join(F.array_compact(kept), "\n"))
 
 
 def user_request(text: Column) -> Column:

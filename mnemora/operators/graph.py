@@ -173,46 +173,44 @@ def graph_nodes(memories: DataFrame, edges: DataFrame, min_importance: float = 0
 def chain_tail(memories: DataFrame, relations: DataFrame) -> DataFrame:
     """(id, tail_id): end of the first ``continued_by`` link, followed to the last memory.
 
-    Pointer doubling: each round joins the jump table with itself, so a chain of n links takes log2 n rounds. In a
-    cycle the walk stops at the last memory before the first one would be visited again.
+    Pointer doubling: each round joins the jump table with itself, so a chain of n links takes log2 n rounds. A walk
+    into a cycle ends on the memory that links back to where the cycle was entered.
     """
     ids = memories.select("id")
     first = relations.filter("relation_type = 'continued_by'").groupBy("src_id").agg(F.min("target_id").alias("next"))
-    linked = first.join(ids.withColumnRenamed("id", "next"), "next", "left_semi").filter("src_id <> next")
-    jumps = ids.join(linked.withColumnRenamed("src_id", "id"), "id", "left").select(
-        "id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("bigint").alias("steps"))
-    total = None
-    while True:
+    links = first.join(ids.withColumnRenamed("id", "next"), "next", "left_semi").filter("src_id <> next").select(
+        F.col("src_id").alias("id"), "next")
+    links = cut_lineage(links)
+    walked, loops = _walk(ids, links)
+    if not loops:
+        return walked.select("id", F.col("at").alias("tail_id"))
+    on_cycle = cut_lineage(walked.filter("turning").select("at").distinct())
+    entries, _ = _walk(ids, links.join(on_cycle.withColumnRenamed("at", "id"), "id", "left_anti"))
+    back = links.join(on_cycle.withColumnRenamed("at", "id"), "id", "left_semi").select(
+        F.col("id").alias("_before"), F.col("next").alias("at"))
+    back = back.join(on_cycle, "at", "left_semi")
+    return entries.join(back, "at", "left").select("id", F.coalesce("_before", "at").alias("tail_id"))
+
+
+def _walk(ids: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, at, turning) where every walk has ended, or has made more steps than there are links: it turns in a cycle."""
+    bound = links.count()
+    jumps = cut_lineage(ids.join(links, "id", "left").select(
+        "id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("bigint").alias("steps")))
+    span = 1
+    while span <= bound:
         far = jumps.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"))
-        moved = jumps.join(far, "at").select("id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), "_steps")
+        moved = jumps.join(far, "at").select(
+            "id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"),
+            (F.col("_steps") > 0).alias("_moved"))
         moved = cut_lineage(moved)
-        progress = moved.agg(F.count_if(F.col("_steps") > 0).alias("n"), F.count("*").alias("all")).first()
-        jumps = moved.drop("_steps")
-        if progress["n"] == 0:
+        span *= 2
+        jumps = moved.drop("_moved")
+        if moved.filter("_moved").limit(1).count() == 0:
             break
-        total = progress["all"]
-        if jumps.filter(F.col("steps") > total).limit(1).count():
-            break  # only cycles walk further than there are memories
-    looped = jumps.filter(F.col("steps") > total) if total else None
-    if looped is None:
-        return jumps.select("id", F.col("at").alias("tail_id"))
-    return _cut_cycles(jumps.filter(F.col("steps") <= total), looped, linked)
-
-
-def _cut_cycles(ended: DataFrame, looped: DataFrame, linked: DataFrame) -> DataFrame:
-    """Walks that run into a cycle end on the last memory not seen before: the one that links back to the entry."""
-    walk = looped.select("id", F.col("id").alias("at"), F.array("id").alias("seen"))
-    step = linked.select(F.col("src_id").alias("at"), "next")
-    done = None
-    while True:
-        nxt = walk.join(step, "at").withColumn("again", F.array_contains("seen", F.col("next")))
-        stop = nxt.filter("again").select("id", F.col("at").alias("tail_id"))
-        done = stop if done is None else done.unionByName(stop)
-        walk = cut_lineage(nxt.filter("NOT again").select(
-            "id", F.col("next").alias("at"), F.array_append("seen", F.col("next")).alias("seen")))
-        if walk.limit(1).count() == 0:
-            break
-    return ended.select("id", F.col("at").alias("tail_id")).unionByName(done)
+    turning = F.col("steps") > bound
+    walked = jumps.withColumn("turning", turning)
+    return walked, walked.filter("turning").limit(1).count() > 0
 
 
 def chain_members(roots: DataFrame, relations: DataFrame, memories: DataFrame, depth: int = 5) -> DataFrame:

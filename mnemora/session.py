@@ -39,3 +39,9 @@ def take_bounded(df: DataFrame, bound: int):
     """Rows of ``df`` when there are at most ``bound``, else None. Never moves more than bound + 1 rows."""
     rows = df.limit(bound + 1).toArrow()
     return rows if rows.num_rows <= bound else None
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by ``key`` when a heavy scan would leave cores idle; inputs with enough partitions stay in place."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
