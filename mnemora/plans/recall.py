@@ -49,22 +49,18 @@ class RecallResult:
 def recall(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relations: DataFrame, as_of,
            max_results: int = 5, phase2_factor: int = 1, settings: Settings = Settings(),
            reranked: DataFrame | None = None, verdicts: DataFrame | None = None) -> RecallResult:
-    """``queries``: query_id, query_text, embedding, access_keys, project_path, project_tags, keywords, gate_yes.
-
-    The minimum score differs by query, so the search runs with the lowest one and the cut is made per query.
-    """
+    """``queries``: query_id, query_text, embedding, access_keys, project_path, project_tags, keywords, gate_yes."""
     ready = prepare(queries, settings.strategy not in ("loose", "none"))
-    lowest = replace(settings, limit=max_results, min_score=0.0)
+    few = replace(settings, limit=max_results)
     tagged = ready.filter(F.size("project_tags") > 0)
     project = search(tagged.withColumn("tags", F.col("project_tags")), memories, vectors, relations, as_of,
-                     reranked, verdicts, lowest).results
+                     reranked, verdicts, few).results
     everywhere = search(ready.drop("tags"), memories, vectors, relations, as_of, reranked, verdicts,
-                        replace(lowest, limit=max_results * phase2_factor)).results
+                        replace(settings, limit=max_results * phase2_factor)).results
 
     def ranked(df: DataFrame) -> DataFrame:
-        kept = df.join(ready.select("query_id", "min_score"), "query_id").filter(F.col("score") >= F.col("min_score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")
-        return kept.select("query_id", "memory_id", "score", F.row_number().over(order).alias("rank"))
+        return df.select("query_id", "memory_id", "score", F.row_number().over(order).alias("rank"))
 
     asked = ready.select("query_id", F.lit(max_results).alias("max_results"), (F.size("project_tags") > 0).alias("has_project_tags"))
     found = ranking.two_phase_recall(ranked(project), ranked(everywhere), asked)

@@ -155,16 +155,21 @@ def length_normalize(candidates: DataFrame) -> DataFrame:
 def diversity(candidates: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Halves, once, the score of a row whose content is nearly that of a better one; then the best ``limit`` rows."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")
-    ranked = candidates.withColumn("_rank", F.row_number().over(order))
-    # token sets once per memory, then per query
-    sets = ranked.select("memory_id", "content").dropDuplicates(["memory_id"]).select(
+    keyed = candidates.select("memory_id", "content").dropDuplicates(["memory_id"]).select(
         "memory_id", tx.content_set(F.col("content")).alias("tokens"))
-    rows = ranked.select("query_id", "memory_id", F.col("_rank").alias("id")).join(sets, "memory_id").drop("memory_id")
-    alike = set_join.pairs_within(rows, ["query_id"], s.same_text).select(
-        "query_id", F.col("b").alias("_rank")).distinct().withColumn("_alike", F.lit(True))
-    judged = ranked.join(alike, ["query_id", "_rank"], "left")
-    halved = judged.withColumn("score", F.when(F.col("_alike"), F.col("score") * s.same_text_factor).otherwise(F.col("score")))
-    return top_n(halved, ["query_id"], [F.desc("score"), F.col("memory_id")], s.limit).drop("_rank", "_alike")
+    keyed = cut_lineage(keyed.withColumn("set_key", set_join.set_key(F.col("tokens"))))
+    # similar texts are found once for all queries
+    sets = set_join.distinct_sets(keyed, [])
+    near = set_join.similar_sets(sets, sets, [], s.same_text).filter("left_key <> right_key")
+    ranked = candidates.withColumn("_rank", F.row_number().over(order)).join(keyed.select("memory_id", "set_key"), "memory_id")
+    best = ranked.groupBy("query_id", "set_key").agg(F.min("_rank").alias("_best"))
+    better = best.select("query_id", F.col("set_key").alias("right_key"), F.col("_best").alias("_near"))
+    nearest = best.join(near.withColumnRenamed("left_key", "set_key"), "set_key").join(
+        better, ["query_id", "right_key"]).groupBy("query_id", "set_key").agg(F.min("_near").alias("_near"))
+    judged = ranked.join(best.join(nearest, ["query_id", "set_key"], "left"), ["query_id", "set_key"])
+    alike = F.least("_best", "_near") < F.col("_rank")
+    halved = judged.withColumn("score", F.when(alike, F.col("score") * s.same_text_factor).otherwise(F.col("score")))
+    return top_n(halved, ["query_id"], [F.desc("score"), F.col("memory_id")], s.limit).drop("_rank", "_best", "_near", "set_key")
 
 
 def apply_relevance(candidates: DataFrame, verdicts: DataFrame | None, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +205,7 @@ def search(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relation
            active_only: bool = False) -> SearchResult:
     """All stages for all queries.
 
-    ``queries``: query_id, query_text, embedding, access_keys, project_path [, tags]. The legs are the heavy part; their
+    ``queries``: query_id, query_text, embedding, access_keys, project_path [, tags, min_score]. The legs are the heavy part; their
     fusion is checkpointed, so the stages behind it, which read their input more than once, do not repeat the legs.
     """
     s = settings
@@ -214,7 +219,11 @@ def search(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relation
         tags = tag_leg(vector.select("query_id", "memory_id").unionByName(text.select("query_id", "memory_id")), queries, memories)
     fused = cut_lineage(rrf_fuse(vector, text, tags, memories, s))
     normal = ranking.minmax(fused)
-    scored = min_score_filter(normal, s.min_score)
+    if "min_score" in queries.columns:
+        asked = queries.select("query_id", "min_score")
+        scored = normal.join(asked, "query_id").filter(F.col("score") >= F.col("min_score")).drop("min_score")
+    else:
+        scored = min_score_filter(normal, s.min_score)
     capped = ranking.topk_cap(scored, s.limit * s.cap_factor)
     expanded = expand(capped, relations, memories)
     blended = text_floor(blend_rerank(expanded, reranked, s.rerank_share), s)
