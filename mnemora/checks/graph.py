@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, graph, reconcile
 from .registry import query
-from .texts import tri_set_sql
+from .texts import norm_sql
 
 ACCESS = """owned AS (SELECT owner_id AS user_id, space_id, 'owner' AS role FROM spaces UNION ALL SELECT user_id, space_id, role FROM space_members),
 access AS (SELECT user_id, space_id, space_type, role, CASE space_type WHEN 'personal' THEN 1.0::DOUBLE WHEN 'team' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS weight,
@@ -196,17 +196,23 @@ def merge_refused(t):
     return merge_input(t)[2]
 
 
-FUZZY = f"""ft AS (SELECT fact_id, tenant_id, unnest({tri_set_sql('l0_abstract')}) AS g FROM facts), mt AS (SELECT id, tenant_id, unnest({tri_set_sql('l0_abstract')}) AS g FROM memories),
+def trigram_rows(source, columns):
+    """Distinct trigrams of normalised abstracts; an empty set has the one token ''."""
+    return f"""(SELECT {columns}, unnest(CASE WHEN length(s) < 3 THEN [''] ELSE list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) END) AS g
+  FROM (SELECT *, {norm_sql('l0_abstract')} AS s FROM {source}))"""
+
+
+FUZZY = f"""ft AS {trigram_rows('facts', 'fact_id, tenant_id')}, mt AS {trigram_rows('memories', 'id, tenant_id')},
 fn AS (SELECT fact_id, count(*) AS n FROM ft GROUP BY 1), mn AS (SELECT id, count(*) AS n FROM mt GROUP BY 1),
 sim AS (SELECT ft.tenant_id, fact_id, id, count(*) / (any_value(fn.n) + any_value(mn.n) - count(*))::DOUBLE AS similarity FROM ft JOIN mt USING (tenant_id, g) JOIN fn USING (fact_id) JOIN mn USING (id) GROUP BY 1, 2, 3)"""
 
 
-@query("fuzzy_join", f"WITH {FUZZY} SELECT tenant_id, fact_id, id AS memory_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY similarity DESC, id) AS rn FROM sim WHERE similarity > 0.25) WHERE rn = 1")
+@query("fuzzy_join", f"WITH {FUZZY} SELECT tenant_id, fact_id, id AS memory_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY similarity DESC, id) AS rn FROM sim WHERE similarity > 0.4) WHERE rn = 1")
 def fuzzy_join(t):
-    return reconcile.fuzzy_join(t.facts, t.memory, 0.25).withColumn("similarity", F.round("similarity", 6))
+    return reconcile.fuzzy_join(t.facts, t.memory, 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("fuzzy_pairs", f"""WITH f AS (SELECT batch_id, fact_index, unnest({tri_set_sql('l0_abstract')}) AS g FROM facts), n AS (SELECT batch_id, fact_index, count(*) AS n FROM f GROUP BY 1, 2)
+@query("fuzzy_pairs", f"""WITH f AS {trigram_rows('facts', 'batch_id, fact_index')}, n AS (SELECT batch_id, fact_index, count(*) AS n FROM f GROUP BY 1, 2)
 SELECT a.batch_id, a.fact_index AS a, b.fact_index AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*))::DOUBLE, 6) AS similarity FROM f a JOIN f b ON a.batch_id = b.batch_id AND a.g = b.g AND a.fact_index < b.fact_index
  JOIN n x ON x.batch_id = a.batch_id AND x.fact_index = a.fact_index JOIN n y ON y.batch_id = b.batch_id AND y.fact_index = b.fact_index GROUP BY 1, 2, 3 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*))::DOUBLE > 0.2""")
 def fuzzy_pairs(t):

@@ -78,14 +78,18 @@ def sharing_days(t):
 
 
 @query("agent_stats", f"""WITH {TOP.format(by='owner_agent_id')},
-s AS (SELECT owner_agent_id, CASE WHEN space_id = '' THEN 'default' ELSE space_id END AS space, count(*) AS n, max(created_s) AS last_s FROM memories GROUP BY 1, 2),
-f AS (SELECT owner_agent_id, sum(n)::BIGINT AS memories, max(last_s) AS last_s, string_agg(space || ':' || n, '|' ORDER BY space) AS by_space FROM s GROUP BY 1),
+f AS (SELECT owner_agent_id, count(*) AS memories, max(created_s) AS last_s FROM memories GROUP BY 1),
 h AS (SELECT agent_id AS owner_agent_id, count(*) AS shares FROM sharing_events WHERE action IN ('share', 'batch_share') GROUP BY 1)
-SELECT owner_agent_id, memories, last_s, by_space, top_categories, coalesce(shares, 0) AS shares FROM f JOIN top USING (owner_agent_id) LEFT JOIN h USING (owner_agent_id)""")
+SELECT owner_agent_id, memories, last_s, top_categories, coalesce(shares, 0) AS shares FROM f JOIN top USING (owner_agent_id) LEFT JOIN h USING (owner_agent_id)""")
 def agent_stats(t):
     return stats.agent_stats(t.memory, t.sharing_events).withColumn("last_s", F.unix_seconds("last_active")).drop("last_active")
 
 
+@query("agent_spaces", "SELECT owner_agent_id, CASE WHEN space_id = '' THEN 'default' ELSE space_id END AS space, count(*) AS n FROM memories GROUP BY 1, 2")
+def agent_spaces(t):
+    return stats.agent_spaces(t.memory)
+
+
 @query("session_groups", """SELECT session_id, count(*) AS recalls, count(*) FILTER (recall_type = 'auto') AS auto, count(*) FILTER (recall_type = 'manual') AS manual,
  max(ts) AS last_ts, arg_max(query_text, (ts, event_id)) AS latest_query FROM recall_events GROUP BY session_id""")
 def session_groups(t):

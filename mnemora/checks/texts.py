@@ -169,11 +169,6 @@ def tri_sql(c):
     return f"list_distinct(list_transform(range(1, length({norm_sql(c)}) - 1), lambda i: substr({norm_sql(c)}, i, 3)))"
 
 
-def tri_set_sql(c):
-    """As ``tri_sql``; an empty set becomes {''}."""
-    return f"CASE WHEN length({norm_sql(c)}) < 3 THEN [''] ELSE {tri_sql(c)} END"
-
-
 @query("trigram_jaccard", f"""WITH p AS (SELECT a.fact_id, {tri_sql('a.l0_abstract')} AS x, {tri_sql('b.l0_abstract')} AS y FROM facts a JOIN facts b ON b.batch_id = a.batch_id AND b.fact_index = a.fact_index + 1)
 SELECT fact_id, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1 WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE END, 6) AS similarity FROM p""")
 def trigram_jaccard(t):

@@ -82,7 +82,7 @@ SELECT conv_id * 100 + turn AS fact_id, conv_id AS batch_id, turn AS fact_index,
 SELECT batch_id, fact_index, fact_id,
   CASE fact_id % 8 WHEN 0 THEN 'create' WHEN 1 THEN 'MERGE' WHEN 2 THEN 'SKIP' WHEN 3 THEN 'SUPERSEDE'
     WHEN 4 THEN 'SUPPORT' WHEN 5 THEN 'CONTEXTUALIZE' WHEN 6 THEN 'CONTRADICT' ELSE 'other' END AS action,
-  (fact_id * 5) % (SELECT count(*) FROM documents) AS match_id,
+  (batch_id * 13 + fact_index * 5) % (SELECT count(*) FROM documents) AS match_id,
   CASE WHEN fact_id % 3 = 0 THEN concat('merged ', l0_abstract) ELSE NULL END AS merged_content FROM facts""",
     "spaces": """
 SELECT 'team/t1' AS space_id, 'team' AS space_type, 'tenant-0' AS owner_id

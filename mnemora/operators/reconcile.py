@@ -165,8 +165,8 @@ def exact_dedup(facts: DataFrame, memories: DataFrame, candidates: DataFrame) ->
 def session_fast_merge(facts: DataFrame, memories: DataFrame, as_of, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(changed memories, remaining facts): a fact close to a memory of its session is merged into it by sections.
 
-    Pinned matches leave the fact alone. Several facts on one memory are folded in fact order by grouping on the memory;
-    a group holds the few facts of one session.
+    Pinned matches leave the fact alone. Of several facts on one memory the last in order stands: each merge starts
+    from the stored text.
     """
     match = fuzzy_join(facts, memories, threshold, ["tenant_id", "session_id"])
     kinds = memories.select(F.col("id").alias("memory_id"), "memory_type", F.col("content").alias("_old"))

@@ -130,15 +130,14 @@ def sharing_days(events: DataFrame, as_of, days: int = 30) -> DataFrame:
         F.count_if(F.col("action") == "pull").alias("pulls"))
 
 
+def agent_spaces(memories: DataFrame) -> DataFrame:
+    """Rows per owner agent and space."""
+    return memories.groupBy("owner_agent_id", space_key().alias("space")).agg(F.count("*").alias("n"))
+
+
 def agent_stats(memories: DataFrame, events: DataFrame) -> DataFrame:
-    """Per owner agent: rows, rows by space, top categories, last active, shares made."""
-    per_space = memories.groupBy("owner_agent_id", space_key().alias("space")).agg(
-        F.count("*").alias("n"), F.max("created_at").alias("last_active"))
-    facts = per_space.groupBy("owner_agent_id").agg(
-        F.sum("n").alias("memories"), F.max("last_active").alias("last_active"),
-        F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct("space", "n"))),
-            lambda e: F.concat(e["space"], F.lit(":"), e["n"].cast("string"))), "|").alias("by_space"))
+    """Per owner agent: rows, top categories, last active, shares made."""
+    facts = memories.groupBy("owner_agent_id").agg(F.count("*").alias("memories"), F.max("created_at").alias("last_active"))
     shares = events.filter(F.col("action").isin("share", "batch_share")).groupBy(
         F.col("agent_id").alias("owner_agent_id")).agg(F.count("*").alias("shares"))
     return (
