@@ -105,13 +105,13 @@ def profile_stats(t):
 @query("last_runs", """SELECT user_id AS tenant_id, max(ts) AS last_run, arg_max(CASE action WHEN 'share' THEN 'completed' WHEN 'pull' THEN 'failed' ELSE 'skipped' END, (ts, id)) AS last_status
 FROM sharing_events GROUP BY user_id""")
 def last_runs(t):
-    return stats.last_runs(induction_runs(t)).select("tenant_id", "last_run", "last_status")
+    return stats.last_runs(induction_runs(t)).select("tenant_id", F.col("last_run").cast("timestamp_ntz").alias("last_run"), "last_status")
 
 
 def induction_runs(t):
     """Sharing events stand in for induction runs of the acting user."""
     return t.sharing_events.select(
-        F.col("id").alias("run_id"), F.col("user_id").alias("tenant_id"), F.col("ts").alias("started_at"),
+        F.col("id").alias("run_id"), F.col("user_id").alias("tenant_id"), F.col("ts").cast("timestamp").alias("started_at"),
         F.when(F.col("action") == "share", "completed").when(F.col("action") == "pull", "failed").otherwise("skipped").alias("status"))
 
 

@@ -38,10 +38,14 @@ def cut(text: Column, limit: int, mark: str = "...") -> Column:
     )
 
 
+def bytes_to_text(raw: Column) -> Column:
+    """Bytes as text; what is left of a character cut in half becomes U+FFFD."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
 def cut_bytes(text: Column, keep: int) -> Column:
     """First ``keep`` bytes, without a character that would be cut in half."""
-    clipped = F.decode(F.substring(F.encode(text, "UTF-8"), 1, keep), "UTF-8")
-    return F.regexp_replace(clipped, "�+$", "")
+    return F.regexp_replace(bytes_to_text(F.substring(F.encode(text, "UTF-8"), 1, keep)), "\uFFFD+$", "")
 
 
 def total_of(text: Column, words) -> Column:
