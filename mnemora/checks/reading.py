@@ -55,15 +55,15 @@ def flatten_rules(t):
 
 
 def exports(t):
-    """One export per language and source, in both forms; entries of rows with bad labels have no id."""
+    """One export per 50 memories, in both forms; entries of rows with bad labels have no id."""
     bad = t.labels.filter("quality = 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("bad"))
     rows = t.memory.join(bad, "id", "left").select(
-        F.concat("lang_tag", F.lit("-"), "source_tag").alias("file_name"), "lang_tag",
+        F.floor(F.col("id") / 50).alias("no"),
         F.struct(F.when(F.col("bad").isNull(), F.col("id").cast("string")).alias("id"), "content", "category", "tenant_id",
                  F.when(F.col("id") % 2 == 0, F.col("owner_agent_id")).alias("agent_id"), "importance").alias("m"))
-    grouped = rows.groupBy("file_name", "lang_tag").agg(F.collect_list("m").alias("memories"))
+    grouped = rows.groupBy("no").agg(F.collect_list("m").alias("memories"))
     wrapped = F.to_json(F.struct("memories"))
-    return grouped.select("file_name", F.when(F.col("lang_tag") == "en", wrapped).otherwise(F.to_json("memories")).alias("text"))
+    return grouped.select(F.concat(F.lit("export-"), F.col("no").cast("string")).alias("file_name"), F.when(F.col("no") % 2 == 0, wrapped).otherwise(F.to_json("memories")).alias("text"))
 
 
 @query("import_json", """SELECT id::VARCHAR AS id, content, 'tenant-9' AS tenant_id, 'team/t9' AS space_id, CASE WHEN id % 2 = 0 THEN owner_agent_id ELSE 'importer' END AS agent_id, importance FROM memories
@@ -72,7 +72,7 @@ def import_json(t):
     return memories.import_json(exports(t), "tenant-9", "team/t9", "importer")[0].select("id", "content", "tenant_id", "space_id", "agent_id", "importance")
 
 
-@query("import_json_counts", """SELECT lang_tag || '-' || source_tag AS file_name, count(*) AS total, count(*) FILTER (l.doc_id IS NULL) AS stored, count(l.doc_id) AS skipped
+@query("import_json_counts", """SELECT concat('export-', id // 50) AS file_name, count(*) AS total, count(*) FILTER (l.doc_id IS NULL) AS stored, count(l.doc_id) AS skipped
  FROM memories LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0) l ON l.doc_id = id GROUP BY 1""")
 def import_counts(t):
     return memories.import_json(exports(t), "tenant-9", "team/t9")[1]
