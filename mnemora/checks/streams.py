@@ -43,7 +43,7 @@ def gate_input(t):
 
 # The oracle walks each key recursively: from a request let through to the next one 30 s later or more.
 GATE = """q AS (SELECT CASE WHEN event_type = 'error' THEN 'tenant-' || (user_id % 3) ELSE concat('tenant-', user_id % 3, ':sess-', user_id % 10) END AS gate_key, event_id AS query_id,
-   (epoch(ts)::DOUBLE // 1)::BIGINT % 20000 AS ts_s, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS similarity FROM events),
+   CAST(floor(epoch(ts)) AS BIGINT) % 20000 AS ts_s, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS similarity FROM events),
 f AS (SELECT gate_key, min(ts_s) AS ts_s FROM q GROUP BY 1),
 slots AS (SELECT gate_key, ts_s FROM f UNION ALL SELECT s.gate_key, (SELECT min(q.ts_s) FROM q WHERE q.gate_key = s.gate_key AND q.ts_s >= s.ts_s + 30) FROM slots s WHERE EXISTS (SELECT 1 FROM q WHERE q.gate_key = s.gate_key AND q.ts_s >= s.ts_s + 30)),
 firsts AS (SELECT q.gate_key, q.ts_s, min(query_id) AS query_id FROM q JOIN slots USING (gate_key, ts_s) GROUP BY 1, 2),
@@ -55,12 +55,6 @@ def recall_gate_batch(t):
     return gates.recall_gate_batch(gate_input(t))
 
 
-@query("recall_gate_stream", f"WITH RECURSIVE {GATE} SELECT gate_key, query_id, ts_s, reason = 'ok' AS allowed, reason FROM gated")
-def recall_gate_stream(t):
-    gates.use_rocksdb(t.spark)
-    return flows.drain(gates.recall_gate(gate_input(Live(t, "events"))), "append")
-
-
 def rejected(t):
     return t.embeddings.select(
         F.concat(F.lit("tenant-"), (F.col("vec_id") % 3).cast("string")).alias("tenant_id"), F.col("vec_id").alias("seq"), "embedding")
@@ -71,12 +65,6 @@ def noise_learner_batch(t):
     return gates.noise_learner_batch(rejected(t), [])
 
 
-@query("noise_learner_stream")
-def noise_learner_stream(t):
-    gates.use_rocksdb(t.spark)
-    return flows.drain(gates.noise_learner(rejected(Live(t, "embeddings")), []), "append")
-
-
 @query("stream_transcripts", f"WITH {TRANSCRIPT} SELECT session_id, line_no, uuid, content FROM parsed WHERE length(content) >= 100")
 def stream_transcripts(t):
     lines = reading.transcript_lines(Live(t, "conversations"))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import session_memory, sharing, stats, updates
 from ..operators.graph import with_hash
@@ -74,7 +75,7 @@ def stream_session_groups(events: DataFrame) -> DataFrame:
     return stats.session_groups(events)
 
 
-def drain(stream: DataFrame, mode: str, fn=None) -> DataFrame:
+def drain(stream: DataFrame, mode: str, fn=None, timeout: int = 600) -> DataFrame:
     """Process what a stream's source holds now and give the result as a table.
 
     ``fn`` maps each micro-batch. In complete and update mode the last state of the batches stands: with all input in
@@ -92,8 +93,12 @@ def drain(stream: DataFrame, mode: str, fn=None) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", check).trigger(
         availableNow=True).start()
-    query.awaitTermination()
-    done = spark.read.schema(schema.add("_batch", "int")).parquet(out)
+    try:
+        if not query.awaitTermination(timeout):
+            raise TimeoutError(f"stream did not finish within {timeout} s")
+    finally:
+        query.stop()
+    done = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(out)
     if mode == "complete":
         done = done.filter(F.col("_batch") == done.agg(F.max("_batch")).first()[0])
     return done.drop("_batch")
