@@ -55,6 +55,12 @@ def recall_gate_batch(t):
     return gates.recall_gate_batch(gate_input(t))
 
 
+@query("recall_gate_stream", f"WITH RECURSIVE {GATE} SELECT gate_key, query_id, ts_s, reason = 'ok' AS allowed, reason FROM gated")
+def recall_gate_stream(t):
+    gates.use_rocksdb(t.spark)
+    return flows.drain(gates.recall_gate(gate_input(Live(t, "events")), expire=False), "append", timeout=300)
+
+
 def rejected(t):
     return t.embeddings.select(
         F.concat(F.lit("tenant-"), (F.col("vec_id") % 3).cast("string")).alias("tenant_id"), F.col("vec_id").alias("seq"), "embedding")
@@ -65,6 +71,12 @@ def noise_learner_batch(t):
     return gates.noise_learner_batch(rejected(t), [])
 
 
+@query("noise_learner_stream")
+def noise_learner_stream(t):
+    gates.use_rocksdb(t.spark)
+    return flows.drain(gates.noise_learner(rejected(Live(t, "embeddings")), []), "append", timeout=300)
+
+
 @query("stream_transcripts", f"WITH {TRANSCRIPT} SELECT session_id, line_no, uuid, content FROM parsed WHERE length(content) >= 100")
 def stream_transcripts(t):
     lines = reading.transcript_lines(Live(t, "conversations"))

@@ -71,10 +71,14 @@ def recall_gate_batch(queries: DataFrame) -> DataFrame:
 
 
 class RecallGate(StatefulProcessor):
-    """Keeps the time of the last request let through; state expires after a day."""
+    """Keeps the time of the last request let through; with ``expire`` the store drops it after a day."""
+
+    def __init__(self, expire: bool):
+        self.expire = expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts_s bigint", FORGET_S * 1000)
+        ttl = {"ttlDurationMs": FORGET_S * 1000} if self.expire else {}
+        self.last = handle.getValueState("last", "ts_s bigint", **ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -94,10 +98,13 @@ def use_rocksdb(spark) -> None:
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def recall_gate(queries: DataFrame) -> DataFrame:
-    """Streaming gate. Needs the RocksDB state store (``use_rocksdb``)."""
+def recall_gate(queries: DataFrame, expire: bool = True) -> DataFrame:
+    """Streaming gate. Needs the RocksDB state store (``use_rocksdb``).
+
+    Expiry works on processing time, whose stream never runs dry: a run over what is there now takes ``expire=False``.
+    """
     return gate_rows(queries).groupBy("gate_key").transformWithStateInPandas(
-        RecallGate(), GATE_SCHEMA, "append", "ProcessingTime")
+        RecallGate(expire), GATE_SCHEMA, "append", "ProcessingTime" if expire else "None")
 
 
 def unit(vector) -> np.ndarray:
