@@ -1,17 +1,20 @@
 """Registered queries with the SQL they are compared with."""
 
-import importlib
-
 from . import registry
-
-for _name in (
-    "search", "graph", "ingestion", "lifecycle", "listing", "profiles", "reading", "sharing", "statistics",
-    "streams", "texts", "updates",
-):
-    try:
-        importlib.import_module(f"{__name__}.{_name}")
-    except ModuleNotFoundError as e:
-        if _name not in str(e): raise
+from . import (  # noqa: F401  (importing registers)
+    search,
+    graph,
+    ingestion,
+    lifecycle,
+    listing,
+    profiles,
+    reading,
+    sharing,
+    statistics,
+    streams,
+    texts,
+    updates,
+)
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

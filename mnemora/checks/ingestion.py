@@ -334,3 +334,13 @@ def recall(t):
         "keywords", F.lit(None).cast("array<string>")).withColumn("gate_yes", F.col("query_id") % 3 == 0)
     return recall_plan.recall(queries, t.memory, t.memory_vectors, t.memory_relations, AS_OF).verdicts.select(
         "query_id", "n", "confidence", "max_score", "gate", "reason", "should_recall")
+
+
+@query("context_blocks")
+def context_blocks(t):
+    from ..operators import profile
+    from ..plans.context import context_blocks as blocks
+    requests = t.memory_queries.select(F.concat(F.lit("q-"), F.col("query_id").cast("string")).alias("session_id"), "tenant_id", F.col("project_path").alias("project"))
+    profiles = profile.profile_text(t.preferences, requests.select("tenant_id", "project").distinct())
+    hits = cheap_legs(t)[0].filter("rank <= 5").select(F.concat(F.lit("q-"), F.col("query_id").cast("string")).alias("session_id"), "memory_id", "score")
+    return blocks(requests, t.memory, profiles, hits, AS_OF)
