@@ -4,6 +4,7 @@ from ..functions import patterns as P
 from ..functions import text as tx
 from ..functions import times
 from ..operators import chunking
+from ..session import spread
 from .registry import query
 from .views import AS_OF
 
@@ -41,7 +42,8 @@ def corpus(t):
         t.conversations.select((F.lit(1000000) + F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("body"))
     ).unionByName(t.pages.select((F.lit(9000000) + F.col("page_id")).alias("id"), F.col("html").alias("body")))
     lead = F.array(*[F.lit(l) for l in LINES])[(F.col("id") % len(LINES)).cast("int")]
-    return raw.select("id", F.concat(lead, F.lit("\n"), "body").alias("text"), lead.alias("lead"))
+    # the driver's tables are single row groups, which would leave the text rules to one core
+    return spread(raw, "id").select("id", F.concat(lead, F.lit("\n"), "body").alias("text"), lead.alias("lead"))
 
 
 def simple(name, column, sql, of=("text", "lead")):

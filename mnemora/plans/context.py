@@ -20,6 +20,7 @@ def context_blocks(requests: DataFrame, memories: DataFrame, profiles: DataFrame
 
     Newest rows are chosen once per tenant, and per (tenant, project), before they meet the requests.
     """
+    memories = memories.select("id", "tenant_id", "project_path", "visibility", "content", "created_at", "updated_at")
     newest = [F.desc("updated_at"), F.col("id")]
     common = top_n(memories.filter(in_global_scope("only")), ["tenant_id"], newest, n_global)
     shown_global = requests.join(common, "tenant_id").select("session_id", F.lit(1).alias("section"), "id", F.col("updated_at").alias("at"), "content")
