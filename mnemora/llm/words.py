@@ -64,6 +64,7 @@ class Words:
     hash: np.ndarray
     kind: np.ndarray
     first: np.ndarray
+    stems: np.ndarray | None = None
 
     @property
     def count(self) -> np.ndarray:
@@ -90,8 +91,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(column: pa.Array, classes: np.ndarray, lower: bool = False) -> Words:
-    """Cut the texts of ``column``. Works in pieces of about 64 KB of text, cut between words, so memory stays bounded."""
+def words(column: pa.Array, classes: np.ndarray, lower: bool = False, stems: tuple[int, ...] = ()) -> Words:
+    """Cut the texts of ``column``. ``stems``: also hash the first so many bytes of each word. Works in pieces of about 64 KB of text, cut between words, so memory stays bounded."""
     data, offsets = text_buffer(column)
     parts, at = [], 0
     while at < len(data):
@@ -103,14 +104,15 @@ def words(column: pa.Array, classes: np.ndarray, lower: bool = False) -> Words:
                 break
             stop = min(len(data), at + 2 * (stop - at))
         inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop, "right")]
-        parts.append(_cut(data[at:stop], inner - at, classes, lower, at))
+        parts.append(_cut(data[at:stop], inner - at, classes, lower, at, stems))
         at = stop
-    start, end, hashes, kind = (np.concatenate(x) for x in zip(*parts)) if parts else (
-        np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
-    return Words(data, start, end, hashes, kind, np.searchsorted(start, offsets))
+    start, end, hashes, kind, stem = (np.concatenate(x) for x in zip(*parts)) if parts else (
+        np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8),
+        np.zeros((0, len(stems)), np.uint64))
+    return Words(data, start, end, hashes, kind, np.searchsorted(start, offsets), stem)
 
 
-def _cut(data: np.ndarray, edges: np.ndarray, classes: np.ndarray, lower: bool, at: int):
+def _cut(data: np.ndarray, edges: np.ndarray, classes: np.ndarray, lower: bool, at: int, stems: tuple[int, ...]):
     kinds = classes[data]
     change = np.empty(len(data) + 1, bool)
     change[0] = change[-1] = True
@@ -123,7 +125,16 @@ def _cut(data: np.ndarray, edges: np.ndarray, classes: np.ndarray, lower: bool,
     up, down = _power(max(CHUNK, len(data)))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(VALUES[lower][data] * up[: len(data)], out=total[1:])
-    return start + at, end + at, mixed((total[end] - total[start]) * down[start]), kinds[start]
+    stem = np.empty((len(start), len(stems)), np.uint64)
+    for j, n in enumerate(stems):
+        stem[:, j] = mixed((total[np.minimum(start + n, end)] - total[start]) * down[start] + np.uint64(n))
+    return start + at, end + at, mixed((total[end] - total[start]) * down[start]), kinds[start], stem
+
+
+def hash_of(word: str, lower: bool = True) -> int:
+    """The hash that ``words`` gives to one word."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(mixed(np.array([(VALUES[lower][data] * _power(CHUNK)[0][: len(data)]).sum(dtype=np.uint64)]))[0])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
