@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .chunks import KEEP, Chunks
+from .chunks import Chunks
 from .common import table
 
 BLOCK = 1024
@@ -244,36 +244,18 @@ def decoded(rows: DataFrame, path: str, plain: bool = False) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-class Texts(dict):
-    """Text of each piece of ids, remembered for at most KEEP pieces. A piece begins after whole tokens, so the machine is
-    in its first state there."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) > KEEP:
-            self.clear()
-        text = self[piece] = Decoder(self.vocabulary).feed(np.frombuffer(piece, "<u4").tolist()).encode()
-        return text
-
-
 def digests(documents: DataFrame, path: str) -> DataFrame:
     """Encode, then decode the ids; columns of query op8. Ids and texts stay in the task that makes them."""
 
     def run(batches):
         vocabulary, chunks = loaded(path)
-        texts = Texts(vocabulary)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for pieces in chunks.pieces(batch["text"]):
-                ids = b"".join(pieces)
-                counts.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(b" ".join(filter(None, map(texts.__getitem__, pieces)))).hexdigest())
+            ids = chunks.encoded(batch["text"])
+            texts = (Decoder(vocabulary).feed(np.frombuffer(x, "<u4").tolist()).encode() for x in ids)
             yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()),
+                batch["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select("doc_id", "text").mapInArrow(

@@ -53,21 +53,19 @@ class Chunks(dict):
         self.update(found)
         self.update((c, b"".join(map(found.__getitem__, ps))) for c, ps in parts.items())
 
-    def pieces(self, texts: pa.Array):
-        """Ids of each text, as the list of its chunks' ids; null is empty."""
+    def encoded(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as bytes; null is empty."""
         cut = [t.split() for t in pc.fill_null(texts.cast(pa.large_binary()), b"").to_pylist()]
         new = {c for chunks in cut for c in chunks if c not in self}
         if new:
             self.learn(new)
+        out = []
         for chunks in cut:
             try:
-                yield list(map(self.__getitem__, chunks))
+                out.append(b"".join(map(self.__getitem__, chunks)))
             except KeyError:  # learning this batch put older chunks into the older generation
-                yield list(map(self._any, chunks))
-
-    def encoded(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text as bytes."""
-        return [b"".join(p) for p in self.pieces(texts)]
+                out.append(b"".join(map(self._any, chunks)))
+        return out
 
     def _any(self, chunk: bytes) -> bytes:
         return self[chunk] if chunk in self else self.old[chunk]

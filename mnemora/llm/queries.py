@@ -1,11 +1,12 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, decontaminate, quality, toxicity
+from . import bpe, chat_format, decontaminate, quality, token_files, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
     "op3_quality_classifier": quality.op3,
+    "op4_token_files": token_files.op4,
     "op5_toxicity": toxicity.op5,
     "op8_bpe_round_trip": bpe.op8,
 }
