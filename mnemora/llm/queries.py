@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, decontaminate, quality, token_files, toxicity
+from . import bpe, chat_format, decontaminate, embedding_dedup, quality, token_files, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1,
@@ -9,8 +9,10 @@ QUERIES = {
     "op4_token_files": token_files.op4,
     "op5_toxicity": toxicity.op5,
     "op8_bpe_round_trip": bpe.op8,
+    "op9_embedding_near_dedup": embedding_dedup.op9,
 }
 ORACLES = {
     "op1_chat_formatting": chat_format.OP1_SQL,
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op9_embedding_near_dedup": embedding_dedup.OP9_SQL,
 }
