@@ -8,6 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,34 @@ def numbered(df: DataFrame) -> DataFrame:
 def lowered(text: Column) -> Column:
     """A-Z as a-z, everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _bit(rid: np.ndarray, bits: int) -> np.ndarray:
+    return (rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def in_bitmap(hit: np.ndarray, bits: int, rid: np.ndarray) -> np.ndarray:
+    """Whether a row may be in the set that ``bitmap_of`` was made from; never false for one that is."""
+    return hit[_bit(rid, bits)]
+
+
+def bitmap_of(rows: DataFrame, column: str, most_bits: int):
+    """Broadcast bitmap of the hashes of a long column, of at most 2^most_bits bits, and its size in bits as a power of 2.
+
+    It only spares work: what passes is joined exactly.
+    """
+    n = rows.count()
+    bits = min(most_bits, max(14, int(8 * n).bit_length()))
+
+    def mark(batches):
+        out = np.zeros(1 << bits, bool)
+        for batch in batches:
+            out[_bit(batch[column].to_numpy(), bits)] = True
+        where = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(where >> 12), pa.array(where & 4095)], ["block", "bit"])
+
+    marks = rows.select(column).mapInArrow(mark, "block long, bit long").groupBy("block").agg(F.collect_set("bit").alias("bits"))
+    full = np.zeros(1 << bits, bool)
+    for row in marks.toLocalIterator():
+        full[(row["block"] << 12) + np.array(row["bits"], np.int64)] = True
+    return rows.sparkSession.sparkContext.broadcast(np.packbits(full).tobytes()), bits

@@ -44,7 +44,7 @@ VALUES = {False: _byte_values(False), True: _byte_values(True)}
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i < n, kept for the next call."""
     if len(_powers.get("up", ())) < n:
         for name, base in (("up", int(BASE)), ("down", pow(int(BASE), -1, 1 << 64))):
@@ -122,7 +122,7 @@ def _cut(data: np.ndarray, edges: np.ndarray, classes: np.ndarray, lower: bool,
     start, end = bounds[:-1], bounds[1:]
     keep = kinds[start] != 0
     start, end = start[keep], end[keep]
-    up, down = _power(max(CHUNK, len(data)))
+    up, down = powers(max(CHUNK, len(data)))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(VALUES[lower][data] * up[: len(data)], out=total[1:])
     stem = np.empty((len(start), len(stems)), np.uint64)
@@ -134,7 +134,7 @@ def _cut(data: np.ndarray, edges: np.ndarray, classes: np.ndarray, lower: bool,
 def hash_of(word: str, lower: bool = True) -> int:
     """The hash that ``words`` gives to one word."""
     data = np.frombuffer(word.encode(), np.uint8)
-    return int(mixed(np.array([(VALUES[lower][data] * _power(CHUNK)[0][: len(data)]).sum(dtype=np.uint64)]))[0])
+    return int(mixed(np.array([(VALUES[lower][data] * powers(CHUNK)[0][: len(data)]).sum(dtype=np.uint64)]))[0])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
