@@ -212,7 +212,12 @@ class Decoder:
 def loaded(path: str) -> tuple[Vocabulary, Chunks]:
     """Vocabulary and memory of encoded chunks, once per Python worker."""
     vocabulary = Vocabulary(path)
-    return vocabulary, Chunks(encoder(vocabulary), np.uint32)
+    return vocabulary, Chunks(encoder(vocabulary), 4)
+
+
+def split(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Bytes of each text's ids."""
+    return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def encoded(documents: DataFrame, path: str) -> DataFrame:
@@ -221,7 +226,7 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
     def run(batches):
         _, chunks = loaded(path)
         for batch in batches:
-            ids = chunks.encoded(batch["text"])
+            ids = split(*chunks.encoded(batch["text"]))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "n_tokens", "ids"])
@@ -250,7 +255,7 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     def run(batches):
         vocabulary, chunks = loaded(path)
         for batch in batches:
-            ids = chunks.encoded(batch["text"])
+            ids = split(*chunks.encoded(batch["text"]))
             texts = (Decoder(vocabulary).feed(np.frombuffer(x, "<u4").tolist()).encode() for x in ids)
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -45,7 +45,7 @@ def loaded(path: str) -> tuple[Chunks, np.dtype]:
 
     tokenizer = Tokenizer.from_file(path)
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-    return Chunks(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], kind), kind
+    return Chunks(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], kind.itemsize), kind
 
 
 class SequenceFile:
@@ -90,19 +90,18 @@ def _write(folder: str, path: str, end_id: int):
         store.create_dir(root, recursive=True)
         own = f"{root}/.{part:06d}-{uuid.uuid4().hex}"
         names = {f"{own}.arrow": f"{root}/part-{part:06d}.arrow", f"{own}.docs.arrow": f"{root}/part-{part:06d}.docs.arrow"}
-        end = np.array([end_id], kind).tobytes()
         docs = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         ids_name, docs_name = names
         n_docs = 0
         with store.open_output_stream(ids_name) as ids_sink, store.open_output_stream(docs_name) as docs_sink:
             file, index = SequenceFile(ids_sink, kind), pa.ipc.new_file(docs_sink, docs)
             for batch in batches:
-                encoded = [x + end for x in chunks.encoded(batch["text"])]
-                sizes = np.array([len(x) // kind.itemsize for x in encoded], np.int64)
+                ids, bounds = chunks.encoded(batch["text"])
+                sizes = np.diff(bounds) + 1
                 starts = file.total + np.concatenate([[0], np.cumsum(sizes)])[:-1]
                 index.write_batch(pa.RecordBatch.from_arrays(
                     [batch["doc_id"].cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes)], schema=docs))
-                file.add(np.frombuffer(b"".join(encoded), kind))
+                file.add(np.insert(ids, bounds[1:], end_id))
                 n_docs += batch.num_rows
             file.close()
             index.close()
