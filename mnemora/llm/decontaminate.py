@@ -195,9 +195,9 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 def decontaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``documents`` without shared windows; all columns are kept."""
-    clean = contamination(documents, items).where("NOT contaminated").select(F.col("rid").alias("clean_rid"))
-    rows = documents.withColumn("clean_rid", F.monotonically_increasing_id())
-    return rows.join(clean, "clean_rid", "left_semi").drop("clean_rid")
+    hit = contamination(documents, items).where("contaminated").select(F.col("rid").alias("__rid"))
+    rows = documents.withColumn("__rid", F.monotonically_increasing_id())
+    return rows.join(hit, "__rid", "left_anti").drop("__rid")
 
 
 OP2_SQL = r"""

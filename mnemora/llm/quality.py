@@ -96,8 +96,8 @@ def trained(labelled: DataFrame) -> np.ndarray:
     return np.frombuffer(found[0]["weights"]) if found else np.zeros(DIM)
 
 
-def scored(documents: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, score and every other column of ``documents``, row for row. A column named score is replaced.
+def scored(documents: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """``documents`` with the score in a last column ``name``, which replaces a column of that name; row for row.
 
     Null and empty texts have no features and score 0.5. Every row keeps its own result, so repeated rows stay.
     """
@@ -108,11 +108,17 @@ def scored(documents: DataFrame, weights: np.ndarray) -> DataFrame:
             row, place, value = features(batch["text"])
             total = np.bincount(row, held.value[place] * value, minlength=batch.num_rows)
             score = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
 
-    kept = documents.drop("score")
-    types = ", ".join(f"`{name}` {kind}" for name, kind in kept.dtypes)
-    return kept.mapInArrow(run, f"{types}, score double")
+    kept = documents.drop(name)
+    types = ", ".join(f"`{column}` {kind}" for column, kind in kept.dtypes)
+    return kept.mapInArrow(run, f"{types}, `{name}` double")
+
+
+def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``documents``, all columns, with a score of THRESHOLD or more."""
+    weights = trained(sample(documents, labels, "quality", FOLDS, HELD_OUT, SAMPLE))
+    return scored(documents, weights, "__score").where(F.col("__score") >= THRESHOLD).drop("__score")
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -188,13 +188,13 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 def shortened(documents: DataFrame) -> DataFrame:
     """``documents`` with all columns; texts that lose words are what they keep, joined by one blank, n_chars follows."""
-    rows = documents.withColumn("kept_rid", F.monotonically_increasing_id())
+    rows = documents.withColumn("__rid", F.monotonically_increasing_id())
     kept = _finished(documents, "kept string", lambda kept: kept.decode("utf-8", "replace"))
-    kept = kept.where("n_removed > 0").select(F.col("rid").alias("kept_rid"), F.col("kept").alias("kept_text"))
-    joined = rows.join(kept, "kept_rid", "left")
-    columns = {"text": F.coalesce("kept_text", "text")}
+    kept = kept.where("n_removed > 0").select(F.col("rid").alias("__rid"), F.col("kept").alias("__text"))
+    joined = rows.join(kept, "__rid", "left")
+    columns = {"text": F.coalesce("__text", "text")}
     if "n_chars" in documents.columns:
-        columns["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
+        columns["n_chars"] = F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long"))
     return joined.withColumns(columns).select(*documents.columns)
 
 
