@@ -38,7 +38,8 @@ def vector_topk_blocks(t):
     return vectors.vector_topk(with_vectors(t).select("query_id", "embedding"), rows(t), 20, query_bound=16, cell_rows=300)
 
 
-ALLOWED = """(m.visibility = 'global' OR (m.visibility = 'private' AND m.owner_agent_id = mq.agent_id)
+ALLOWED = """((m.visibility = 'global' AND m.tenant_id = mq.tenant_id)
+   OR (m.visibility = 'private' AND m.owner_agent_id = mq.agent_id AND m.tenant_id = mq.tenant_id)
    OR (m.visibility = 'shared:team/t1' AND mq.tenant_id IN ('tenant-0', 'tenant-1')))
   AND (mq.project_path IS NULL OR m.project_path IS NULL OR m.project_path = mq.project_path OR starts_with(m.project_path, mq.project_path || '/')
    OR starts_with(mq.project_path, m.project_path || '/') OR m.visibility = 'private')"""
@@ -81,8 +82,10 @@ def text_top_blocks(t):
 
 
 TEXT_LEG = f"""{TEXT_TOP},
-text_hits AS (SELECT query_id, memory_id, least(text_score, 1) AS text_score, row_number() OVER (PARTITION BY query_id ORDER BY h.text_score DESC, memory_id) AS rank
-  FROM text_top h JOIN memories m ON m.id = memory_id JOIN memory_queries mq USING (query_id) WHERE {ALLOWED})"""
+text_hits AS (SELECT query_id, memory_id, least(score, 1) AS text_score, rank FROM (
+  SELECT query_id, h.id AS memory_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, h.id) AS rank
+  FROM (SELECT query_id, id, round(max(score), 6) AS score FROM by_field GROUP BY query_id, id) h
+  JOIN memories m ON m.id = h.id JOIN memory_queries mq USING (query_id) WHERE {ALLOWED}) WHERE rank <= 60)"""
 
 
 @query("text_leg", f"WITH {TEXT_LEG} SELECT query_id, memory_id, text_score, rank FROM text_hits")

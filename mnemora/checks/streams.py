@@ -58,7 +58,7 @@ def recall_gate_batch(t):
 @query("recall_gate_stream", f"WITH RECURSIVE {GATE} SELECT gate_key, query_id, ts_s, reason = 'ok' AS allowed, reason FROM gated")
 def recall_gate_stream(t):
     gates.use_rocksdb(t.spark)
-    return flows.drain(gates.recall_gate(gate_input(Live(t, "events")), expire=False), "append", timeout=300)
+    return flows.drain(gates.recall_gate(gate_input(Live(t, "events")), expire=False), "append")
 
 
 def rejected(t):
@@ -74,7 +74,7 @@ def noise_learner_batch(t):
 @query("noise_learner_stream")
 def noise_learner_stream(t):
     gates.use_rocksdb(t.spark)
-    return flows.drain(gates.noise_learner(rejected(Live(t, "embeddings")), []), "append", timeout=300)
+    return flows.drain(gates.noise_learner(rejected(Live(t, "embeddings")), []), "append")
 
 
 @query("stream_transcripts", f"WITH {TRANSCRIPT} SELECT session_id, line_no, uuid, content FROM parsed WHERE length(content) >= 100")

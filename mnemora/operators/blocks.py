@@ -31,6 +31,43 @@ def plain(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+class Access:
+    """Which rows the queries of a table may see, by their ``access_keys`` and ``project_path`` where they have them."""
+
+    def __init__(self, queries: pa.Table):
+        names = [c for c in ("access_keys", "project_path") if c in queries.column_names]
+        self.queries = queries.select(names).to_pylist() if names else None
+        self.known: dict[tuple, np.ndarray] = {}
+
+    def _seen(self, key: str | None, path: str | None) -> np.ndarray:
+        """A query opens rows whose access key it holds and whose project path applies; private rows have no path rule."""
+        if (key, path) not in self.known:
+            def sees(query) -> bool:
+                if key is not None and key not in (query.get("access_keys") or ()):
+                    return False
+                own = query.get("project_path")
+                if own is None or not path or "private:" in (key or ""):
+                    return True
+                return path == own or path.startswith(own + "/") or own.startswith(path + "/")
+
+            self.known[key, path] = np.array([sees(q) for q in self.queries], bool)
+        return self.known[key, path]
+
+    def matrix(self, batch) -> np.ndarray | None:
+        """Queries x rows; None where nothing is filtered. Worked out once for each kind of row."""
+        columns = [batch.column(c).dictionary_encode() if c in batch.schema.names else None for c in ("access_key", "project_path")]
+        if self.queries is None or columns == [None, None]:
+            return None
+        codes, words = np.zeros(batch.num_rows, np.int64), []
+        for column in columns:
+            words.append([None] if column is None else [*column.dictionary.to_pylist(), None])
+            places = 0 if column is None else np.asarray(column.indices.fill_null(len(words[-1]) - 1))
+            codes = codes * len(words[-1]) + places
+        kinds, kind = np.unique(codes, return_inverse=True)
+        width = len(words[1])
+        return np.stack([self._seen(words[0][k // width], words[1][k % width]) for k in kinds.tolist()], axis=1)[:, kind]
+
+
 class TopRows:
     """The ``k`` best (score, id) per query among the rows offered so far; ties go to the lower id."""
 

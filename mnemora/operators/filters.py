@@ -90,6 +90,12 @@ def access_key() -> Column:
     ).otherwise(F.col("visibility"))
 
 
+def store_key() -> Column:
+    """``access_key`` within the store of a tenant; shared rows belong to their space, whoever wrote them."""
+    return F.when(F.startswith(F.col("visibility"), F.lit("shared:")), F.col("visibility")).otherwise(
+        F.concat("tenant_id", F.lit("/"), access_key()))
+
+
 def agent_keys(agents: DataFrame) -> DataFrame:
     """(agent_id, access_key) without the global key. ``agents``: agent_id, spaces array."""
     own = F.when(F.col("agent_id") != "", F.concat(F.lit("private:"), "agent_id"))

@@ -39,8 +39,8 @@ def apply_induction(preferences: DataFrame, inducted: DataFrame, as_of) -> tuple
     items = valid_preferences(inducted)
     by = ["tenant_id", "slot"]
     live = preferences.filter(F.col("status") != "deleted")
-    strongest = F.struct(F.col("confidence"), (-F.col("id")).alias("_order"))
-    same = live.groupBy(*by, "value").agg(F.max(strongest).alias("_best"))
+    strongest = F.struct((-F.col("confidence")).alias("_rank"), F.col("id"))
+    same = live.groupBy(*by, "value").agg(F.min(strongest).alias("_best"))
     exact = items.join(same, [*by, "value"]).select("item_id", "_best")
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -49,11 +49,11 @@ def apply_induction(preferences: DataFrame, inducted: DataFrame, as_of) -> tuple
 
     new, old = keyed(items), keyed(live)
     close = set_join.similar_sets(set_join.distinct_sets(new, by), set_join.distinct_sets(old, by), by, 0.6)
-    best_of = old.groupBy(*by, F.col("set_key").alias("right_key")).agg(F.max(strongest).alias("_best"))
-    per_set = close.join(best_of, [*by, "right_key"]).groupBy(*by, F.col("left_key").alias("set_key")).agg(F.max("_best").alias("_best"))
+    best_of = old.groupBy(*by, F.col("set_key").alias("right_key")).agg(F.min(strongest).alias("_best"))
+    per_set = close.join(best_of, [*by, "right_key"]).groupBy(*by, F.col("left_key").alias("set_key")).agg(F.min("_best").alias("_best"))
     similar = new.join(per_set, [*by, "set_key"]).select("item_id", "_best")
-    matched = exact.unionByName(similar).groupBy("item_id").agg(F.max("_best").alias("_best")).select(
-        "item_id", (-F.col("_best._order")).alias("preference_id"))
+    matched = exact.unionByName(similar).groupBy("item_id").agg(F.min("_best").alias("_best")).select(
+        "item_id", F.col("_best.id").alias("preference_id"))
     hits = matched.groupBy(F.col("preference_id").alias("id")).agg(F.count("*").alias("hits"))
     stamp = times.moment(as_of)
     reinforced = live.join(hits, "id").select(

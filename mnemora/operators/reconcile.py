@@ -42,7 +42,7 @@ def admission_score(facts: DataFrame, memories: DataFrame, vectors: DataFrame, a
         vectors.select(F.col("id").alias("memory_id"), "embedding"), 5, 0.0)
     best = near.join(memories.select(F.col("id").alias("memory_id"), "updated_at"), "memory_id").groupBy("query_id").agg(
         F.max("score").alias("max_similarity"),
-        F.max_by("updated_at", F.struct("score", (-F.col("memory_id")).alias("o"))).alias("_updated"))
+        F.min_by("updated_at", F.struct((-F.col("score")).alias("o"), "memory_id")).alias("_updated"))
     joined = facts.join(best.withColumnRenamed("query_id", "fact_id"), "fact_id", "left")
     similarity = F.greatest(F.coalesce("max_similarity", F.lit(0.0)), F.lit(0.0))
     idle = F.greatest(F.floor(times.seconds_between(F.col("_updated"), times.moment(as_of)) / 86400), F.lit(0))
@@ -112,7 +112,7 @@ def gather_existing(facts: DataFrame, memories: DataFrame, vectors: DataFrame, p
         sessions.join(memories.select(F.col("id").alias("memory_id"), "session_id"), "session_id"),
         ["batch_id"], [F.col("memory_id")], per_batch)
     first = of_session.select("batch_id", "memory_id", F.struct(
-        F.lit(-1).cast("bigint").alias("fact"), F.lit(0).alias("leg"), F.col("memory_id").cast("double").alias("n")).alias("place"))
+        F.lit(-1).cast("bigint").alias("fact"), F.lit(0).alias("leg"), F.lit(0.0).alias("n")).alias("place"))
     asked = facts.select(F.col("fact_id").alias("query_id"), "embedding", "project_path", F.col("l0_abstract").alias("query_text"))
     keyed = memories.select(F.col("id").alias("memory_id"), "project_path", "visibility")
     rows = vectors.select(F.col("id").alias("memory_id"), "embedding").join(

@@ -226,7 +226,7 @@ def archive_names(archives: DataFrame) -> DataFrame:
     from ..functions.columns import lines, strip
 
     line = strip(F.col("line"))
-    name = F.regexp_replace(strip(F.substring(line, 6, 1_000_000)), '^"+|"+$', "")
+    name = F.regexp_replace(strip(F.substr(line, F.lit(6))), '^"+|"+$', "")
     return archives.select("id", F.explode(lines(F.col("text"))).alias("line")).filter(
         F.startswith(line, F.lit("name:"))).select("id", name.alias("name")).filter(F.col("name") != "")
 

@@ -51,11 +51,12 @@ def merge_legs(vector: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def query_access(queries: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Adds ``access_keys``: what the agent of each query may open. ``spaces``: user_id, space_id of accessible spaces."""
+    """Adds ``access_keys``: what the agent of each query may open in the store of its tenant and in shared spaces. ``spaces``: user_id, space_id of accessible spaces."""
     shared = spaces.groupBy(F.col("user_id").alias("tenant_id")).agg(
         F.collect_set(F.concat(F.lit("shared:"), "space_id")).alias("_shared"))
     own = F.array_compact(F.array(
-        F.lit("global"), F.when(F.col("agent_id") != "", F.concat(F.lit("private:"), "agent_id"))))
+        F.concat("tenant_id", F.lit("/global")),
+        F.when(F.col("agent_id") != "", F.concat("tenant_id", F.lit("/private:"), "agent_id"))))
     return queries.join(shared, "tenant_id", "left").withColumn(
         "access_keys", F.concat(own, F.coalesce("_shared", F.array().cast("array<string>")))).drop("_shared")
 
@@ -63,23 +64,18 @@ def query_access(queries: DataFrame, spaces: DataFrame) -> DataFrame:
 def vector_leg(queries: DataFrame, memories: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, memory_id, score, rank), filtered before the top k. ``queries`` carry embedding, access_keys, project_path."""
     rows = memories.select(
-        F.col("id").alias("memory_id"), filters.access_key().alias("access_key"), "project_path"
+        F.col("id").alias("memory_id"), filters.store_key().alias("access_key"), "project_path"
     ).join(vectors.select(F.col("id").alias("memory_id"), "embedding"), "memory_id")
     hits = vector_topk(queries.select("query_id", "embedding", "access_keys", "project_path"), rows, k, 0.0)
     return ranking.rank_leg(hits.withColumn("leg", F.lit("vector"))).drop("leg")
 
 
 def text_leg(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """(query_id, memory_id, text_score, rank): filters come after the top k, as a full-text postfilter does.
+    """(query_id, memory_id, text_score, rank): the best ``k`` texts of what a query may open.
 
     The score kept for later stages is clamped to [0, 1]; ranks follow the unclamped one.
     """
-    hits = text_topk(queries, memories, k)
-    rows = memories.select(F.col("id").alias("memory_id"), filters.access_key().alias("access_key"), "visibility", "project_path")
-    asked = queries.select("query_id", "access_keys", F.col("project_path").alias("_path"))
-    seen = hits.join(rows, "memory_id").join(asked, "query_id").filter(
-        F.array_contains("access_keys", F.col("access_key"))
-        & (F.col("_path").isNull() | filters.path_applies(F.col("project_path"), F.col("visibility"), F.col("_path"))))
+    seen = text_topk(queries, memories.withColumn("access_key", filters.store_key()), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("text_score"), "memory_id")
     return seen.withColumn("rank", F.row_number().over(order)).select(
         "query_id", "memory_id", F.least(F.col("text_score"), F.lit(1.0)).alias("text_score"), "rank")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
@@ -22,16 +20,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate data goes: ``spark.checkpoint.dir``, or a folder beside the warehouse where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
 
-    Only where none is named (unit tests on one machine) a temporary folder is set.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``; without one, beside the warehouse."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -39,9 +39,3 @@ def take_bounded(df: DataFrame, bound: int):
     """Rows of ``df`` when there are at most ``bound``, else None. Never moves more than bound + 1 rows."""
     rows = df.limit(bound + 1).toArrow()
     return rows if rows.num_rows <= bound else None
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by ``key`` when a heavy scan would leave cores idle; inputs with enough partitions stay in place."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,12 @@ from pyspark.sql import types as T
 
 from ..operators import session_memory, sharing, stats, updates
 from ..operators.graph import with_hash
+from ..session import shared_folder
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a sink or checkpoint, in the shared folder the cluster names if it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for a sink or checkpoint in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, folder: str, table: str, like: DataFrame) -> DataFrame:
@@ -75,7 +74,7 @@ def stream_session_groups(events: DataFrame) -> DataFrame:
     return stats.session_groups(events)
 
 
-def drain(stream: DataFrame, mode: str, fn=None, timeout: int = 600) -> DataFrame:
+def drain(stream: DataFrame, mode: str, fn=None) -> DataFrame:
     """Process what a stream's source holds now and give the result as a table.
 
     ``fn`` maps each micro-batch. In complete and update mode the last state of the batches stands: with all input in
@@ -94,8 +93,7 @@ def drain(stream: DataFrame, mode: str, fn=None, timeout: int = 600) -> DataFram
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", check).trigger(
         availableNow=True).start()
     try:
-        if not query.awaitTermination(timeout):
-            raise TimeoutError(f"stream did not finish within {timeout} s")
+        query.awaitTermination()
     finally:
         query.stop()
     done = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(out)

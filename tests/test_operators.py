@@ -116,12 +116,15 @@ def test_overlap_keeps_all_bytes():
     assert set(rebuilt) == set(text) and parts[-1].endswith("世界")
 
 
-def test_paragraph_merge():
+def test_paragraph_merge(spark):
     old = "## 2024-05-02 10:00 deploy\nlong old body\n\n## 2024-05-01 09:00 tests\nok"
-    merged = chunking.merged_paragraphs(old, "## 2024-06-01 11:00 deploy\nshort\n## 2024-04-01 08:00 other\nnew")
-    assert merged.startswith("## 2024-04-01 08:00 other\nnew")
-    assert "## 2024-06-01 11:00 deploy\nlong old body" in merged and "2024-05-02" not in merged
-    assert chunking.merged_paragraphs("", "x") == "x" and chunking.merged_paragraphs("x", " ") == "x"
+    new = "## 2024-06-01 11:00 deploy\nshort\n## 2024-04-01 08:00 other\nnew"
+    pairs = [(old, new), ("", "x"), ("x", " "), ("intro\n## a heading\nb", "## a headings\nlonger body"), ("## first\nx", "start\n## second\ny")]
+    got = [r[0] for r in spark.createDataFrame(pairs, "old string, new string").select(
+        chunking.paragraph_merge(F.col("old"), F.col("new"))).collect()]
+    assert got[0] == ("## 2024-04-01 08:00 other\nnew\n\n## 2024-05-01 09:00 tests\nok\n\n## 2024-06-01 11:00 deploy\nlong old body")
+    assert got[1:3] == ["x", "x"]
+    assert got[3] == "intro\n\n## a headings\nlonger body" and got[4] == "start\n\n## first\nx\n\n## second\ny"
 
 
 def topic(no, title, summary, kind="WORK"):
