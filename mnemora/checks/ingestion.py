@@ -45,8 +45,8 @@ def fact_importance(t):
 
 TALK = """talk AS (SELECT conv_id AS batch_id, concat(string_agg(concat(role, ': ', content), chr(10) ORDER BY turn), chr(10)) AS conversation FROM session_messages GROUP BY 1)"""
 ADMISSION = f"""{PREPARED}, {TALK},
-nearest AS (SELECT fact_id, e.vec_id, round({SIMILAR}, 6) AS score FROM prepared f JOIN embeddings q ON q.vec_id = f.vec_id JOIN vectors e ON TRUE),
-top5 AS (SELECT * FROM (SELECT fact_id, id, score, created_s, row_number() OVER (PARTITION BY fact_id ORDER BY score DESC, id) AS rn FROM nearest JOIN memories USING (vec_id)) WHERE rn <= 5 AND score >= 0),
+nearest AS (SELECT fact_id, f.tenant_id, e.vec_id, round({SIMILAR}, 6) AS score FROM prepared f JOIN embeddings q ON q.vec_id = f.vec_id JOIN vectors e ON TRUE),
+top5 AS (SELECT * FROM (SELECT fact_id, id, score, created_s, row_number() OVER (PARTITION BY fact_id ORDER BY score DESC, id) AS rn FROM nearest JOIN memories USING (vec_id, tenant_id)) WHERE rn <= 5 AND score >= 0),
 best AS (SELECT fact_id, max(score) AS sim, arg_max(created_s, (score, -id)) AS updated_s FROM top5 GROUP BY 1),
 word_sets AS (SELECT fact_id, {word_set_sql('l0_abstract')} AS a, {word_set_sql('conversation')} AS b FROM prepared JOIN talk USING (batch_id)),
 overlap AS (SELECT fact_id, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END AS confidence FROM word_sets),
@@ -98,10 +98,11 @@ def tag_private(t):
 FACT_GRAMS = TEXT_TOP.replace("FROM memory_queries", "FROM (SELECT fact_id AS query_id, l0_abstract AS query_text FROM prepared)")
 GATHER = f"""{PREPARED}, {FACT_GRAMS},
 sess AS (SELECT batch_id, memory_id, -1 AS fact, 0 AS leg, memory_id::DOUBLE AS n FROM (SELECT batch_id, m.id AS memory_id, row_number() OVER (PARTITION BY batch_id ORDER BY m.id) AS rn
-   FROM (SELECT DISTINCT batch_id, session_id FROM prepared) JOIN memories m USING (session_id)) WHERE rn <= 50),
+   FROM (SELECT DISTINCT batch_id, session_id, tenant_id FROM prepared) JOIN memories m USING (session_id, tenant_id)) WHERE rn <= 50),
 near AS (SELECT batch_id, m.id AS memory_id, fact_index AS fact, 1 AS leg, -score AS n, row_number() OVER (PARTITION BY fact_id ORDER BY score DESC, m.id) AS rn, score
-   FROM (SELECT fact_id, batch_id, fact_index, e.vec_id, round({SIMILAR}, 6) AS score FROM prepared f JOIN embeddings q ON q.vec_id = f.vec_id JOIN vectors e ON TRUE) JOIN memories m USING (vec_id)),
-words AS (SELECT batch_id, memory_id, fact_index AS fact, 2 AS leg, -text_score AS n FROM text_top JOIN prepared ON fact_id = query_id WHERE rn <= 20),
+   FROM (SELECT fact_id, batch_id, fact_index, f.tenant_id, e.vec_id, round({SIMILAR}, 6) AS score FROM prepared f JOIN embeddings q ON q.vec_id = f.vec_id JOIN vectors e ON TRUE) JOIN memories m USING (vec_id, tenant_id)),
+words AS (SELECT batch_id, memory_id, fact_index AS fact, 2 AS leg, -s AS n FROM (SELECT query_id, b.id AS memory_id, round(max(score), 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(max(score), 6) DESC, b.id) AS rn
+   FROM by_field b JOIN memories m ON m.id = b.id JOIN prepared p ON p.fact_id = query_id AND p.tenant_id = m.tenant_id GROUP BY query_id, b.id) JOIN prepared ON fact_id = query_id WHERE rn <= 20),
 firsts AS (SELECT batch_id, memory_id, min((fact, leg, n)) AS place FROM (SELECT * FROM sess UNION ALL SELECT batch_id, memory_id, fact, leg, n FROM near WHERE rn <= 20 AND score >= 0.3 UNION ALL SELECT * FROM words) GROUP BY 1, 2),
 gathered AS (SELECT * FROM (SELECT batch_id, memory_id, row_number() OVER (PARTITION BY batch_id ORDER BY place, memory_id) AS place FROM firsts) WHERE place <= 50)"""
 

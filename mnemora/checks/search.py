@@ -38,9 +38,10 @@ def vector_topk_blocks(t):
     return vectors.vector_topk(with_vectors(t).select("query_id", "embedding"), rows(t), 20, query_bound=16, cell_rows=300)
 
 
-ALLOWED = """((m.visibility = 'global' AND m.tenant_id = mq.tenant_id)
+OPEN = """((m.visibility = 'global' AND m.tenant_id = mq.tenant_id)
    OR (m.visibility = 'private' AND m.owner_agent_id = mq.agent_id AND m.tenant_id = mq.tenant_id)
-   OR (m.visibility = 'shared:team/t1' AND mq.tenant_id IN ('tenant-0', 'tenant-1')))
+   OR (m.visibility = 'shared:team/t1' AND mq.tenant_id IN ('tenant-0', 'tenant-1')))"""
+ALLOWED = OPEN + """
   AND (mq.project_path IS NULL OR m.project_path IS NULL OR m.project_path = mq.project_path OR starts_with(m.project_path, mq.project_path || '/')
    OR starts_with(mq.project_path, m.project_path || '/') OR m.visibility = 'private')"""
 VECTOR_LEG = f"""{VECTOR_SCORES},
@@ -107,10 +108,10 @@ FUSED = """fused AS (SELECT query_id, memory_id, sum(part) * any_value(CASE WHEN
 NORMAL = """normal AS (SELECT query_id, memory_id, text_score, CASE WHEN n = 1 THEN least(1, 120 * score) WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS score
    FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, count(*) OVER w AS n FROM fused WINDOW w AS (PARTITION BY query_id)))"""
 CAPPED = """capped AS (SELECT query_id, memory_id, score, text_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rn FROM normal WHERE score >= 0.15) WHERE rn <= 40)"""
-EXPANDED = """targets AS (SELECT DISTINCT query_id, target_id AS memory_id FROM capped JOIN memory_relations ON src_id = memory_id),
+EXPANDED = f"""targets AS (SELECT DISTINCT query_id, target_id AS memory_id FROM capped JOIN memory_relations ON src_id = memory_id),
 added AS (SELECT query_id, memory_id, (SELECT min(score) * 0.8::DOUBLE FROM capped c WHERE c.query_id = a.query_id) AS score, 0::DOUBLE AS text_score FROM
-   (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id) AS rn FROM targets t JOIN memories ON id = memory_id
-     WHERE NOT EXISTS (SELECT 1 FROM capped c WHERE c.query_id = t.query_id AND c.memory_id = t.memory_id)) a WHERE rn <= 20),
+   (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id) AS rn FROM targets t JOIN memories m ON m.id = memory_id JOIN memory_queries mq USING (query_id)
+     WHERE {OPEN} AND NOT EXISTS (SELECT 1 FROM capped c WHERE c.query_id = t.query_id AND c.memory_id = t.memory_id)) a WHERE rn <= 20),
 expanded AS (SELECT query_id, memory_id, score, text_score FROM capped UNION ALL SELECT * FROM added)"""
 BASE = f"{CHEAP}, {TAG_LEG}, {FUSED}, {NORMAL}, {CAPPED}, {EXPANDED}"
 
@@ -169,7 +170,7 @@ def min_score_filter(t):
 
 @query("expand_relations", f"WITH {BASE} SELECT query_id, memory_id, round(score, 6) AS score FROM expanded")
 def expand_relations(t):
-    return rounded(retrieval.expand(cheap_capped(t), t.memory_relations, t.memory), "score")
+    return rounded(retrieval.expand(cheap_capped(t), t.memory_relations, t.memory, with_vectors(t)), "score")
 
 
 RERANK = """reranked AS (SELECT query_id, memory_id, ((query_id * 31 + memory_id * 17) % 100) / 100.0::DOUBLE AS rerank_score FROM expanded WHERE (query_id + memory_id) % 4 <> 0),
@@ -178,7 +179,7 @@ floored AS (SELECT * REPLACE (CASE WHEN text_score >= 0.75 THEN greatest(score,
 
 
 def cheap_blended(t):
-    expanded = retrieval.expand(cheap_capped(t), t.memory_relations, t.memory)
+    expanded = retrieval.expand(cheap_capped(t), t.memory_relations, t.memory, with_vectors(t))
     answers = expanded.filter("(query_id + memory_id) % 4 <> 0").select(
         "query_id", "memory_id", (((F.col("query_id") * 31 + F.col("memory_id") * 17) % 100) / 100.0).alias("rerank_score"))
     return retrieval.blend_rerank(expanded, answers)
@@ -298,11 +299,12 @@ def search_spaces(t):
 
 
 @query("cross_reconcile", f"""WITH p AS (SELECT q.vec_id AS a, e.vec_id AS b, round({SIMILAR}, 6) AS score FROM vectors q JOIN vectors e ON TRUE),
-c AS (SELECT x.id AS src_id, y.id AS target_id, score, row_number() OVER (PARTITION BY x.id ORDER BY score DESC, y.id) AS rn FROM p JOIN memories x ON x.vec_id = a JOIN memories y ON y.vec_id = b WHERE score >= 0.5)
+c AS (SELECT x.id AS src_id, y.id AS target_id, score, row_number() OVER (PARTITION BY x.id ORDER BY score DESC, y.id) AS rn FROM p JOIN memories x ON x.vec_id = a JOIN memories y ON y.vec_id = b AND y.tenant_id = x.tenant_id WHERE score >= 0.5)
 SELECT src_id, target_id, 'supports' AS relation_type, printf('similarity:%.2f', score) AS context_label FROM c WHERE rn <= 6 AND src_id <> target_id
   AND NOT EXISTS (SELECT 1 FROM memory_relations r WHERE r.src_id = c.src_id AND r.target_id = c.target_id)""")
 def cross_reconcile(t):
-    return vectors.cross_reconcile(rows(t), t.memory_relations, 6, 0.5)
+    owned = rows(t).join(t.memory.select(F.col("id").alias("memory_id"), F.col("tenant_id").alias("store")), "memory_id")
+    return vectors.cross_reconcile(owned, t.memory_relations, 6, 0.5)
 
 
 @query("noise_similarity", f"""SELECT fact_id AS id, max(round({SIMILAR}, 6)) AS noise_score, max(round({SIMILAR}, 6)) >= 0.4 AS is_noise

@@ -127,16 +127,23 @@ def category_weights(rows: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.join(known, ["tenant_id", "category"], "left").fillna(0.5, ["admission_weight", "importance_base"])
 
 
-def expand_relations(candidates: DataFrame, relations: DataFrame, memories: DataFrame, cap: int = 20) -> DataFrame:
+def expand_relations(candidates: DataFrame, relations: DataFrame, memories: DataFrame, cap: int | None = 20,
+                     queries: DataFrame | None = None) -> DataFrame:
     """Related memories not among the candidates, lowest ids first, at 0.8 x the lowest score of the query.
 
-    ``candidates``: query_id, memory_id, score. ``relations``: src_id, target_id.
+    ``candidates``: query_id, memory_id, score. ``relations``: src_id, target_id. With ``queries`` (query_id, access_keys)
+    and the column access_key in ``memories``, a query gets only what it may open. ``cap``: most rows added to a query.
     """
     targets = candidates.join(
         relations.select(F.col("src_id").alias("memory_id"), "target_id"), "memory_id"
     ).select("query_id", F.col("target_id").alias("memory_id")).distinct()
     fresh = targets.join(candidates.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
-    stored = fresh.join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    if queries is None:
+        stored = fresh.join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    else:
+        open_to = fresh.join(memories.select(F.col("id").alias("memory_id"), "access_key"), "memory_id").join(
+            queries.select("query_id", "access_keys"), "query_id")
+        stored = open_to.filter(F.array_contains("access_keys", F.col("access_key"))).select("query_id", "memory_id")
     chosen = top_n(stored, ["query_id"], [F.col("memory_id")], cap)
     lowest = candidates.groupBy("query_id").agg((F.min("score") * 0.8).alias("score"))
     return chosen.join(lowest, "query_id")

@@ -12,7 +12,6 @@ from ..functions import text as tx
 from ..functions.columns import strip
 from . import graph, set_join
 from .chunking import paragraph_merge
-from .filters import path_applies
 from .ranking import top_n
 from .text_search import text_topk
 from .updates import PRIVATE_TAG
@@ -34,12 +33,13 @@ def prepare_facts(facts: DataFrame, categories: DataFrame | None, aliases: DataF
 def admission_score(facts: DataFrame, memories: DataFrame, vectors: DataFrame, as_of) -> DataFrame:
     """Adds the six parts, the composite and the best similarity.
 
-    ``facts``: fact_id, l0_abstract, llm_confidence, admission_weight, embedding, conversation (null: not known).
-    ``memories``: id, updated_at. The vectors of the facts look up their five nearest memories.
+    ``facts``: fact_id, tenant_id, l0_abstract, llm_confidence, admission_weight, embedding, conversation (null: not known).
+    ``memories``: id, tenant_id, updated_at. The vectors of the facts look up their five nearest memories of their tenant.
     """
+    owned = vectors.join(memories.select("id", F.col("tenant_id").alias("access_key")), "id")
     near = vector_topk(
-        facts.select(F.col("fact_id").alias("query_id"), "embedding"),
-        vectors.select(F.col("id").alias("memory_id"), "embedding"), 5, 0.0)
+        facts.select(F.col("fact_id").alias("query_id"), "embedding", F.array("tenant_id").alias("access_keys")),
+        owned.select(F.col("id").alias("memory_id"), "embedding", "access_key"), 5, 0.0)
     best = near.join(memories.select(F.col("id").alias("memory_id"), "updated_at"), "memory_id").groupBy("query_id").agg(
         F.max("score").alias("max_similarity"),
         F.min_by("updated_at", F.struct((-F.col("score")).alias("o"), "memory_id")).alias("_updated"))
@@ -104,23 +104,23 @@ def gather_existing(facts: DataFrame, memories: DataFrame, vectors: DataFrame, p
                     min_similarity: float = 0.3, per_batch: int = 50) -> DataFrame:
     """(batch_id, memory_id, place): candidates of each batch, first come first kept.
 
-    Order: rows of the same session, then fact by fact the nearest vectors, then the best texts.
-    ``facts``: fact_id, batch_id, fact_index, session_id, l0_abstract, embedding, project_path (may be null).
+    Order: rows of the same session, then fact by fact the nearest vectors, then the best texts, all of the fact's tenant.
+    ``facts``: fact_id, tenant_id, batch_id, fact_index, session_id, l0_abstract, embedding, project_path (may be null).
     """
-    sessions = facts.select("batch_id", "session_id").distinct()
+    own = ["tenant_id", "session_id"]
+    first_of = top_n(memories.select(F.col("id").alias("memory_id"), *own), own, [F.col("memory_id")], per_batch)
     of_session = top_n(
-        sessions.join(memories.select(F.col("id").alias("memory_id"), "session_id"), "session_id"),
-        ["batch_id"], [F.col("memory_id")], per_batch)
+        facts.select("batch_id", *own).distinct().join(first_of, own), ["batch_id"], [F.col("memory_id")], per_batch)
     first = of_session.select("batch_id", "memory_id", F.struct(
         F.lit(-1).cast("bigint").alias("fact"), F.lit(0).alias("leg"), F.lit(0.0).alias("n")).alias("place"))
-    asked = facts.select(F.col("fact_id").alias("query_id"), "embedding", "project_path", F.col("l0_abstract").alias("query_text"))
-    keyed = memories.select(F.col("id").alias("memory_id"), "project_path", "visibility")
+    asked = facts.select(F.col("fact_id").alias("query_id"), "embedding", "project_path", F.col("l0_abstract").alias("query_text"),
+                         F.array("tenant_id").alias("access_keys"))
+    stored = memories.withColumn("access_key", F.col("tenant_id")).withColumn(
+        "project_path", F.when(F.col("visibility") != "private", F.col("project_path")))
     rows = vectors.select(F.col("id").alias("memory_id"), "embedding").join(
-        keyed.select("memory_id", F.when(F.col("visibility") != "private", F.col("project_path")).alias("project_path")), "memory_id")
-    near = vector_topk(asked.select("query_id", "embedding", "project_path"), rows, per_fact, min_similarity)
-    words = text_topk(asked.select("query_id", "query_text"), memories, per_fact)
-    words = words.join(keyed, "memory_id").join(asked.select("query_id", F.col("project_path").alias("_path")), "query_id").filter(
-        F.col("_path").isNull() | path_applies(F.col("project_path"), F.col("visibility"), F.col("_path")))
+        stored.select(F.col("id").alias("memory_id"), "access_key", "project_path"), "memory_id")
+    near = vector_topk(asked.drop("query_text"), rows, per_fact, min_similarity)
+    words = text_topk(asked.drop("embedding"), stored, per_fact)
     hits = near.select("query_id", "memory_id", F.lit(1).alias("leg"), (-F.col("score")).alias("n")).unionByName(
         words.select("query_id", "memory_id", F.lit(2).alias("leg"), (-F.col("text_score")).alias("n")))
     found = hits.join(facts.select(F.col("fact_id").alias("query_id"), "batch_id", "fact_index"), "query_id").select(

@@ -112,8 +112,10 @@ def min_score_filter(candidates: DataFrame, low: float) -> DataFrame:
     return candidates.filter(F.col("score") >= low)
 
 
-def expand(candidates: DataFrame, relations: DataFrame, memories: DataFrame) -> DataFrame:
-    added = graph.expand_relations(candidates, relations, memories)
+def expand(candidates: DataFrame, relations: DataFrame, memories: DataFrame, queries: DataFrame) -> DataFrame:
+    """Candidates and what they are related to, as far as the query may open it."""
+    added = graph.expand_relations(
+        candidates, relations, memories.withColumn("access_key", filters.store_key()), queries=queries)
     return candidates.unionByName(added.withColumn("text_score", F.lit(0.0)), allowMissingColumns=True)
 
 
@@ -221,7 +223,7 @@ def search(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relation
     else:
         scored = min_score_filter(normal, s.min_score)
     capped = ranking.topk_cap(scored, s.limit * s.cap_factor)
-    expanded = expand(capped, relations, memories)
+    expanded = expand(capped, relations, memories, queries)
     blended = text_floor(blend_rerank(expanded, reranked, s.rerank_share), s)
     known = memories.select(F.col("id").alias("memory_id"), *ATTRIBUTES)
     weighed = length_normalize(importance_weight(decay_boost(blended.join(known, "memory_id"), as_of, s.decay)))
