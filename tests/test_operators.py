@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemora.functions import scoring, text as tx
-from mnemora.operators import chunking, graph, ranking, session_memory, set_join, vectors
+from mnemora.operators import chunking, filters, graph, ranking, reconcile, session_memory, set_join, vectors
+from mnemora.plans import retrieval
 from mnemora.sources import memories as stored
 from mnemora.streaming import gates
 
@@ -157,3 +158,43 @@ def test_split_overflow_prefers_heading(spark):
     text = "intro\n## one\n" + "a" * 20 + "\n## two\nrest"
     got = spark.createDataFrame([(text,)], "t string").select(F.inline(F.array(tx.split_overflow(F.col("t"), 40)))).first()
     assert got["first"].endswith("a" * 20) and got["second"] == "## two\nrest"
+
+
+def test_string_ids_and_stores(spark):
+    """Ids made by hashing are strings; look-ups stay in the tenant's store."""
+    memories = spark.createDataFrame(
+        [("m-b", "t1", "s", "2024-01-01 00:00:00", "tea is good", "global", None), ("m-a", "t1", "s", "2024-01-02 00:00:00", "tea is good", "global", None),
+         ("m-c", "t2", "s", "2024-01-03 00:00:00", "tea is good", "global", None)],
+        "id string, tenant_id string, session_id string, updated_at string, content string, visibility string, project_path string",
+    ).withColumn("updated_at", F.to_timestamp("updated_at")).withColumn("l0_abstract", F.col("content"))
+    known = memories.select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    facts = spark.createDataFrame(
+        [("f1", "b", 0, "t1", "s", "tea is good", 4, 0.5, [1.0, 0.0], None, None)],
+        "fact_id string, batch_id string, fact_index int, tenant_id string, session_id string, l0_abstract string, llm_confidence int, "
+        "admission_weight double, embedding array<double>, conversation string, project_path string")
+    row = reconcile.admission_score(facts, memories, known, "2024-01-12 00:00:00").first()
+    assert row["max_similarity"] == 1.0 and abs(row["recency"] - (1 - math.exp(-10 / 30))) < 1e-9
+    got = reconcile.gather_existing(facts, memories, known).orderBy("place").collect()
+    assert [r["memory_id"] for r in got] == ["m-a", "m-b"]
+
+
+def test_access_keys_keep_stores_apart(spark):
+    queries = spark.createDataFrame([(1, "t1", "a")], "query_id int, tenant_id string, agent_id string")
+    spaces = spark.createDataFrame([("t1", "team/x")], "user_id string, space_id string")
+    keys = set(retrieval.query_access(queries, spaces).first()["access_keys"])
+    rows = spark.createDataFrame(
+        [(1, "t1", "global", ""), (2, "t2", "global", ""), (3, "t1", "private", "a"), (4, "t2", "private", "a"), (5, "t2", "shared:team/x", "")],
+        "id int, tenant_id string, visibility string, owner_agent_id string")
+    seen = [r["id"] for r in rows.select("id", filters.store_key().alias("k")).collect() if r["k"] in keys]
+    assert seen == [1, 3, 5]
+
+
+def test_all_chunks_are_kept_by_default(spark):
+    rows = spark.createDataFrame([(1, "line\n" * 400)], "id int, text string")
+    assert chunking.split_overlap(rows, 100, 10).count() > 5 == chunking.split_overlap(rows, 100, 10, keep=5).count()
+
+
+def test_noise_similarity_has_no_limit(spark):
+    prototypes = spark.range(5000).select(F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    facts = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<double>")
+    assert vectors.noise_similarity(facts, prototypes).first()["is_noise"]
