@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, decontaminate, embedding_dedup, ngram_join, quality, substring_dedup, token_files, toxicity
+from . import bpe, chat_format, decontaminate, embedding_dedup, licenses, ngram_join, quality, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_token_files": token_files.op4,
     "op5_toxicity": toxicity.op5,
     "op6_ngram_jaccard_join": ngram_join.op6,
+    "op7_license_scan": licenses.op7,
     "op8_bpe_round_trip": bpe.op8,
     "op9_embedding_near_dedup": embedding_dedup.op9,
     "op10_substring_dedup": substring_dedup.op10,
@@ -17,6 +18,7 @@ ORACLES = {
     "op1_chat_formatting": chat_format.OP1_SQL,
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
+    "op7_license_scan": licenses.OP7_SQL,
     "op9_embedding_near_dedup": embedding_dedup.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
 }

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemora.llm import (
-    bpe, chat_format, common, components, decontaminate, embedding_dedup, ngram_join, quality, substring_dedup, token_files,
+    bpe, chat_format, common, components, decontaminate, embedding_dedup, licenses, ngram_join, quality, substring_dedup, token_files,
     toxicity,
 )
 from mnemora.llm import words as W
@@ -359,3 +359,24 @@ def test_substring_dedup(spark):
     assert substring_dedup.deduplicated(docs.limit(0)).count() == 0
     short = substring_dedup.shortened(docs)
     assert short.columns == docs.columns and short.count() == docs.count()
+
+
+def test_licences(spark):
+    wrapped = {name: " ".join(w + ("\n" if i % 9 == 8 else "") for i, w in enumerate(s.split())).replace("\n ", "\n").strip()
+               for name, s in licenses.SENTENCES.items()}
+    mit = ". \n".join(wrapped[n].capitalize() for n in ("mit-grant", "mit-notice", "mit-warranty")) + "."
+    cases = [(mit, "MIT"), (mit.split(". \n")[0] + ".", "MIT-like"), ("Intro.\nReleased under the MIT License.\nall right", "MIT"),
+             ("LICENSED UNDER   CC-BY-NC 4.0!", "CC-BY-NC-4.0"), ("x. All rights reserved.\n\nDistributed under the GPLv3", "GPL-3.0,all-rights-reserved"),
+             (". ".join(licenses.SENTENCES[n] for n in ("bsd-grant", "bsd-source", "rights", "bsd-binary", "bsd-names")), "BSD-3-Clause,all-rights-reserved"),
+             (". ".join(licenses.SENTENCES[n] for n in ("bsd-source", "bsd-grant")), "BSD-like"), (None, ""), ("", ""), ("not licensed under the MIT license", ""),
+             ("word " * 20000 + ". All rights reserved.", "all-rights-reserved")]
+    rows = [(None if i == 2 else i, t, "k", "s") for i, (t, _) in enumerate(cases)] + [(3, cases[3][0], "k", "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, licences string, sentence string").coalesce(1)
+    got = [r["licences"] for r in licenses.licences(table).orderBy("rid").collect()]
+    assert got == [want for _, want in cases] + [cases[3][1]]
+    assert licenses.licences(table.limit(0)).count() == 0
+
+
+def test_every_known_sentence_has_a_mark():
+    assert all(re.search(licenses.MARKS, s) or re.search(licenses.MARKS, f"x {s}") for s in licenses.catalogue())
+    assert {i for family in licenses.RULES for _, rule in family for i in rule} == set(licenses.catalogue().values())
