@@ -94,10 +94,12 @@ def stream_session_memory(t):
     memories, facts = open_memories(t), t.facts
     live = Live(t, "conversations")
 
-    def fold(batch):
+    body = flows.stream_session_memory(memories, AS_OF, flows.work_folder(t.spark, "session-memory"))
+
+    def fold(batch, number):
         batch_tables = Tables(t.spark, t.path)
         batch_tables._built = {"session_messages": batch, "facts": facts}
-        return flows.stream_session_memory(topics(batch_tables), memories, AS_OF)
+        return body(topics(batch_tables), number)
 
     return flows.drain(live.session_messages, "append", fold)
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators import session_memory, sharing, stats, updates
 from ..operators.graph import with_hash
+from ..operators.ranking import top_n
 from ..session import shared_folder
 
 
@@ -52,15 +53,34 @@ def apply_access_batch(memories: DataFrame, batch: DataFrame, as_of) -> DataFram
 
 def stream_auto_share(memories: DataFrame, spaces: DataFrame, members: DataFrame, rules: DataFrame, stored: DataFrame, as_of):
     """``foreachBatch`` body: copies of the new memories that rules ask for, as a DataFrame for the sink."""
-    def of_batch(batch: DataFrame) -> DataFrame:
+    def of_batch(batch: DataFrame, number: int) -> DataFrame:
         return sharing.auto_share(batch, spaces, members, rules, as_of, stored)
 
     return of_batch
 
 
-def stream_session_memory(topics: DataFrame, memories: DataFrame, as_of) -> DataFrame:
-    """One micro-batch of topics folded into the session memories; the sink upserts the rows before the next batch."""
-    return session_memory.append_topics(memories, topics, as_of)
+def session_state(memories: DataFrame, log: str, before: int) -> DataFrame:
+    """Session memories as the batches below ``before`` left them: the last row of each id in the log, else the stored one."""
+    if before == 0:
+        return memories.withColumn("place", F.lit(-1).cast("bigint"))
+    logged = memories.sparkSession.read.parquet(log).filter(F.col("batch") < before)
+    last = top_n(logged, ["id"], [F.desc("batch")], 1)
+    kept = memories.withColumn("id", F.col("id").cast("string")).join(last.select("id"), "id", "left_anti")
+    return kept.withColumn("place", F.lit(-1).cast("bigint")).unionByName(
+        last.withColumn("created_at", F.lit(None).cast("timestamp")).select(*memories.columns, "place"))
+
+
+def stream_session_memory(memories: DataFrame, as_of, log: str):
+    """``foreachBatch`` body: a batch of topics folded onto the session memories as the batches before it left them.
+
+    Changed rows go to ``log`` under the number of the batch, so a batch that runs again replaces itself.
+    """
+    def of_batch(topics: DataFrame, number: int) -> DataFrame:
+        path = f"{log}/batch={number}"
+        session_memory.append_topics(session_state(memories, log, number), topics, as_of).write.mode("overwrite").parquet(path)
+        return memories.sparkSession.read.parquet(path)
+
+    return of_batch
 
 
 def stream_timeline(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -77,7 +97,7 @@ def stream_session_groups(events: DataFrame) -> DataFrame:
 def drain(stream: DataFrame, mode: str, fn=None) -> DataFrame:
     """Process what a stream's source holds now and give the result as a table.
 
-    ``fn`` maps each micro-batch. In complete and update mode the last state of the batches stands: with all input in
+    ``fn`` maps each micro-batch and its number. In complete and update mode the last state of the batches stands: with all input in
     one trigger that is the whole result.
     """
     spark = stream.sparkSession
@@ -86,7 +106,7 @@ def drain(stream: DataFrame, mode: str, fn=None) -> DataFrame:
 
     def write(batch: DataFrame, number: int) -> None:
         nonlocal schema
-        rows = fn(batch) if fn else batch
+        rows = fn(batch, number) if fn else batch
         schema = rows.schema
         rows.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
 

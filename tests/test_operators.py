@@ -11,7 +11,7 @@ from mnemora.functions import scoring, text as tx
 from mnemora.operators import chunking, filters, graph, ranking, reconcile, session_memory, set_join, vectors
 from mnemora.plans import retrieval
 from mnemora.sources import memories as stored
-from mnemora.streaming import gates
+from mnemora.streaming import flows, gates
 
 AS_OF = 1722470400
 
@@ -198,3 +198,24 @@ def test_noise_similarity_has_no_limit(spark):
     prototypes = spark.range(5000).select(F.array(F.cos("id"), F.sin("id")).alias("embedding"))
     facts = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<double>")
     assert vectors.noise_similarity(facts, prototypes).first()["is_noise"]
+
+
+def test_session_memory_over_two_batches(spark):
+    """A batch starts from what the one before it left: the same texts as in one batch."""
+    stored = spark.createDataFrame(
+        [("m", "s", "WORK", "start", "t", "o", "d", ["x"], None)], "id string, session_id string, kind string, content string, l0_abstract string, "
+        "l1_overview string, l2_content string, tags array<string>, created_at timestamp")
+    rows = [("s", n, "u", title, text, "", "", "WORK", "events", "global", ["t"], "src", None)
+            for n, (title, text) in enumerate([("a", "first"), ("b", "y" * 790), ("c", "z" * 790), ("d", "w" * 790), ("e", "v" * 790), ("a", "again"), ("f", "last")])]
+    topics = spark.createDataFrame(
+        rows, "session_id string, topic_no int, tenant_id string, topic string, summary string, overview string, detail string, memory_type string, "
+        "category string, scope string, tags array<string>, ingest_source string, project_path string")
+    whole = session_memory.append_topics(stored, topics, "2024-01-01 00:00:00")
+    log = flows.work_folder(spark, "test-log")
+    body = flows.stream_session_memory(stored, "2024-01-01 00:00:00", log)
+    for number in (0, 1):
+        for _ in range(2):  # a repeated batch changes nothing
+            body(topics.filter((F.col("topic_no") >= 4) == (number == 1)), number)
+    state = flows.session_state(stored, log, 2)
+    want = sorted((r["id"], r["content"]) for r in whole.collect())
+    assert len(want) > 1 and sorted((r["id"], r["content"]) for r in state.collect()) == want
