@@ -1,11 +1,17 @@
 """Registered queries of the subpackage against their SQL, and the pipeline against its parts."""
 
+import hashlib
+import re
+
 import compare
+import numpy as np
 import pytest
+from test_llm_operators import hit_words, linked
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from mnemora.llm import queries
+from mnemora.llm import bpe, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +40,32 @@ def test_pipeline(spark):
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
     assert "pipeline" in entry.queries()
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Behind the trained classifier, every stage by plain Python."""
+    first = corpus_pipeline.saved(corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), "brute")
+    docs = sorted((r["doc_id"], r["text"] or "") for r in first.collect())
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, text in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(fold))
+        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+    root = linked(sets, lambda a, b: a and b and 100 * len(a & b) >= 90 * len(a | b))
+    docs = [d for i, d in enumerate(docs) if root[i] == i]
+    cut, sources, shorter = [(d, t.split()) for d, t in docs], {}, []
+    for d, w in cut:
+        for i in range(len(w) - 49):
+            sources.setdefault(tuple(w[i : i + 50]), d)
+    for (d, text), (_, w) in zip(docs, cut):
+        gone = {j for i in range(len(w) - 49) if sources[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
+        shorter.append((d, " ".join(x for i, x in enumerate(w) if i not in gone) if gone else text))
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    tokenizer, want = Tokenizer.from_file(bpe.vocabulary_path()), []
+    for d, text in shorter:
+        if not hit_words(text, items)[1]:
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+            want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                         hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == want and len(want) < len(sets)
