@@ -57,18 +57,19 @@ def is_compression_artifact(text: Column) -> Column:
 def clean_message(text: Column, host: str | None = None) -> Column:
     """Injected blocks, phrases and lines removed; an unclosed block is cut to the end of its line.
 
-    ``host``: product name in the host's own block tags, if it has any.
+    ``host``: product name in the host's own block tags; None takes any single word there.
     """
-    tags = [*P.MESSAGE_TAGS, *[f"{host}-{part}" for part in P.HOST_TAGS if host]]
-    for tag in tags:
+    for tag in P.MESSAGE_TAGS:
         # a tag name with a blank in front has an empty name, so its block would close with "</>"
         opening, closing = (f"<{tag}", "</>") if tag.startswith(" ") else (f"<{tag}>", f"</{tag}>")
         text = F.regexp_replace(text, f"(?s){_quoted(opening)}.*?{_quoted(closing)}", "")
         text = F.regexp_replace(text, f"{_quoted(opening)}[^\n]*", "")
-    if host:
-        mark = f"{host.upper()}-MEMORY"
-        text = F.regexp_replace(text, f"(?s)\\[{mark}\\].*?\\[/{mark}\\]", "")
-        text = F.regexp_replace(text, f"\\[{mark}\\][^\n]*", "")
+    name = _quoted(host) if host else "[A-Za-z][A-Za-z0-9]*"
+    own = [(f"<({name})-{part}>", f"</\\1-{part}>") for part in P.HOST_TAGS]
+    upper = _quoted(host.upper()) if host else "[A-Z][A-Z0-9]*"
+    for opening, closing in [*own, (f"\\[({upper})-MEMORY\\]", "\\[/\\1-MEMORY\\]")]:
+        text = F.regexp_replace(text, f"(?s){opening}.*?{closing}", "")
+        text = F.regexp_replace(text, f"{opening}[^\n]*", "")
     for phrase in P.MESSAGE_PHRASES:
         text = F.replace(text, F.lit(phrase), F.lit(""))
 

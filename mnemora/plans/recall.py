@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as tx
 from ..operators import ranking, stats
-from .retrieval import Settings, search
+from ..session import cut_lineage
+from .retrieval import Settings, search, text_leg, vector_leg
 
 
 def level_value(signal: Column, which: int) -> Column:
@@ -52,11 +53,13 @@ def recall(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relation
     """``queries``: query_id, query_text, embedding, access_keys, project_path, project_tags, keywords, gate_yes."""
     ready = prepare(queries, settings.strategy not in ("loose", "none"))
     few = replace(settings, limit=max_results)
+    k = settings.fetch_factor * max_results * max(1, phase2_factor)
+    legs = cut_lineage(vector_leg(ready, memories, vectors, k)), cut_lineage(text_leg(ready, memories, k))
     tagged = ready.filter(F.size("project_tags") > 0)
     project = search(tagged.withColumn("tags", F.col("project_tags")), memories, vectors, relations, as_of,
-                     reranked, verdicts, few).results
+                     reranked, verdicts, few, legs=legs).results
     everywhere = search(ready.drop("tags"), memories, vectors, relations, as_of, reranked, verdicts,
-                        replace(settings, limit=max_results * phase2_factor)).results
+                        replace(settings, limit=max_results * phase2_factor), legs=legs).results
 
     def ranked(df: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")

@@ -200,8 +200,8 @@ ATTRIBUTES = ("importance", "confidence", "tier", "access_count", "created_at",
 
 def search(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relations: DataFrame, as_of,
            reranked: DataFrame | None = None, verdicts: DataFrame | None = None, settings: Settings = Settings(),
-           active_only: bool = False) -> SearchResult:
-    """All stages for all queries.
+           active_only: bool = False, legs: tuple[DataFrame, DataFrame] | None = None) -> SearchResult:
+    """All stages for all queries. ``legs``: vector and text hits made before, of these queries and maybe others.
 
     ``queries``: query_id, query_text, embedding, access_keys, project_path [, tags, min_score]. The legs are the heavy part; their
     fusion is checkpointed, so the stages behind it, which read their input more than once, do not repeat the legs.
@@ -210,10 +210,14 @@ def search(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relation
     if active_only:
         memories = memories.filter(F.col("state") == "active")
     k = s.limit * s.fetch_factor
-    vector, text = vector_leg(queries, memories, vectors, k), text_leg(queries, memories, k)
+    if legs is None:
+        vector, text = vector_leg(queries, memories, vectors, k), text_leg(queries, memories, k)
+    else:
+        vector, text = (hits.filter(F.col("rank") <= k).join(queries.select("query_id"), "query_id", "left_semi") for hits in legs)
     tags = None
     if "tags" in queries.columns:
-        vector, text = cut_lineage(vector), cut_lineage(text)
+        if legs is None:
+            vector, text = cut_lineage(vector), cut_lineage(text)
         tags = tag_leg(vector.select("query_id", "memory_id").unionByName(text.select("query_id", "memory_id")), queries, memories)
     fused = cut_lineage(rrf_fuse(vector, text, tags, memories, s))
     normal = ranking.minmax(fused)

@@ -219,3 +219,11 @@ def test_session_memory_over_two_batches(spark):
     state = flows.session_state(stored, log, 2)
     want = sorted((r["id"], r["content"]) for r in whole.collect())
     assert len(want) > 1 and sorted((r["id"], r["content"]) for r in state.collect()) == want
+
+
+def test_clean_message_takes_out_blocks_of_any_host(spark):
+    text = "a<Acme-context>x\ny</Acme-context>b\n<acme-profile>open\n[ACME-MEMORY]z[/ACME-MEMORY]c <plain-note>d</plain-note>"
+    frame = spark.createDataFrame([(text,)], "t string")
+    want = "ab\nc <plain-note>d</plain-note>"
+    assert frame.select(tx.clean_message(F.col("t"))).first()[0] == want
+    assert frame.select(tx.clean_message(F.col("t"), "other")).first()[0] == text
