@@ -116,11 +116,13 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
             _sources, "anchor long, segment long, first int, n int, source long"),
         "sources",
     )
-    places = anchors.join(sources, ["anchor", "segment"]).where("source < doc")
-    begin = F.col("pos") - F.least("pos", F.lit(SIDE)) + F.col("first")
-    ranges = places.select("rid", begin.alias("begin"), (begin + F.col("n") - 1 + WINDOW).alias("end"))
-    ranges = ranges.groupBy("rid", "begin").agg(F.max("end").alias("end"))
-    return ranges.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    runs = sources.groupBy("anchor", "segment").agg(F.collect_list(F.struct("first", "n", "source")).alias("runs"))
+    begin = F.col("pos") - F.least("pos", F.lit(SIDE))
+    older = F.transform(
+        F.filter("runs", lambda r: r["source"] < F.col("doc")),
+        lambda r: F.struct((begin + r["first"]).alias("begin"), (begin + r["first"] + r["n"] - 1 + WINDOW).alias("end")))
+    places = anchors.join(runs, ["anchor", "segment"]).select("rid", older.alias("ranges")).where(F.size("ranges") > 0)
+    return places.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _kept(text: bytes, ranges) -> tuple[int, list[bytes]]:
