@@ -312,6 +312,21 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(table.where("vec_id = 102")).first()["n_links"] == 0
 
 
+def test_embeddings_without_clusters(spark):
+    """Random vectors with partners at cosine 0.90 to 0.95: none is missed."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20000, 64))
+    for i, cosine in enumerate(np.linspace(0.901, 0.95, 400)):
+        one = x[i] / np.linalg.norm(x[i])
+        other = x[-1 - i] - (x[-1 - i] @ one) * one
+        x[-1 - i] = cosine * one + np.sqrt(1 - cosine * cosine) * other / np.linalg.norm(other)
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(frame).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(x[i : i + 2000] @ x.T >= 0.9).sum(1) - 1 for i in range(0, len(x), 2000)])
+    assert want.sum() >= 800 and [got[i] for i in range(len(x))] == want.tolist()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 60), (7, 7), (50, 40)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
