@@ -236,6 +236,28 @@ def test_jaccard_join(spark):
     assert left.groupBy("component_id").count().where("count > 1").count() == 0
 
 
+def test_jaccard_join_of_five_words(spark):
+    """Five words and 0.8 against all pairs; 2% of words changed links at 5/0.8 and not at 3/0.9."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in (3, 5, 8, 9, 12, 40, 120, 500, 500, 1500):
+        base = [f"w{v}" for v in rng.integers(0, 5000, n)]
+        for changed in (0, 0, 0.01, 0.02, 0.02, 0.03, 0.05):
+            w = list(base)
+            for i in rng.choice(n, int(np.ceil(changed * n)), False) if n > 9 or changed != 0.01 else []:
+                w[i] = f"x{rng.integers(1 << 40)}"
+            texts.append(" ".join(w))
+            texts.append(" ".join(w[: max(1, n - n // 9)]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = {k: [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in map(str.split, texts)] for k in (3, 5)}
+    want = linked(sets[5], lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    assert want != linked(sets[3], lambda a, b: 100 * len(a & b) >= 90 * len(a | b))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.joined(docs, 5, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    kept = ngram_join.one_of_each(docs, 5, 80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+
+
 def test_sketches_rule_out_no_link():
     rng = np.random.default_rng(2)
     for size in (9, 40, 200, 900, 3000):
