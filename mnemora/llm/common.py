@@ -61,13 +61,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame) -> DataFrame:
+def fixed_splits(spark: SparkSession) -> None:
+    """Hold the number of partitions that Spark aims at when it splits files, where it would follow the cores of the moment."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
+
+
+def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
     """Add ``rid``, a number of the row that depends only on the order of the input's files.
 
     Joins inside an operator use it, so that rows with null or repeated ids stay apart. A scan gives the same numbers each
-    time it runs, because its partitions and the order in them are fixed.
+    time it runs, because its partitions and the order in them are fixed: also when executors come or go between two runs.
     """
-    return df.withColumn("rid", F.monotonically_increasing_id())
+    fixed_splits(df.sparkSession)
+    return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def lowered(text: Column) -> Column:

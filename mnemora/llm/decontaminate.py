@@ -196,7 +196,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
 def decontaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``documents`` without shared windows; all columns are kept."""
     hit = contamination(documents, items).where("contaminated").select(F.col("rid").alias("__rid"))
-    rows = documents.withColumn("__rid", F.monotonically_increasing_id())
+    rows = numbered(documents, "__rid")
     return rows.join(hit, "__rid", "left_anti").drop("__rid")
 
 

@@ -190,7 +190,7 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 def shortened(documents: DataFrame) -> DataFrame:
     """``documents`` with all columns; texts that lose words are what they keep, joined by one blank, n_chars follows."""
-    rows = documents.withColumn("__rid", F.monotonically_increasing_id())
+    rows = numbered(documents, "__rid")
     kept = _finished(documents, "kept string", lambda kept: kept.decode("utf-8", "replace"))
     kept = kept.where("n_removed > 0").select(F.col("rid").alias("__rid"), F.col("kept").alias("__text"))
     joined = rows.join(kept, "__rid", "left")

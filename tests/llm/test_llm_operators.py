@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,6 +350,21 @@ def test_embeddings_without_clusters(spark):
     assert want.sum() >= 800 and [got[i] for i in range(len(x))] == want.tolist()
 
 
+def test_numbers_do_not_follow_the_cores(spark, tmp_path):
+    """Splits of a scan, and with them the numbers of rows, stay when cores come or go between two actions."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    for i in range(3):
+        rows = pa.table({"doc_id": np.arange(3000) + i * 3000, "text": [f"{i} {j} " * 20 for j in range(3000)]})
+        pq.write_table(rows, tmp_path / f"{i}.parquet", row_group_size=100)
+    rows = common.numbered(session.read.parquet(str(tmp_path)).select("doc_id", "text"))
+    got = []
+    for cores in (2, 16):
+        session.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+        got.append(sorted(map(tuple, rows.select("doc_id", "rid").collect())))
+    assert got[0] == got[1]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 60), (7, 7), (50, 40)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
