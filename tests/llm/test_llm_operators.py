@@ -178,6 +178,22 @@ def test_clause_states():
     assert [np.flatnonzero(r).tolist() for r in x] == [[0], [1], [2], [0], [5], [8], [], [], [0]]
 
 
+def test_contractions_forms_of_harm_and_runs_of_signs():
+    grammar = toxicity.Grammar(np.array([W.hash_of("zonk")], np.uint64), np.array([5.0]))
+
+    def states(*texts):
+        return [np.flatnonzero(r).tolist() for r in grammar.features(pa.array(texts, pa.string()))]
+
+    assert all(s == [2] for s in states(*[f"a {w} a zonk" for w in toxicity.NEGATION]))
+    short = "isn't aren't don't doesn't won't can't DON'T isn’t Won’t".split()
+    assert all(s == [2] for s in states(*[f"a {w} a zonk" for w in short])) and states("you aren't an zonk") == [[3]]
+    assert states("an' t zonk", "n 't zonk", "a 't zonk", "cat't zonk", "t zonk", "’t zonk") == [[0]] * 6
+    assert all(s == [8] for s in states(*[f"{w} you" for w in toxicity.HARM]))
+    assert all(s == [4] for s in states(*[f"{w} zonk" for w in toxicity.REPORTED]))
+    assert all(s == [1] for s in states(*[f"{w} zonk" for w in toxicity.TARGET]))
+    assert states('not". a zonk', "said (not). a zonk", 'said ") a zonk') == [[0], [0], [4]]
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
