@@ -1,7 +1,7 @@
 """Agent-memory tables derived from the driver's tables.
 
-``VIEWS`` holds SQL that means the same in Spark and in the oracle engine. Every view covers all rows of its base
-table. ``Tables`` serves base tables and views as DataFrames and adds the typed columns the operators take.
+``VIEWS`` holds SQL that means the same in Spark and in the oracle engine. Some views cut their base table (text behind the
+first full stop, system turns, error events): see Open in the README. ``Tables`` serves base tables and views as DataFrames and adds the typed columns the operators take.
 """
 
 from __future__ import annotations
