@@ -1,6 +1,9 @@
 """Registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, decontaminate, embedding_dedup, licenses, ngram_join, quality, substring_dedup, token_files, toxicity
+from . import (
+    bpe, chat_format, decontaminate, embedding_dedup, fill_middle, licenses, ngram_join, periodic_runs, quality, quality_rules,
+    substring_dedup, token_files, toxicity,
+)
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1,
@@ -13,6 +16,9 @@ QUERIES = {
     "op8_bpe_round_trip": bpe.op8,
     "op9_embedding_near_dedup": embedding_dedup.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_periodic_runs": periodic_runs.op11,
+    "op12_quality_rules": quality_rules.op12,
+    "op13_fill_in_middle": fill_middle.op13,
 }
 ORACLES = {
     "op1_chat_formatting": chat_format.OP1_SQL,
@@ -21,4 +27,6 @@ ORACLES = {
     "op7_license_scan": licenses.OP7_SQL,
     "op9_embedding_near_dedup": embedding_dedup.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op12_quality_rules": quality_rules.OP12_SQL,
+    "op13_fill_in_middle": fill_middle.OP13_SQL,
 }
