@@ -7,7 +7,7 @@ from ..plans import ingest as plan
 from ..plans import recall as recall_plan
 from .graph import CATEGORIES, RESOLVED, aliases, categories, trigram_rows
 from .registry import query
-from .search import SIMILAR, TEXT_TOP, cheap_legs, with_vectors
+from .search import SIMILAR, TEXT_SCORES, cheap_legs, with_vectors
 from .texts import CORPUS, alt, clean_sql, corpus, denoise_sql, norm_sql, q, redact_sql, strip_sql, word_set_sql
 from .views import AS_OF
 
@@ -95,7 +95,7 @@ def tag_private(t):
     return reconcile.tag_private(facts).select("id", "visibility", "owner_agent_id", F.size("tags").cast("bigint").alias("n_tags"))
 
 
-FACT_GRAMS = TEXT_TOP.replace("FROM memory_queries", "FROM (SELECT fact_id AS query_id, l0_abstract AS query_text FROM prepared)")
+FACT_GRAMS = TEXT_SCORES.replace("STORE", "tenant_id").replace("FROM memory_queries", "FROM (SELECT fact_id AS query_id, l0_abstract AS query_text FROM prepared)")
 GATHER = f"""{PREPARED}, {FACT_GRAMS},
 sess AS (SELECT batch_id, memory_id, -1 AS fact, 0 AS leg, memory_id::DOUBLE AS n FROM (SELECT batch_id, m.id AS memory_id, row_number() OVER (PARTITION BY batch_id ORDER BY m.id) AS rn
    FROM (SELECT DISTINCT batch_id, session_id, tenant_id FROM prepared) JOIN memories m USING (session_id, tenant_id)) WHERE rn <= 50),

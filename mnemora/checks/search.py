@@ -54,8 +54,9 @@ def vector_leg(t):
     return retrieval.vector_leg(with_vectors(t), t.memory, t.memory_vectors, 60).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-# Grams come from windows over the characters of whole texts.
-TEXT_TOP = """chars AS (SELECT id, 0 AS field, unnest(string_split(lower(content), '')) AS c, unnest(range(length(content))) AS i FROM memories
+STORE = "CASE WHEN starts_with(visibility, 'shared:') THEN visibility ELSE tenant_id END"
+# Grams come from windows over the characters of whole texts; counts are those of a text's store.
+TEXT_SCORES = """chars AS (SELECT id, 0 AS field, unnest(string_split(lower(content), '')) AS c, unnest(range(length(content))) AS i FROM memories
   UNION ALL SELECT id, 1, unnest(string_split(lower(l0_abstract), '')), unnest(range(length(l0_abstract))) FROM memories),
 doc_grams AS (SELECT id, field, unnest([a || b, a || b || c, a || b || c || d]) AS gram FROM (SELECT id, field, c AS a, lead(c, 1) OVER w AS b, lead(c, 2) OVER w AS c, lead(c, 3) OVER w AS d
   FROM chars WINDOW w AS (PARTITION BY id, field ORDER BY i))),
@@ -63,26 +64,28 @@ query_grams AS (SELECT DISTINCT query_id, unnest(list_concat(list_transform(rang
   list_transform(range(1, length(query_text) - 1), lambda i: substr(lower(query_text), i, 3)), list_transform(range(1, length(query_text) - 2), lambda i: substr(lower(query_text), i, 4)))) AS gram FROM memory_queries),
 sizes AS (SELECT id, 0 AS field, (greatest(length(content) - 1, 0) + greatest(length(content) - 2, 0) + greatest(length(content) - 3, 0))::DOUBLE AS size FROM memories
   UNION ALL SELECT id, 1, (greatest(length(l0_abstract) - 1, 0) + greatest(length(l0_abstract) - 2, 0) + greatest(length(l0_abstract) - 3, 0))::DOUBLE FROM memories),
-field_stats AS (SELECT field, count(*) AS n, avg(size) AS avg_size FROM sizes GROUP BY field),
+owners AS (SELECT id, STORE AS store FROM memories),
+field_stats AS (SELECT store, field, count(*) AS n, avg(size) AS avg_size FROM sizes JOIN owners USING (id) GROUP BY store, field),
 tf AS (SELECT id, field, gram, count(*) AS tf FROM doc_grams WHERE gram IN (SELECT gram FROM query_grams) GROUP BY 1, 2, 3),
-df AS (SELECT field, gram, count(*) AS df FROM tf GROUP BY 1, 2),
+df AS (SELECT store, field, gram, count(*) AS df FROM tf JOIN owners USING (id) GROUP BY 1, 2, 3),
 parts AS (SELECT tf.id, tf.field, tf.gram, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / avg_size)) AS part
-  FROM tf JOIN df USING (field, gram) JOIN field_stats USING (field) JOIN sizes USING (id, field)),
-by_field AS (SELECT query_id, id, field, sum(part) AS score FROM parts JOIN query_grams USING (gram) GROUP BY 1, 2, 3),
+  FROM tf JOIN owners USING (id) JOIN df USING (store, field, gram) JOIN field_stats USING (store, field) JOIN sizes USING (id, field)),
+by_field AS (SELECT query_id, id, field, sum(part) AS score FROM parts JOIN query_grams USING (gram) GROUP BY 1, 2, 3)"""
+TEXT_TOP = TEXT_SCORES.replace("STORE", "''") + """,
 text_top AS (SELECT * FROM (SELECT query_id, id AS memory_id, round(max(score), 6) AS text_score, row_number() OVER (PARTITION BY query_id ORDER BY round(max(score), 6) DESC, id) AS rn FROM by_field GROUP BY query_id, id) WHERE rn <= 60)"""
 
 
 @query("text_topk", f"WITH {TEXT_TOP} SELECT query_id, memory_id, text_score FROM text_top")
 def text_top(t):
-    return text_topk(t.memory_queries, t.memory, 60)
+    return text_topk(t.memory_queries.select("query_id", "query_text"), t.memory, 60)
 
 
 @query("text_topk_blocks", f"WITH {TEXT_TOP} SELECT query_id, memory_id, text_score FROM text_top WHERE rn <= 10")
 def text_top_blocks(t):
-    return text_topk(t.memory_queries, t.memory, 10, query_bound=16, cell_chars=800_000)
+    return text_topk(t.memory_queries.select("query_id", "query_text"), t.memory, 10, query_bound=16)
 
 
-TEXT_LEG = f"""{TEXT_TOP},
+TEXT_LEG = f"""{TEXT_SCORES.replace("STORE", STORE)},
 text_hits AS (SELECT query_id, memory_id, least(score, 1) AS text_score, rank FROM (
   SELECT query_id, h.id AS memory_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, h.id) AS rank
   FROM (SELECT query_id, id, round(max(score), 6) AS score FROM by_field GROUP BY query_id, id) h
@@ -94,6 +97,26 @@ def text_leg(t):
     return retrieval.text_leg(with_vectors(t), t.memory, 60).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+IN_SCOPE = ALLOWED + """ AND (mq.query_id % 3 <> 0 OR m.scope = 'global')
+  AND CASE mq.query_id % 5 WHEN 0 THEN m.project_path IS NULL WHEN 1 THEN m.project_path <> '' ELSE TRUE END"""
+
+
+def scoped(t):
+    kind = F.col("query_id") % 5
+    return with_vectors(t).withColumns({
+        "scope": F.when(F.col("query_id") % 3 == 0, "global"), "global_scope": F.when(kind == 0, "only").when(kind == 1, "exclude")})
+
+
+@query("vector_leg_scopes", f"WITH {VECTOR_LEG.replace(ALLOWED, IN_SCOPE)} SELECT query_id, memory_id, score, rank FROM vector_hits")
+def vector_leg_scopes(t):
+    return retrieval.vector_leg(scoped(t), t.memory, t.memory_vectors, 60).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("text_leg_scopes", f"WITH {TEXT_LEG.replace(ALLOWED, IN_SCOPE)} SELECT query_id, memory_id, text_score, rank FROM text_hits")
+def text_leg_scopes(t):
+    return retrieval.text_leg(scoped(t), t.memory, 60).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 # Stages are checked on cheap hits: kept recall items are the vector leg, the others the text leg.
 CHEAP = """raw_hits AS (SELECT query_id, memory_id, leg, max(score) AS score FROM (SELECT event_id % 40 AS query_id, memory_id, CASE WHEN is_kept THEN 'vector' ELSE 'text' END AS leg, score FROM recall_items) GROUP BY 1, 2, 3),
 legs AS (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, memory_id) AS rank FROM raw_hits),
@@ -286,16 +309,38 @@ def search(t):
     return rounded(run_search(t).results, "score")
 
 
-@query("search_spaces", f"""WITH {CHEAP}, a AS (SELECT owner_id AS user_id, space_id FROM spaces UNION SELECT user_id, space_id FROM space_members),
+SPACE_OPEN = """(m.space_id = mq.space_id AND (m.visibility = 'global' OR (m.visibility = 'private' AND m.owner_agent_id = mq.agent_id)
+   OR (m.visibility = 'shared:team/t1' AND mq.tenant_id IN ('tenant-0', 'tenant-1'))))"""
+SPACE_QUERIES = """opened AS (SELECT owner_id AS user_id, space_id FROM spaces UNION SELECT user_id, space_id FROM space_members),
+space_queries AS (SELECT q.* REPLACE (concat(q.query_id, '#', space_id) AS query_id), q.query_id AS plain_id, space_id,
+  CASE space_type WHEN 'personal' THEN 1.0::DOUBLE WHEN 'team' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS weight
+  FROM memory_queries q JOIN opened ON user_id = tenant_id JOIN spaces USING (space_id))"""
+SPACE_SEARCH = search_sql().replace(OPEN, SPACE_OPEN).replace("memory_queries", "space_queries").replace(f"{STORE} AS store", "space_id AS store")
+
+
+@query("search_spaces", f"""WITH {SPACE_QUERIES}, {SPACE_SEARCH.removeprefix("WITH ")},
+scaled AS (SELECT plain_id, s.space_id, memory_id, CASE WHEN best > 0 THEN score / best ELSE 0 END * weight AS score
+  FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM diverse) JOIN space_queries s USING (query_id))
+SELECT plain_id AS query_id, space_id, memory_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY plain_id ORDER BY score DESC, memory_id) AS rn FROM scaled) WHERE rn <= 20""")
+def search_spaces(t):
+    named = t.memory_queries.join(t.embeddings.select(F.col("vec_id").alias("query_vec_id"), "embedding"), "query_vec_id").withColumn(
+        "tags", F.array_compact(F.array("query_tag")))
+    hits = retrieval.search_spaces(named, t.memory, t.memory_vectors, t.memory_relations, graph.accessible_spaces(t.spaces, t.space_members), AS_OF)
+    return hits.select("query_id", "space_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+@query("merge_spaces", f"""WITH {CHEAP}, a AS (SELECT owner_id AS user_id, space_id FROM spaces UNION SELECT user_id, space_id FROM space_members),
 w AS (SELECT user_id, space_id, CASE space_type WHEN 'personal' THEN 1.0::DOUBLE WHEN 'team' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS weight FROM a JOIN spaces USING (space_id)),
 p AS (SELECT query_id, memory_id, v.score, weight, max(v.score) OVER (PARTITION BY query_id, m.space_id) AS best FROM vector_hits v JOIN memory_queries mq USING (query_id)
    JOIN memories m ON m.id = memory_id JOIN w ON w.user_id = mq.tenant_id AND w.space_id = m.space_id),
-r AS (SELECT *, CASE WHEN best > 0 THEN score / best ELSE score END * weight AS s FROM p)
+r AS (SELECT *, CASE WHEN best > 0 THEN score / best ELSE 0 END * weight AS s FROM p)
 SELECT query_id, memory_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, memory_id) AS rn FROM r) WHERE rn <= 20""")
-def search_spaces(t):
+def merge_spaces(t):
     hits = cheap_legs(t)[0].join(t.memory_queries.select("query_id", F.col("tenant_id").alias("user_id")), "query_id")
-    spaces = graph.accessible_spaces(t.spaces, t.space_members)
-    return rounded(retrieval.search_spaces(hits, t.memory, spaces, 20), "score")
+    spaces = graph.accessible_spaces(t.spaces, t.space_members).select("user_id", "space_id", "weight")
+    placed = hits.join(t.memory.select(F.col("id").alias("memory_id"), "space_id"), "memory_id").join(spaces, ["user_id", "space_id"])
+    return rounded(retrieval.merge_spaces(placed, 20), "score")
 
 
 @query("cross_reconcile", f"""WITH p AS (SELECT q.vec_id AS a, e.vec_id AS b, round({SIMILAR}, 6) AS score FROM vectors q JOIN vectors e ON TRUE),

@@ -25,47 +25,68 @@ def hits_schema(queries: DataFrame, rows: DataFrame, score: str) -> T.StructType
     ])
 
 
+def one(values) -> pa.Array:
+    """A list column of one row that holds ``values``."""
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def plain(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.to_numpy(zero_copy_only=False)
 
 
+QUERY_FILTERS = ("access_keys", "project_path", "scope", "global_scope")
+ROW_FILTERS = ("access_key", "project_path", "scope")
+
+
 class Access:
-    """Which rows the queries of a table may see, by their ``access_keys`` and ``project_path`` where they have them."""
+    """Which rows the queries of a table may see, by those of ``QUERY_FILTERS`` that they have."""
 
     def __init__(self, queries: pa.Table):
-        names = [c for c in ("access_keys", "project_path") if c in queries.column_names]
+        names = [c for c in QUERY_FILTERS if c in queries.column_names]
         self.queries = queries.select(names).to_pylist() if names else None
         self.known: dict[tuple, np.ndarray] = {}
 
-    def _seen(self, key: str | None, path: str | None) -> np.ndarray:
-        """A query opens rows whose access key it holds and whose project path applies; private rows have no path rule."""
-        if (key, path) not in self.known:
+    def _seen(self, key: str | None, path: str | None, scope: str | None) -> np.ndarray:
+        """A query opens rows whose access key it holds, that have its scope where it names one, lie in or out of the global
+        scope as it asks, and whose project path applies; private rows have no path rule."""
+        if (key, path, scope) not in self.known:
             def sees(query) -> bool:
                 if key is not None and key not in (query.get("access_keys") or ()):
                     return False
+                if query.get("scope") is not None and query["scope"] != scope:
+                    return False
+                where = query.get("global_scope")
+                if where == "only" and path is not None or where == "exclude" and not path:
+                    return False
                 own = query.get("project_path")
                 if own is None or not path or "private:" in (key or ""):
                     return True
                 return path == own or path.startswith(own + "/") or own.startswith(path + "/")
 
-            self.known[key, path] = np.array([sees(q) for q in self.queries], bool)
-        return self.known[key, path]
+            self.known[key, path, scope] = np.array([sees(q) for q in self.queries], bool)
+        return self.known[key, path, scope]
 
-    def matrix(self, batch) -> np.ndarray | None:
-        """Queries x rows; None where nothing is filtered. Worked out once for each kind of row."""
-        columns = [batch.column(c).dictionary_encode() if c in batch.schema.names else None for c in ("access_key", "project_path")]
-        if self.queries is None or columns == [None, None]:
+    def matrix(self, rows: dict[str, pa.Array]) -> np.ndarray | None:
+        """Queries x rows, by the columns of ``ROW_FILTERS`` that ``rows`` has; None where nothing is filtered. Worked out once
+        for each kind of row."""
+        if self.queries is None or not any(c in rows for c in ROW_FILTERS):
             return None
-        codes, words = np.zeros(batch.num_rows, np.int64), []
-        for column in columns:
+        n = len(next(iter(rows.values())))
+        codes, words = np.zeros(n, np.int64), []
+        for name in ROW_FILTERS:
+            column = rows[name].dictionary_encode() if name in rows else None
             words.append([None] if column is None else [*column.dictionary.to_pylist(), None])
             places = 0 if column is None else np.asarray(column.indices.fill_null(len(words[-1]) - 1))
             codes = codes * len(words[-1]) + places
         kinds, kind = np.unique(codes, return_inverse=True)
-        width = len(words[1])
-        return np.stack([self._seen(words[0][k // width], words[1][k % width]) for k in kinds.tolist()], axis=1)[:, kind]
+        many = [len(w) for w in words]
+        seen = [self._seen(words[0][k // (many[1] * many[2])], words[1][k // many[2] % many[1]], words[2][k % many[2]])
+                for k in kinds.tolist()]
+        return np.stack(seen, axis=1)[:, kind] if seen else np.zeros((len(self.queries), 0), bool)
 
 
 class TopRows:

@@ -96,6 +96,11 @@ def store_key() -> Column:
         F.concat("tenant_id", F.lit("/"), access_key()))
 
 
+def store_name() -> Column:
+    """The store that a memory's counts belong to: its space where it is shared, else its tenant."""
+    return F.when(F.startswith(F.col("visibility"), F.lit("shared:")), F.col("visibility")).otherwise(F.col("tenant_id"))
+
+
 def agent_keys(agents: DataFrame) -> DataFrame:
     """(agent_id, access_key) without the global key. ``agents``: agent_id, spaces array."""
     own = F.when(F.col("agent_id") != "", F.concat(F.lit("private:"), "agent_id"))

@@ -10,8 +10,10 @@ from ..functions.columns import lines
 SORTS = ("importance", "access_count", "updated_at", "created_at")
 
 
-def top_n(df: DataFrame, by, order, n: int) -> DataFrame:
-    """First ``n`` rows of each group. Spark cuts each partition before the shuffle (WindowGroupLimit)."""
+def top_n(df: DataFrame, by, order, n: int | None) -> DataFrame:
+    """First ``n`` rows of each group, all with None. Spark cuts each partition before the shuffle (WindowGroupLimit)."""
+    if n is None:
+        return df
     window = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -114,12 +114,12 @@ def gather_existing(facts: DataFrame, memories: DataFrame, vectors: DataFrame, p
     first = of_session.select("batch_id", "memory_id", F.struct(
         F.lit(-1).cast("bigint").alias("fact"), F.lit(0).alias("leg"), F.lit(0.0).alias("n")).alias("place"))
     asked = facts.select(F.col("fact_id").alias("query_id"), "embedding", "project_path", F.col("l0_abstract").alias("query_text"),
-                         F.array("tenant_id").alias("access_keys"))
-    stored = memories.withColumn("access_key", F.col("tenant_id")).withColumn(
+                         F.array("tenant_id").alias("access_keys"), F.array("tenant_id").alias("stores"))
+    stored = memories.withColumn("access_key", F.col("tenant_id")).withColumn("store", F.col("tenant_id")).withColumn(
         "project_path", F.when(F.col("visibility") != "private", F.col("project_path")))
     rows = vectors.select(F.col("id").alias("memory_id"), "embedding").join(
         stored.select(F.col("id").alias("memory_id"), "access_key", "project_path"), "memory_id")
-    near = vector_topk(asked.drop("query_text"), rows, per_fact, min_similarity)
+    near = vector_topk(asked.drop("query_text", "stores"), rows, per_fact, min_similarity)
     words = text_topk(asked.drop("embedding"), stored, per_fact)
     hits = near.select("query_id", "memory_id", F.lit(1).alias("leg"), (-F.col("score")).alias("n")).unionByName(
         words.select("query_id", "memory_id", F.lit(2).alias("leg"), (-F.col("text_score")).alias("n")))

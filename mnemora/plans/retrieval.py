@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions import text as tx
 from ..functions.scoring import Decay
-from ..operators import filters, graph, ranking, set_join
+from ..operators import blocks, filters, graph, ranking
+from ..operators.diversity import repeated
 from ..operators.ranking import top_n
 from ..operators.text_search import text_topk
 from ..operators.vectors import vector_topk
@@ -39,6 +40,7 @@ class Settings:
     same_text: float = 0.85
     same_text_factor: float = 0.5
     judged: int = 15
+    related: int | None = 20
     strategy: str = "balanced"
     decay: Decay = field(default_factory=Decay)
 
@@ -51,31 +53,49 @@ def merge_legs(vector: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def query_access(queries: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Adds ``access_keys``: what the agent of each query may open in the store of its tenant and in shared spaces. ``spaces``: user_id, space_id of accessible spaces."""
+    """Adds ``access_keys``, what the agent of each query may open in the store of its tenant and in shared spaces, and
+    ``stores``, where that lies. ``spaces``: user_id, space_id of accessible spaces."""
     shared = spaces.groupBy(F.col("user_id").alias("tenant_id")).agg(
         F.collect_set(F.concat(F.lit("shared:"), "space_id")).alias("_shared"))
     own = F.array_compact(F.array(
         F.concat("tenant_id", F.lit("/global")),
         F.when(F.col("agent_id") != "", F.concat("tenant_id", F.lit("/private:"), "agent_id"))))
-    return queries.join(shared, "tenant_id", "left").withColumn(
-        "access_keys", F.concat(own, F.coalesce("_shared", F.array().cast("array<string>")))).drop("_shared")
+    others = F.coalesce("_shared", F.array().cast("array<string>"))
+    return queries.join(shared, "tenant_id", "left").withColumns({
+        "access_keys": F.concat(own, others), "stores": F.concat(F.array("tenant_id"), others)}).drop("_shared")
+
+
+def keyed(memories: DataFrame) -> DataFrame:
+    """``memories`` with access_key and store, where they have none."""
+    made = {"access_key": filters.store_key(), "store": filters.store_name()}
+    return memories.withColumns({name: key for name, key in made.items() if name not in memories.columns})
+
+
+def asking(queries: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the queries and what they filter by."""
+    return queries.select(*columns, *[c for c in blocks.QUERY_FILTERS if c in queries.columns])
 
 
 def vector_leg(queries: DataFrame, memories: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, memory_id, score, rank), filtered before the top k. ``queries`` carry embedding, access_keys, project_path."""
-    rows = memories.select(
-        F.col("id").alias("memory_id"), filters.store_key().alias("access_key"), "project_path"
+    """(query_id, memory_id, score, rank), filtered before the top k.
+
+    ``queries``: query_id, embedding, access_keys, project_path [, scope, global_scope]: null filters let every row pass;
+    ``global_scope`` is ``only`` (rows without a path) or ``exclude``.
+    """
+    rows = keyed(memories).select(
+        F.col("id").alias("memory_id"), *blocks.ROW_FILTERS
     ).join(vectors.select(F.col("id").alias("memory_id"), "embedding"), "memory_id")
-    hits = vector_topk(queries.select("query_id", "embedding", "access_keys", "project_path"), rows, k, 0.0)
+    hits = vector_topk(asking(queries, "query_id", "embedding"), rows, k, 0.0)
     return ranking.rank_leg(hits.withColumn("leg", F.lit("vector"))).drop("leg")
 
 
 def text_leg(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """(query_id, memory_id, text_score, rank): the best ``k`` texts of what a query may open.
+    """(query_id, memory_id, text_score, rank): the best ``k`` texts of what a query may open, with the counts of their stores.
 
-    The score kept for later stages is clamped to [0, 1]; ranks follow the unclamped one.
+    ``queries``: query_id, query_text, stores and the filters of ``vector_leg``. The score kept for later stages is clamped to
+    [0, 1]; ranks follow the unclamped one.
     """
-    seen = text_topk(queries, memories.withColumn("access_key", filters.store_key()), k)
+    seen = text_topk(asking(queries, "query_id", "query_text", "stores"), keyed(memories), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("text_score"), "memory_id")
     return seen.withColumn("rank", F.row_number().over(order)).select(
         "query_id", "memory_id", F.least(F.col("text_score"), F.lit(1.0)).alias("text_score"), "rank")
@@ -112,10 +132,9 @@ def min_score_filter(candidates: DataFrame, low: float) -> DataFrame:
     return candidates.filter(F.col("score") >= low)
 
 
-def expand(candidates: DataFrame, relations: DataFrame, memories: DataFrame, queries: DataFrame) -> DataFrame:
+def expand(candidates: DataFrame, relations: DataFrame, memories: DataFrame, queries: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Candidates and what they are related to, as far as the query may open it."""
-    added = graph.expand_relations(
-        candidates, relations, memories.withColumn("access_key", filters.store_key()), queries=queries)
+    added = graph.expand_relations(candidates, relations, keyed(memories), s.related, queries)
     return candidates.unionByName(added.withColumn("text_score", F.lit(0.0)), allowMissingColumns=True)
 
 
@@ -153,21 +172,13 @@ def length_normalize(candidates: DataFrame) -> DataFrame:
 def diversity(candidates: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Halves, once, the score of a row whose content is nearly that of a better one; then the best ``limit`` rows."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")
-    keyed = candidates.select("memory_id", "content").dropDuplicates(["memory_id"]).select(
-        "memory_id", tx.content_set(F.col("content")).alias("tokens"))
-    keyed = cut_lineage(keyed.withColumn("set_key", set_join.set_key(F.col("tokens"))))
-    # similar texts are found once for all queries
-    sets = set_join.distinct_sets(keyed, [])
-    near = set_join.similar_sets(sets, sets, [], s.same_text).filter("left_key <> right_key")
-    ranked = candidates.withColumn("_rank", F.row_number().over(order)).join(keyed.select("memory_id", "set_key"), "memory_id")
-    best = ranked.groupBy("query_id", "set_key").agg(F.min("_rank").alias("_best"))
-    better = best.select("query_id", F.col("set_key").alias("right_key"), F.col("_best").alias("_near"))
-    nearest = best.join(near.withColumnRenamed("left_key", "set_key"), "set_key").join(
-        better, ["query_id", "right_key"]).groupBy("query_id", "set_key").agg(F.min("_near").alias("_near"))
-    judged = ranked.join(best.join(nearest, ["query_id", "set_key"], "left"), ["query_id", "set_key"])
-    alike = F.least("_best", "_near") < F.col("_rank")
-    halved = judged.withColumn("score", F.when(alike, F.col("score") * s.same_text_factor).otherwise(F.col("score")))
-    return top_n(halved, ["query_id"], [F.desc("score"), F.col("memory_id")], s.limit).drop("_rank", "_best", "_near", "set_key")
+    tokens = candidates.select("memory_id", "content").dropDuplicates(["memory_id"]).select(
+        "memory_id", F.transform(tx.content_set(F.col("content")), lambda t: F.xxhash64(t)).alias("tokens"))
+    ranked = candidates.withColumn("_rank", F.row_number().over(order))
+    alike = repeated(ranked.select("query_id", "memory_id", F.col("_rank").alias("place")).join(tokens, "memory_id"), s.same_text)
+    judged = ranked.join(alike.withColumn("_alike", F.lit(True)), ["query_id", "memory_id"], "left")
+    halved = judged.withColumn("score", F.when(F.col("_alike"), F.col("score") * s.same_text_factor).otherwise(F.col("score")))
+    return top_n(halved, ["query_id"], [F.desc("score"), F.col("memory_id")], s.limit).drop("_rank", "_alike")
 
 
 def apply_relevance(candidates: DataFrame, verdicts: DataFrame | None, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +214,8 @@ def search(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relation
            active_only: bool = False, legs: tuple[DataFrame, DataFrame] | None = None) -> SearchResult:
     """All stages for all queries. ``legs``: vector and text hits made before, of these queries and maybe others.
 
-    ``queries``: query_id, query_text, embedding, access_keys, project_path [, tags, min_score]. The legs are the heavy part; their
+    ``queries``: query_id, query_text, embedding, stores, access_keys, project_path [, scope, global_scope, tags, min_score];
+    ``memories`` [access_key, store]: see ``keyed``. The legs are the heavy part; their
     fusion is checkpointed, so the stages behind it, which read their input more than once, do not repeat the legs.
     """
     s = settings
@@ -227,7 +239,7 @@ def search(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relation
     else:
         scored = min_score_filter(normal, s.min_score)
     capped = ranking.topk_cap(scored, s.limit * s.cap_factor)
-    expanded = expand(capped, relations, memories, queries)
+    expanded = expand(capped, relations, memories, queries, s)
     blended = text_floor(blend_rerank(expanded, reranked, s.rerank_share), s)
     known = memories.select(F.col("id").alias("memory_id"), *ATTRIBUTES)
     weighed = length_normalize(importance_weight(decay_boost(blended.join(known, "memory_id"), as_of, s.decay)))
@@ -240,13 +252,53 @@ def search(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relation
     return SearchResult(kept, discarded, stages)
 
 
-def search_spaces(hits: DataFrame, memories: DataFrame, spaces: DataFrame, limit: int = 20) -> DataFrame:
-    """Hits of several spaces on one scale: score over the best of its space, times the space weight; best ``limit``.
+def space_queries(queries: DataFrame, spaces: DataFrame) -> DataFrame:
+    """One query per (query, space that its tenant may open), with an id, a store and access keys of its own.
 
-    ``hits``: query_id, user_id, memory_id, score, found in the space of the memory. ``spaces``: user_id, space_id, weight.
+    ``queries``: query_id, tenant_id, agent_id and what ``search`` takes. ``spaces``: user_id, space_id, weight, each pair once.
+    Adds search_id. Null agents open no private rows.
+    """
+    reach = spaces.groupBy(F.col("user_id").alias("tenant_id")).agg(F.collect_set("space_id").alias("_reach"))
+    each = spaces.select(F.col("user_id").alias("tenant_id"), "space_id", "weight")
+    named = queries.drop("space_id", "weight").join(each, "tenant_id").join(reach, "tenant_id")
+    keys = F.concat(
+        F.array_compact(F.array(F.lit("global"), F.when(F.col("agent_id") != "", F.concat(F.lit("private:"), "agent_id")))),
+        F.transform("_reach", lambda s: F.concat(F.lit("shared:"), s)))
+    own = F.col("query_id").cast("string")
+    return named.withColumns({
+        "search_id": F.concat(F.length(own), F.lit(":"), own, "space_id"),
+        "stores": F.array("space_id"),
+        "access_keys": F.transform(keys, lambda k: F.concat("space_id", F.lit("|"), k)),
+    }).drop("_reach")
+
+
+def merge_spaces(hits: DataFrame, limit: int | None = 20) -> DataFrame:
+    """Hits of several spaces on one scale: score over the best of its query and space, times the weight; best ``limit``.
+
+    ``hits``: query_id, space_id, weight, memory_id, score and more. Where no score of a space is above 0, all count 0.
     """
-    placed = hits.join(memories.select(F.col("id").alias("memory_id"), "space_id"), "memory_id").join(
-        spaces.select("user_id", "space_id", "weight"), ["user_id", "space_id"])
     best = F.max("score").over(Window.partitionBy("query_id", "space_id"))
-    scaled = F.when(best > 0, F.col("score") / best).otherwise(F.col("score")) * F.col("weight")
-    return ranking.topk_cap(placed.withColumn("score", scaled), limit)
+    scaled = F.when(best > 0, F.col("score") / best).otherwise(0.0) * F.col("weight")
+    return ranking.topk_cap(hits.withColumn("score", scaled), limit)
+
+
+def search_spaces(queries: DataFrame, memories: DataFrame, vectors: DataFrame, relations: DataFrame, spaces: DataFrame, as_of,
+                  reranked: DataFrame | None = None, verdicts: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """(query_id, space_id, memory_id, score, relevance): ``search`` in every space of a query on its own, put on one scale.
+
+    Each (query, space) has its own legs, top k, text counts, expansion and cuts. ``memories`` carry space_id; rows without one
+    are in no space. ``queries`` and ``spaces``: see ``space_queries``. ``reranked`` and ``verdicts`` are by query_id and memory_id.
+    """
+    asked = cut_lineage(space_queries(queries, spaces))
+    names = asked.select("search_id", "query_id", "space_id", "weight")
+    placed = memories.filter(F.col("space_id").isNotNull()).withColumns({
+        "access_key": F.concat("space_id", F.lit("|"), filters.access_key()), "store": F.col("space_id")})
+
+    def by_search(answers: DataFrame | None) -> DataFrame | None:
+        return answers if answers is None else answers.join(names.select("query_id", "search_id"), "query_id").drop(
+            "query_id").withColumnRenamed("search_id", "query_id")
+
+    found = search(asked.drop("query_id").withColumnRenamed("search_id", "query_id"), placed, vectors, relations, as_of,
+                   by_search(reranked), by_search(verdicts), settings).results
+    hits = found.withColumnRenamed("query_id", "search_id").join(names, "search_id")
+    return merge_spaces(hits, settings.limit).select("query_id", "space_id", "memory_id", "score", "relevance")

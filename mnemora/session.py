@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
@@ -10,6 +12,7 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
 }
 
 
@@ -35,6 +38,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, path: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """``df`` as a Parquet table ``name`` below ``path``, or in a folder of its own in the shared one, in folders ``by`` these
+    columns: computed once, safe from lost executors, and of a size that Spark knows when it plans."""
+    spark = df.sparkSession
+    target = f"{path or shared_folder(spark).rstrip('/') + '/' + uuid.uuid4().hex}/{name}"
+    df.write.mode("overwrite").partitionBy(*(by or [])).parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
 def take_bounded(df: DataFrame, bound: int):
     """Rows of ``df`` when there are at most ``bound``, else None. Never moves more than bound + 1 rows."""
     rows = df.limit(bound + 1).toArrow()
