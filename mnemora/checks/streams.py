@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..sources import transcripts, webhooks
 from ..streaming import flows, gates
 from . import reading
@@ -55,10 +56,21 @@ def recall_gate_batch(t):
     return gates.recall_gate_batch(gate_input(t))
 
 
+def in_parts(t, rows, by, parts=3):
+    """``rows`` as a stream of ``parts`` files in order of ``by``, one for each trigger."""
+    folder = flows.work_folder(t.spark, "parts")
+    cuts = rows.approxQuantile(by, [i / parts for i in range(1, parts)], 0.0) if rows.count() else []
+    place = sum([F.when(F.col(by) > c, 1).otherwise(0) for c in cuts], F.lit(0))
+    kept = stored(rows.withColumn("_part", place), "cut")
+    for part in range(parts):
+        kept.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query("recall_gate_stream", f"WITH RECURSIVE {GATE} SELECT gate_key, query_id, ts_s, reason = 'ok' AS allowed, reason FROM gated")
 def recall_gate_stream(t):
-    gates.use_rocksdb(t.spark)
-    return flows.drain(gates.recall_gate(gate_input(Live(t, "events")), expire=False), "append")
+    requests = in_parts(t, gate_input(t).withColumn("s", F.unix_seconds("ts")), "s")
+    return flows.drain(requests, "append", gates.recall_gate(flows.work_folder(t.spark, "gate")))
 
 
 def rejected(t):
@@ -66,15 +78,33 @@ def rejected(t):
         F.concat(F.lit("tenant-"), (F.col("vec_id") % 3).cast("string")).alias("tenant_id"), F.col("vec_id").alias("seq"), "embedding")
 
 
-@query("noise_learner_batch")
+def prototypes(t):
+    """The first vector of each label: as many as there are labels, a few tens."""
+    firsts = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return [r["embedding"] for r in firsts.orderBy("label").limit(64).collect()]
+
+
+# A tenant's vectors one by one, with the list of those learned so far.
+NOISE = """v AS (SELECT concat('tenant-', vec_id % 3) AS tenant_id, vec_id AS seq, row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id) AS n, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT a.tenant_id, a.n, list(b.n) AS close FROM v a JOIN v b ON a.tenant_id = b.tenant_id AND b.n < a.n AND round(list_cosine_similarity(a.e, b.e), 6) >= 0.4 GROUP BY 1, 2),
+fixed AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY label ORDER BY label LIMIT 64),
+barred AS (SELECT DISTINCT tenant_id, n FROM v JOIN fixed f ON round(list_cosine_similarity(v.e, f.e), 6) >= 0.4),
+told AS (SELECT v.tenant_id, v.n, v.seq, coalesce(close, []) AS close, b.n IS NOT NULL AS barred FROM v LEFT JOIN near USING (tenant_id, n) LEFT JOIN barred b ON b.tenant_id = v.tenant_id AND b.n = v.n),
+steps AS (SELECT tenant_id, 0::BIGINT AS n, []::BIGINT[] AS ring, FALSE AS learned FROM v GROUP BY tenant_id
+  UNION ALL SELECT s.tenant_id, t.n, CASE WHEN barred OR list_has_any(ring, close) THEN ring ELSE list_append(ring, t.n)[-20:] END, NOT (barred OR list_has_any(ring, close))
+  FROM steps s JOIN told t ON t.tenant_id = s.tenant_id AND t.n = s.n + 1)"""
+NOISE_SQL = f"WITH RECURSIVE {NOISE} SELECT tenant_id, seq, learned FROM steps JOIN v USING (tenant_id, n)"
+
+
+@query("noise_learner_batch", NOISE_SQL)
 def noise_learner_batch(t):
-    return gates.noise_learner_batch(rejected(t), [])
+    return gates.noise_learner_batch(rejected(t), prototypes(t), 0.4, 20)
 
 
-@query("noise_learner_stream")
+@query("noise_learner_stream", NOISE_SQL)
 def noise_learner_stream(t):
-    gates.use_rocksdb(t.spark)
-    return flows.drain(gates.noise_learner(rejected(Live(t, "embeddings")), []), "append")
+    body = gates.noise_learner(flows.work_folder(t.spark, "noise"), prototypes(t), 0.4, 20)
+    return flows.drain(in_parts(t, rejected(t), "seq"), "append", body)
 
 
 @query("stream_transcripts", f"WITH {TRANSCRIPT} SELECT session_id, line_no, uuid, content FROM parsed WHERE length(content) >= 100")

@@ -1,7 +1,16 @@
-"""Stateful per-key operators: the recall gate and the noise learner, each with a batch twin of the same rules.
+"""Rules that depend on order: the recall gate and the noise learner, over tables and over streams.
 
-The batch twins sort rows by key and time inside partitions and walk them once with the state of one key, so a key of
-any size streams through its task.
+**Recall gate.** Whether a request passes depends only on the time of the last one that passed, and of equal times only the first
+request can pass. A key's distinct seconds are cut into chunks of ``CHUNK_S``; a chunk is a function from the last pass before
+it to the last pass in it, known from the few seconds at its start where a first pass can lie. Chunks of one key become such
+functions in parallel, a walk over these summaries gives the last pass before every chunk, and chunks find their passes in
+parallel again. A key with a third of all rows is spread like any other.
+
+**Noise learner.** Leaders depend on all earlier ones, so a tenant is one sequence; it is taken block by block: one matrix product
+of a block with the known leaders, then steps only at the rows that become leaders.
+
+Streams run the same operators on each micro-batch (``foreachBatch``), with the state of the keys of a batch in a table by
+number of the batch: a batch that runs again reads the state before it and replaces its own.
 """
 
 from __future__ import annotations
@@ -9,18 +18,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.ranking import top_n
+from ..operators.vector_index import unit_rows
+from ..session import stored
 
 INTERVAL_S = 30
 FORGET_S = 86_400
 SAME_QUERY = 0.7
 SAME_NOISE = 0.95
 LEARNED = 200
+CHUNK_S = 3600
+BLOCK = 1024
+DIGITS = 6
 
-GATE_SCHEMA = "gate_key string, query_id bigint, ts_s bigint, allowed boolean, reason string"
+GATE_STATE = "gate_key string, last bigint"
+NOISE_STATE = "tenant_id string, seq bigint, embedding array<double>"
 
 
 def gate_key():
@@ -36,7 +52,7 @@ def gate_rows(queries: DataFrame) -> DataFrame:
 
 
 def judge(last: int | None, ts: int, similarity: float | None) -> tuple[int | None, str]:
-    """(time of the last request let through the rate limit, reason). A similar query uses up its slot anyway."""
+    """(time of the last request let through the rate limit, reason), row by row. A similar query uses up its slot anyway."""
     if last is not None and ts - last >= FORGET_S:
         last = None
     if last is not None and ts - last < INTERVAL_S:
@@ -46,65 +62,106 @@ def judge(last: int | None, ts: int, similarity: float | None) -> tuple[int | No
     return ts, "ok"
 
 
-def _verdicts(rows: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
-    reasons = []
-    for ts, similarity in zip(rows["ts_s"], rows["similarity"]):
-        last, reason = judge(last, int(ts), similarity)
-        reasons.append(reason)
-    done = rows[["gate_key", "query_id", "ts_s"]].assign(allowed=[r == "ok" for r in reasons], reason=reasons)
-    return done, last
+def chunk_function(ts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seconds of a chunk that may be its first pass, and the last pass that follows from each. ``ts``: sorted, distinct."""
+    after = np.searchsorted(ts, ts + INTERVAL_S)
+    last = np.where(after < len(ts), after, np.arange(len(ts)))
+    while (last[last] != last).any():
+        last = last[last]
+    first = int(np.searchsorted(ts, ts[0] - ts[0] % CHUNK_S + INTERVAL_S)) + 1
+    return ts[:first], ts[last[:first]]
+
+
+def chunk_passes(ts: np.ndarray, last: int | None) -> list[int]:
+    """Seconds of a chunk at which a request passes, given the last pass before it."""
+    out, at = [], 0 if last is None else int(np.searchsorted(ts, last + INTERVAL_S))
+    while at < len(ts):
+        out.append(int(ts[at]))
+        at = int(np.searchsorted(ts, ts[at] + INTERVAL_S))
+    return out
+
+
+def _summaries(batches):
+    for batch in batches:
+        made = [chunk_function(np.asarray(x)) for x in batch.column("ts").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("gate_key"), batch.column("chunk"), *[pa.array([m[i].tolist() for m in made], pa.list_(pa.int64())) for i in (0, 1)],
+             batch.column("known")], ["gate_key", "chunk", "first", "last", "known"])
+
+
+def _walk(batches: Iterator[pa.RecordBatch]):
+    """Last pass before each chunk, over summaries in order of key and chunk."""
+    key, last = None, None
+    for batch in batches:
+        before = []
+        for name, first, ends, known in zip(*(batch.column(c).to_pylist() for c in ("gate_key", "first", "last", "known"))):
+            if name != key:
+                key, last = name, known
+            before.append(last)
+            at = 0 if last is None else int(np.searchsorted(first, last + INTERVAL_S))
+            if at < len(first):
+                last = ends[at]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("gate_key"), batch.column("chunk"), pa.array(before, pa.int64())], ["gate_key", "chunk", "before"])
+
+
+def _pass_times(batches):
+    for batch in batches:
+        found = [chunk_passes(np.asarray(ts), last) for ts, last in zip(batch.column("ts").to_pylist(), batch.column("before").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("gate_key"), pa.array(found, pa.list_(pa.int64()))], ["gate_key", "passes"])
+
+
+def gated(rows: DataFrame, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, state behind them) of ``gate_rows``; ``state``: gate_key, last pass of what came before.
+
+    A request within ``INTERVAL_S`` of the last pass, or before it, is rate-limited; another one passes the limit, but is
+    refused if its similarity is above ``SAME_QUERY``. Equal times go by query_id. Null similarities are not similar.
+    """
+    spark = rows.sparkSession
+    seconds = rows.groupBy("gate_key", "ts_s").agg(F.min("query_id").alias("query_id"))
+    known = spark.createDataFrame([], GATE_STATE) if state is None else state
+    chunks = stored(seconds.groupBy("gate_key", F.floor(F.col("ts_s") / CHUNK_S).alias("chunk")).agg(
+        F.sort_array(F.collect_list("ts_s")).alias("ts")).join(known.withColumnRenamed("last", "known"), "gate_key", "left"), "chunks")
+    summaries = chunks.mapInArrow(_summaries, "gate_key string, chunk bigint, first array<bigint>, last array<bigint>, known bigint")
+    before = summaries.repartition("gate_key").sortWithinPartitions("gate_key", "chunk").mapInArrow(
+        _walk, "gate_key string, chunk bigint, before bigint")
+    times = stored(chunks.join(before, ["gate_key", "chunk"]).mapInArrow(_pass_times, "gate_key string, passes array<bigint>"), "passes")
+    passes = times.select("gate_key", F.explode("passes").alias("ts_s"))
+    firsts = passes.join(seconds, ["gate_key", "ts_s"]).select("gate_key", "ts_s", "query_id", F.lit(True).alias("passed"))
+    reason = F.when(F.col("passed").isNull(), "rate_limited").when(
+        ~F.isnan("similarity") & (F.col("similarity") > SAME_QUERY), "similarity_too_high").otherwise("ok")
+    verdicts = rows.join(firsts, ["gate_key", "ts_s", "query_id"], "left").withColumn("reason", reason).select(
+        "gate_key", "query_id", "ts_s", (F.col("reason") == "ok").alias("allowed"), "reason")
+    latest = times.groupBy("gate_key").agg(F.max(F.array_max("passes")).alias("last")).filter("last IS NOT NULL")
+    return verdicts, known.join(latest, "gate_key", "left_anti").unionByName(latest)
 
 
 def recall_gate_batch(queries: DataFrame) -> DataFrame:
-    rows = gate_rows(queries)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        for batch in batches:
-            for name, part in batch.groupby("gate_key", sort=False):
-                if name != key:
-                    key, last = name, None
-                done, last = _verdicts(part, last)
-                yield done
-
-    return rows.repartition("gate_key").sortWithinPartitions("gate_key", "ts_s", "query_id").mapInPandas(walk, GATE_SCHEMA)
-
+    return gated(gate_rows(queries))[0]
 
-class RecallGate(StatefulProcessor):
-    """Keeps the time of the last request let through; with ``expire`` the store drops it after a day."""
 
-    def __init__(self, expire: bool):
-        self.expire = expire
+def _state_before(spark: SparkSession, folder: str, number: int, schema: str, key: str) -> DataFrame | None:
+    """Newest state of each key in the batches below ``number``."""
+    if number == 0:
+        return None
+    rows = spark.read.schema(f"{schema}, batch int").parquet(folder).filter(F.col("batch") < number)
+    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [key, "batch"]).drop("batch")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = {"ttlDurationMs": FORGET_S * 1000} if self.expire else {}
-        self.last = handle.getValueState("last", "ts_s bigint", **ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        pending = pd.concat(list(rows)).sort_values(["ts_s", "query_id"])
-        done, last = _verdicts(pending, last)
-        if last is not None:
-            self.last.update((last,))
-        yield done
+def recall_gate(folder: str):
+    """``foreachBatch`` body of a stream of queries: verdicts of a batch, after those of the batches before it.
 
-    def close(self) -> None:
-        pass
-
-
-def use_rocksdb(spark) -> None:
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
-def recall_gate(queries: DataFrame, expire: bool = True) -> DataFrame:
-    """Streaming gate. Needs the RocksDB state store (``use_rocksdb``).
-
-    Expiry works on processing time, whose stream never runs dry: a run over what is there now takes ``expire=False``.
+    The last pass of each key that a batch meets goes to ``folder`` under its number.
     """
-    return gate_rows(queries).groupBy("gate_key").transformWithStateInPandas(
-        RecallGate(expire), GATE_SCHEMA, "append", "ProcessingTime" if expire else "None")
+    def of_batch(queries: DataFrame, number: int) -> DataFrame:
+        rows = stored(gate_rows(queries), "requests")
+        verdicts, state = gated(rows, _state_before(rows.sparkSession, folder, number, GATE_STATE, "gate_key"))
+        met = state.join(rows.select("gate_key").distinct(), "gate_key", "left_semi")
+        met.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        return verdicts
+
+    return of_batch
 
 
 def unit(vector) -> np.ndarray:
@@ -113,59 +170,99 @@ def unit(vector) -> np.ndarray:
     return array / norm if norm else array
 
 
-NOISE_SCHEMA = "tenant_id string, seq bigint, learned boolean"
-
-
-def _learn(rows: pd.DataFrame, fixed: list[np.ndarray], learned: list[np.ndarray]) -> pd.DataFrame:
-    """New vectors join ``learned`` unless close to a known one; the oldest leaves when it is full."""
-    taken = []
-    for vector in rows["embedding"]:
-        new = unit(vector)
-        known = any(float(new @ old) >= SAME_NOISE for old in (*fixed, *learned))
-        taken.append(not known)
-        if not known:
-            if len(learned) >= LEARNED:
-                learned.pop(0)
-            learned.append(new)
-    return rows[["tenant_id", "seq"]].assign(learned=taken)
-
-
-def noise_learner_batch(rejected: DataFrame, prototypes: list) -> DataFrame:
-    """(tenant_id, seq, learned) of rejected vectors in order. ``prototypes``: the fixed ones, as lists."""
-    fixed = [unit(p) for p in prototypes]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, learned = None, []
+class Leaders:
+    """Learned vectors of one tenant, oldest first, at most ``size``; the oldest leaves for a new one."""
+
+    def __init__(self, fixed: np.ndarray, size: int, same: float, learned=()):
+        self.fixed, self.size, self.same, self.learned = fixed, size, same, list(learned)
+
+    def learn(self, vectors: np.ndarray) -> np.ndarray:
+        """Which rows join, in order: those close to no fixed and no learned vector."""
+        out = np.zeros(len(vectors), bool)
+        for start in range(0, len(vectors), BLOCK):
+            self._block(vectors[start : start + BLOCK], out[start : start + BLOCK])
+        return out
+
+    def _block(self, rows: np.ndarray, out: np.ndarray) -> None:
+        gone, held = 0, len(self.learned)
+        youngest = np.full(len(rows), -1)  # place of the newest leader that a row is close to: the last of its leaders to leave
+        if held:
+            close = np.round(rows @ np.stack(self.learned).T, DIGITS) >= self.same
+            youngest = np.where(close.any(axis=1), held - 1 - close[:, ::-1].argmax(axis=1), -1)
+        if len(self.fixed):  # never leave
+            youngest[(np.round(rows @ self.fixed.T, DIGITS) >= self.same).any(axis=1)] = np.iinfo(np.int64).max
+        at = 0
+        while True:
+            free = np.flatnonzero(youngest[at:] < gone)
+            if not len(free):
+                return
+            at += int(free[0])
+            out[at] = True
+            if len(self.learned) >= self.size:
+                self.learned.pop(0)
+                gone += 1
+            self.learned.append(rows[at])
+            close = at + 1 + np.flatnonzero(np.round(rows[at + 1 :] @ rows[at], DIGITS) >= self.same)
+            youngest[close] = np.maximum(youngest[close], held)
+            held += 1
+            at += 1
+
+
+def _taught(fixed: np.ndarray, same: float, size: int):
+    """Rows in order of tenant, state first, then seq: which of the new ones join."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        tenant, leaders = None, None
         for batch in batches:
-            for name, part in batch.groupby("tenant_id", sort=False):
-                if name != key:
-                    key, learned = name, []
-                yield _learn(part, fixed, learned)
-
-    rows = rejected.select("tenant_id", "seq", "embedding")
-    return rows.repartition("tenant_id").sortWithinPartitions("tenant_id", "seq").mapInPandas(walk, NOISE_SCHEMA)
-
-
-class NoiseLearner(StatefulProcessor):
-    """Learned vectors of one tenant, oldest first."""
-
-    def __init__(self, prototypes: list):
-        self.fixed = [unit(p) for p in prototypes]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.learned = handle.getListState("learned", "embedding array<double>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = [np.asarray(row[0]) for row in self.learned.get()] if self.learned.exists() else []
-        done = _learn(pd.concat(list(rows)).sort_values("seq"), self.fixed, known)
-        self.learned.put([(v.tolist(),) for v in known])
-        yield done
-
-    def close(self) -> None:
-        pass
-
-
-def noise_learner(rejected: DataFrame, prototypes: list) -> DataFrame:
-    """Streaming learner. Needs the RocksDB state store (``use_rocksdb``)."""
-    return rejected.select("tenant_id", "seq", "embedding").groupBy("tenant_id").transformWithStateInPandas(
-        NoiseLearner(prototypes), NOISE_SCHEMA, "append", "None")
+            names, old = batch.column("tenant_id").to_pylist(), batch.column("old").to_numpy(zero_copy_only=False)
+            learned, start = np.zeros(len(names), bool), 0
+            vectors = unit_rows(batch.column("embedding"))
+            while start < len(names):
+                stop = start
+                while stop < len(names) and names[stop] == names[start] and old[stop] == old[start]:
+                    stop += 1
+                if leaders is None or names[start] != tenant:
+                    tenant, leaders = names[start], Leaders(fixed, size, same)
+                if old[start]:
+                    leaders.learned.extend(vectors[start:stop])
+                else:
+                    learned[start:stop] = leaders.learn(vectors[start:stop])
+                start = stop
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("tenant_id"), batch.column("seq"), pa.array(learned)], ["tenant_id", "seq", "learned"]).filter(pa.array(~old))
+
+    return run
+
+
+def learned_noise(rejected: DataFrame, prototypes: list, state: DataFrame | None = None, same: float = SAME_NOISE,
+                  size: int = LEARNED) -> tuple[DataFrame, DataFrame]:
+    """((tenant_id, seq, learned), state behind them) of rejected vectors in order of seq, which is distinct within a tenant.
+
+    ``prototypes``: the fixed vectors, as lists. ``state``: tenant_id, seq, embedding of the learned ones of before.
+    """
+    rows = rejected.select("tenant_id", "seq", F.col("embedding").cast("array<double>").alias("embedding"))
+    before = rejected.sparkSession.createDataFrame([], NOISE_STATE) if state is None else state
+    both = rows.withColumn("old", F.lit(False)).unionByName(before.withColumn("old", F.lit(True)))
+    fixed = np.stack([unit(p) for p in prototypes]) if len(prototypes) else np.zeros((0, 1))
+    told = stored(both.repartition("tenant_id").sortWithinPartitions("tenant_id", F.desc("old"), "seq").mapInArrow(
+        _taught(fixed, same, size), "tenant_id string, seq bigint, learned boolean"), "learned")
+    joined = rows.join(told.filter("learned").select("tenant_id", "seq"), ["tenant_id", "seq"]).select("tenant_id", "seq", "embedding")
+    return told, top_n(before.unionByName(joined), ["tenant_id"], [F.desc("seq")], size)
+
+
+def noise_learner_batch(rejected: DataFrame, prototypes: list, same: float = SAME_NOISE, size: int = LEARNED) -> DataFrame:
+    """(tenant_id, seq, learned) of rejected vectors."""
+    return learned_noise(rejected, prototypes, None, same, size)[0]
+
+
+def noise_learner(folder: str, prototypes: list, same: float = SAME_NOISE, size: int = LEARNED):
+    """``foreachBatch`` body of a stream of rejected vectors, whose batches come in order of seq. The learned vectors of the tenants
+    that a batch meets go to ``folder`` under its number."""
+    def of_batch(rejected: DataFrame, number: int) -> DataFrame:
+        rows = stored(rejected.select("tenant_id", "seq", "embedding"), "rejected")
+        told, state = learned_noise(rows, prototypes, _state_before(rows.sparkSession, folder, number, NOISE_STATE, "tenant_id"), same, size)
+        met = state.join(rows.select("tenant_id").distinct(), "tenant_id", "left_semi")
+        met.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        return told
+
+    return of_batch
