@@ -177,47 +177,53 @@ def graph_nodes(memories: DataFrame, edges: DataFrame, min_importance: float = 0
     return nodes if limit is None else nodes.orderBy("id").limit(limit)
 
 
-def chain_tail(memories: DataFrame, relations: DataFrame) -> DataFrame:
-    """(id, tail_id): end of the first ``continued_by`` link, followed to the last memory.
+def chain_tail(memories: DataFrame, relations: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(id, tail_id): end of the first ``continued_by`` link, followed to the last memory, of all memories or of ``starts`` (id).
 
-    Pointer doubling: each round joins the jump table with itself, so a chain of n links takes log2 n rounds. A walk
-    into a cycle ends on the memory that links back to where the cycle was entered.
+    Jumps of 1, 2, 4, .. links are tables of the memories that have so many links before them, so each is smaller than the one
+    before; ``starts`` alone are then walked, from the longest jumps to the shortest. A walk into a cycle ends on the memory that
+    links back to where the cycle was entered.
     """
     ids = memories.select("id")
     first = relations.filter("relation_type = 'continued_by'").groupBy("src_id").agg(F.min("target_id").alias("next"))
     links = first.join(ids.withColumnRenamed("id", "next"), "next", "left_semi").filter("src_id <> next").select(
         F.col("src_id").alias("id"), "next")
     links = cut_lineage(links)
-    walked, loops = _walk(ids, links)
-    if not loops:
-        return walked.select("id", F.col("at").alias("tail_id"))
-    on_cycle = cut_lineage(walked.filter("turning").select("at").distinct())
-    entries, _ = _walk(ids, links.join(on_cycle.withColumnRenamed("at", "id"), "id", "left_anti"))
+    begun = ids if starts is None else ids.join(starts.select("id").distinct(), "id", "left_semi")
+    jumps, turning = _jumps(links)
+    if turning is None:
+        return _landed(begun, jumps).select("id", F.col("at").alias("tail_id"))
+    on_cycle = cut_lineage(turning.select(F.col("next").alias("at")).distinct())
+    straight = cut_lineage(links.join(on_cycle.withColumnRenamed("at", "id"), "id", "left_anti"))
+    entries = _landed(begun, _jumps(straight)[0])
     back = links.join(on_cycle.withColumnRenamed("at", "id"), "id", "left_semi").select(
         F.col("id").alias("_before"), F.col("next").alias("at"))
-    back = back.join(on_cycle, "at", "left_semi")
     return entries.join(back, "at", "left").select("id", F.coalesce("_before", "at").alias("tail_id"))
 
 
-def _walk(ids: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """(id, at, turning) where every walk has ended, or has made more steps than there are links: it turns in a cycle."""
-    bound = links.count()
-    jumps = cut_lineage(ids.join(links, "id", "left").select(
-        "id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("bigint").alias("steps")))
-    span = 1
-    while span <= bound:
-        far = jumps.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"))
-        moved = jumps.join(far, "at").select(
-            "id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"),
-            (F.col("_steps") > 0).alias("_moved"))
-        moved = cut_lineage(moved)
+def _jumps(links: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (id, next) of jumps of 1, 2, 4, .. links; and, where walks longer than there are links show that some turn in a
+    cycle, where these are then."""
+    bound, span, out = links.count(), 1, [links]
+    while True:
+        last = out[-1]
+        far = cut_lineage(last.join(last.select(F.col("id").alias("next"), F.col("next").alias("_far")), "next").select(
+            "id", F.col("_far").alias("next")))
+        if far.limit(1).count() == 0:
+            return out, None
         span *= 2
-        jumps = moved.drop("_moved")
-        if moved.filter("_moved").limit(1).count() == 0:
-            break
-    turning = F.col("steps") > bound
-    walked = jumps.withColumn("turning", turning)
-    return walked, walked.filter("turning").limit(1).count() > 0
+        if span > bound:
+            return out, far
+        out.append(far)
+
+
+def _landed(ids: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(id, at): where the walk from each id ends."""
+    at = ids.select("id", F.col("id").alias("at"))
+    for table in reversed(jumps):
+        step = table.select(F.col("id").alias("at"), F.col("next").alias("_to"))
+        at = at.join(step, "at", "left").select("id", F.coalesce("_to", "at").alias("at"))
+    return at
 
 
 def chain_members(roots: DataFrame, relations: DataFrame, memories: DataFrame, depth: int = 5) -> DataFrame:
