@@ -1,7 +1,10 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import chunking
-from ..sources import files, memories, transcripts, webhooks
+from ..session import stored
+from ..sources import files, jsonl, memories, transcripts, webhooks
+from ..streaming import flows
 from .registry import query
 from .texts import fold, strip_sql
 
@@ -107,6 +110,47 @@ def parse_transcripts(t):
     return transcripts.parse_transcripts(transcript_lines(t))
 
 
+def write_files(lines, folder, mode="wb"):
+    """Lines of each session as a file in ``folder``, in order of line_no; with mode ``ab``, behind what is there."""
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        system, at = jsonl.opened(folder)
+        system.create_dir(at)
+        name = f"{at}/{rows['session_id'].iloc[0]}.jsonl"
+        old = b""
+        if mode == "ab" and system.get_file_info(name).size:
+            with system.open_input_file(name) as source:
+                old = source.read()
+        with system.open_output_stream(name) as out:
+            out.write(old + "".join(f"{x}\n" for x in rows.sort_values("line_no")["value"]).encode())
+        return pd.DataFrame({"name": [name]})
+
+    lines.groupBy("session_id").applyInPandas(write, "name string").count()
+
+
+@query("read_transcripts", f"WITH {TRANSCRIPT} SELECT session_id, line_no, uuid, role, content, length(content) >= 100 AS kept FROM parsed")
+def read_transcripts(t):
+    """From files of one session each, in ranges of 2 KB."""
+    folder = flows.work_folder(t.spark, "transcripts")
+    write_files(transcript_lines(t), folder)
+    return transcripts.read_transcripts(t.spark, folder, splitBytes=2048)
+
+
+@query("follow_transcripts", f"""WITH {TRANSCRIPT}, cut AS (SELECT session_id, max(line_no) FILTER (line_no < 3) AS last FROM parsed GROUP BY 1)
+SELECT session_id, uuid, content, line_no > coalesce(last, -1) AS new FROM parsed JOIN cut USING (session_id)""")
+def follow_transcripts(t):
+    """A stream over files that grow between two runs; what lies behind the cursors of the first run is new."""
+    source, folder = flows.work_folder(t.spark, "growing"), flows.work_folder(t.spark, "followed")
+    lines = transcript_lines(t)
+    write_files(lines.filter("line_no < 3"), source)
+    first = flows.drain(transcripts.read_transcripts(t.spark, source, True, splitBytes=2048), "append", folder=folder)
+    cursors = stored(transcripts.new_cursors(first), "cursors")
+    write_files(lines.filter("line_no >= 3"), source, "ab")
+    rows = flows.drain(transcripts.read_transcripts(t.spark, source, True, splitBytes=2048), "append", folder=folder)
+    new = transcripts.after_cursor(rows, cursors).select("session_id", "uuid", F.lit(True).alias("new"))
+    return rows.select("session_id", "uuid", "content").join(new, ["session_id", "uuid"], "left").fillna(False, ["new"])
+
+
 @query("after_cursor", f"WITH {TRANSCRIPT} SELECT session_id, line_no FROM parsed p WHERE length(content) >= 100 AND line_no > CASE WHEN EXISTS (SELECT 1 FROM parsed c WHERE c.session_id = p.session_id AND c.line_no = 2) THEN 2 ELSE -1 END")
 def after_cursor(t):
     rows = transcripts.parse_transcripts(transcript_lines(t))

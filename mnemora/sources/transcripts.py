@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_transcript
+from .jsonl import numbered_lines, read_lines
 
 LINE = "type string, uuid string, message struct<role:string,content:string>"
 BLOCKS = "array<struct<type:string,text:string,content:string,name:string,input:string>>"
@@ -67,10 +68,13 @@ def new_cursors(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.max_by("uuid", "line_no").alias("uuid"))
 
 
-def read_transcripts(spark: SparkSession, path: str, stream: bool = False, hosts=("memory",)) -> DataFrame:
-    """Parsed lines of transcript files, one session per file. A stream keeps its place in its checkpoint."""
-    reader = spark.readStream if stream else spark.read
-    lines = reader.text(path).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl?$", "").alias("session_id"),
-        F.monotonically_increasing_id().alias("line_no"), "value")
-    return parse_transcripts(lines, hosts)
+def read_transcripts(spark: SparkSession, path: str, stream: bool = False, hosts=("memory",), **options) -> DataFrame:
+    """Parsed lines of transcript files, one session per file, named by it.
+
+    line_no is the number of a line in its file. In a stream, which takes lines as files grow and does not count again what it has
+    read, it is the byte at which the line begins; both order the lines of a file. ``options``: glob, splitBytes.
+    """
+    lines = read_lines(spark, path, stream, **options)
+    placed = lines.withColumn("line_no", F.col("start")) if stream else numbered_lines(lines)
+    session = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl?$", "")
+    return parse_transcripts(placed.select(session.alias("session_id"), "line_no", "value"), hosts)

@@ -94,21 +94,22 @@ def stream_session_groups(events: DataFrame) -> DataFrame:
     return stats.session_groups(events)
 
 
-def drain(stream: DataFrame, mode: str, fn=None) -> DataFrame:
+def drain(stream: DataFrame, mode: str, fn=None, folder: str | None = None) -> DataFrame:
     """Process what a stream's source holds now and give the result as a table.
 
-    ``fn`` maps each micro-batch and its number. In complete and update mode the last state of the batches stands: with all input in
-    one trigger that is the whole result.
+    ``fn`` maps each micro-batch and its number. In complete mode the state behind the last batch stands; in the other modes the
+    rows of all batches. ``folder`` keeps sink and checkpoint, so a later call goes on from there.
     """
     spark = stream.sparkSession
-    out, check = work_folder(spark, "sink"), work_folder(spark, "checkpoint")
+    folder = folder or work_folder(spark, "drained")
+    out, check = f"{folder}/sink", f"{folder}/checkpoint"
     schema = None
 
     def write(batch: DataFrame, number: int) -> None:
         nonlocal schema
         rows = fn(batch, number) if fn else batch
         schema = rows.schema
-        rows.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
+        rows.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", check).trigger(
         availableNow=True).start()
@@ -116,7 +117,8 @@ def drain(stream: DataFrame, mode: str, fn=None) -> DataFrame:
         query.awaitTermination()
     finally:
         query.stop()
-    done = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(out)
+    whole = T.StructType([*(schema.fields if schema else stream.schema.fields), T.StructField("_batch", T.IntegerType())])
+    done = spark.read.schema(whole).parquet(out)
     if mode == "complete":
         done = done.filter(F.col("_batch") == done.agg(F.max("_batch")).first()[0])
-    return done.drop("_batch")
+    return done.drop("_batch", "part")
