@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import Chunks
-from .common import table
+from .common import released, table
 
 BLOCK = 1024
 NEVER = 1 << 60
@@ -264,7 +264,7 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 300_000
+KEEP = 50_000
 STOPS = (".", ",")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -57,6 +59,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go: Spark removes them once the driver's JVM has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``saved`` wrote and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in sorted({name.rsplit("/", 1)[0] for name in df.inputFiles()}):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,6 +94,21 @@ def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def released(run):
+    """``run`` over the batches of a task, then free memory goes back to the machine: workers are used again by later stages
+    and would hold what their largest task took."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def lowered(text: Column) -> Column:
     """A-Z as a-z, everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

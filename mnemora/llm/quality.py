@@ -14,11 +14,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import words as W
-from .common import table
+from .common import released, table
 
 BITS = 18
+PIECE = 1 << 19
 DIM = 1 << BITS
 SAMPLE = 6000
 EPOCHS = 3
@@ -43,6 +45,16 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, place, counts / np.sqrt(squares[row])
 
 
+def pieces(column: pa.Array):
+    """Slices of a text column in order, of about PIECE bytes, with at least one text each."""
+    ends = W.text_buffer(column)[1][1:]
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE, "right")))
+        yield column.slice(start, stop - start)
+        start = stop
+
+
 def held_out(doc_id, folds: int, fold: int):
     """Whether the remainder of the row's checksum puts it outside the training rows; false for null ids."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -58,13 +70,16 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold
 
 def _vectors(batches):
     for batch in batches:
-        row, place, value = features(batch["text"])
-        offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
-        yield pa.RecordBatch.from_arrays([
-            batch["turn"], batch["doc_id"], batch["label"],
-            pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32())),
-            pa.ListArray.from_arrays(offsets, pa.array(value)),
-        ], ["turn", "doc_id", "label", "place", "value"])
+        done = 0
+        for texts in pieces(batch["text"]):
+            row, place, value = features(texts)
+            offsets = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                *(batch[name].slice(done, len(texts)) for name in ("turn", "doc_id", "label")),
+                pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(value)),
+            ], ["turn", "doc_id", "label", "place", "value"])
+            done += len(texts)
 
 
 def fitted(rows: pd.DataFrame, epochs: int = EPOCHS) -> np.ndarray:
@@ -90,7 +105,7 @@ def trained(labelled: DataFrame) -> np.ndarray:
         return pd.DataFrame({"weights": [fitted(rows.sort_values(["turn", "doc_id", "label"])).tobytes()]})
 
     vectors = labelled.select("turn", "doc_id", "label", "text").mapInArrow(
-        _vectors, "turn long, doc_id long, label double, place array<int>, value array<double>"
+        released(_vectors), "turn long, doc_id long, label double, place array<int>, value array<double>"
     )
     found = vectors.groupBy(F.lit(0).alias("all")).applyInPandas(train, "weights binary").collect()
     return np.frombuffer(found[0]["weights"]) if found else np.zeros(DIM)
@@ -99,26 +114,36 @@ def trained(labelled: DataFrame) -> np.ndarray:
 def scored(documents: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
     """``documents`` with the score in a last column ``name``, which replaces a column of that name; row for row.
 
-    Null and empty texts have no features and score 0.5. Every row keeps its own result, so repeated rows stay.
+    Null and empty texts have no features and score 0.5. Every row keeps its own result, so repeated rows stay. Only texts go to
+    the Python workers, and only scores come back.
     """
     held = documents.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches):
-        for batch in batches:
-            row, place, value = features(batch["text"])
-            total = np.bincount(row, held.value[place] * value, minlength=batch.num_rows)
-            score = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
+    def run(columns):
+        for column in columns:
+            totals = [np.zeros(0)]
+            for texts in pieces(column):
+                row, place, value = features(texts)
+                totals.append(np.bincount(row, held.value[place] * value, minlength=len(texts)))
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(totals), -35, 35))))
 
+    score = F.arrow_udf(released(run), "double", ArrowUDFType.SCALAR_ITER)
     kept = documents.drop(name)
-    types = ", ".join(f"`{column}` {kind}" for column, kind in kept.dtypes)
-    return kept.mapInArrow(run, f"{types}, `{name}` double")
+    return kept.select("*", score("text").alias(name))
+
+
+def unused(documents: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as tell it from the columns that are there."""
+    while name.lower() in (c.lower() for c in documents.columns):
+        name += "_"
+    return name
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``documents``, all columns, with a score of THRESHOLD or more."""
     weights = trained(sample(documents, labels, "quality", FOLDS, HELD_OUT, SAMPLE))
-    return scored(documents, weights, "__score").where(F.col("__score") >= THRESHOLD).drop("__score")
+    name = unused(documents, "score")
+    return scored(documents, weights, name).where(F.col(f"`{name}`") >= THRESHOLD).drop(name)
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
