@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bitmap_of, in_bitmap, numbered, saved, table
+from .common import bitmap_of, freed, in_bitmap, numbered, released, removed, saved, table
 from .components import components
 
 #: Of op6: words of a shingle, least similarity in percent.
@@ -301,7 +301,8 @@ def _in_blocks(rows: DataFrame, counts: DataFrame, size: int, n_rows: int) -> Da
     bi, bj = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.withColumn("bi", bi).withColumn("bj", bj)
     return dealt.withColumn(
-        "bucket", F.when(F.col("blocks") == 1, F.pmod("key", F.lit(buckets))).otherwise(F.xxhash64("key", "bi", "bj")))
+        "bucket", F.when(F.col("blocks") == 1, F.pmod("key", F.lit(buckets))).otherwise(F.xxhash64("key", "bi", "bj"))).drop(
+        "blocks", "own", "other")
 
 
 def joined(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -315,7 +316,7 @@ def joined(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """
     rows = numbered(documents.select("doc_id", "text"))
     keyed = saved(
-        rows.select("rid", "doc_id", "text").mapInArrow(_set_keys(shingle), "rid long, doc_id long, n_shingles long, key1 long, key2 long"),
+        rows.select("rid", "doc_id", "text").mapInArrow(released(_set_keys(shingle)), "rid long, doc_id long, n_shingles long, key1 long, key2 long"),
         "sets",
     )
     identity = ["n_shingles", "key1", "key2"]
@@ -326,16 +327,19 @@ def joined(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     common, length = common_shingles(rows, keyed, shingle)
     edge = boundary(length, percent)
     sketched = saved(
-        rows.select("rid", "text").mapInArrow(_keys(common, edge, shingle, percent), "rid long, sketch binary, keys array<long>").join(reps, "rid"),
+        rows.select("rid", "text").mapInArrow(released(_keys(common, edge, shingle, percent)), "rid long, sketch binary, keys array<long>").join(reps, "rid"),
         "keys",
     )
     postings = sketched.select("rid", F.explode("keys").alias("key"))
     counts = saved(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     shared = saved(postings.join(counts.select("key"), "key"), "postings")
-    members = shared.join(sketched.drop("keys"), "rid")
-    forest = _in_blocks(members, counts, LIST_BLOCK, shared.count()).groupBy("bucket").applyInPandas(lambda part: _lists(part, percent), "a long, b long")
+    # lists are dealt before the wide sketches are joined to them, so these are shuffled to their buckets once
+    members = _in_blocks(shared, counts, LIST_BLOCK, shared.count()).join(sketched.drop("keys"), "rid")
+    forest = members.groupBy("bucket").applyInPandas(lambda part: _lists(part, percent), "a long, b long")
     groups = saved(components(forest.distinct()).select(F.col("root").alias("key"), F.col("node").alias("rid")), "candidates")
     sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
+    removed(sketched, counts, shared)
+    freed(documents.sparkSession)
 
     def sets(batches):
         for batch in batches:
@@ -353,7 +357,7 @@ def joined(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
             yield batch.filter(pa.array(in_bitmap(hit, bits, batch["rid"].to_numpy())))
 
     texts = rows.select("rid", "text").mapInArrow(concerned, "rid long, text string").join(groups, "rid").select("key", "rid", "text")
-    full = texts.mapInArrow(sets, "key long, rid long, set binary")
+    full = texts.mapInArrow(released(sets), "key long, rid long, set binary")
     links = _in_blocks(full, sizes, SET_BLOCK, 8 * groups.count()).groupBy("bucket").applyInPandas(lambda part: _verified(part, percent), "a long, b long")
     roots = components(saved(links, "links"))
     named = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -50,8 +50,9 @@ def test_pipeline_equals_brute_force(spark):
     sets = []
     for _, text in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(fold))
-        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
-    root = linked(sets, lambda a, b: a and b and 100 * len(a & b) >= 90 * len(a | b))
+        k = corpus_pipeline.SHINGLE
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    root = linked(sets, lambda a, b: a and b and 100 * len(a & b) >= corpus_pipeline.PERCENT * len(a | b))
     docs = [d for i, d in enumerate(docs) if root[i] == i]
     cut, sources, shorter = [(d, t.split()) for d, t in docs], {}, []
     for d, w in cut:
