@@ -6,6 +6,9 @@ Segments are dealt into shards by anchor, so equal windows meet in a shard. A sh
 segments and streams them through it by backward search; the intervals that reach WINDOW words give the least doc_id of every
 window. Shards hold about SHARD segments; more shards come with more data.
 
+Places of repeated segments are gathered by bucket of documents before they meet the windows of their segment, so a passage
+that a third of all documents carry is one row for each bucket, and its rows are spread by bucket.
+
 Texts are shuffled only where a bitmap of bounded size (MAX_BITS) says that they may be concerned; the join behind is exact.
 """
 
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bitmap_of, in_bitmap, numbered, saved, table
+from .common import bitmap_of, in_bitmap, numbered, released, saved, table
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -28,6 +31,7 @@ ANCHOR = 16
 SIDE = WINDOW - ANCHOR
 SHARD = 2048
 MAX_BITS = 24
+PLACES = 16384
 LAST = (1 << 63) - 1
 
 
@@ -69,20 +73,21 @@ def _segments(batches):
     """Words of the chosen segments."""
     for batch in batches:
         w = W.words(batch["text"], W.FIELDS)
-        out = {"anchor": [], "segment": [], "doc": [], "words": []}
+        out = {"anchor": [], "segment": [], "doc": [], "most": [], "words": []}
         for i, chosen in enumerate(batch["chosen"].to_pylist()):
             mine = w.hash[w.first[i] : w.first[i + 1]]
             for x in chosen:
                 begin, end = _segment_bounds(x["pos"], len(mine))
-                for name in ("anchor", "segment", "doc"):
+                for name in ("anchor", "segment", "doc", "most"):
                     out[name].append(x[name])
                 out["words"].append(mine[begin:end].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out[n], pa.int64()) for n in ("anchor", "segment", "doc")] + [pa.array(out["words"], pa.binary())], list(out))
+            [pa.array(out[n], pa.int64()) for n in ("anchor", "segment", "doc", "most")] + [pa.array(out["words"], pa.binary())], list(out))
 
 
 def _sources(rows: pd.DataFrame) -> pd.DataFrame:
-    """Per segment of a shard, its windows in runs of one least doc_id: first window, number of windows, doc_id."""
+    """Per segment of a shard, its windows in runs of one least doc_id: first window, number of windows, doc_id. Runs that no
+    document with this segment comes after are left out."""
     index = FMIndex([np.frombuffer(x, np.uint64) for x in rows["words"]], WINDOW)
     least = index.least(rows["doc"].to_numpy())
     found = [(lane, place, least[block]) for lane, place, block in index.matches()]
@@ -92,24 +97,64 @@ def _sources(rows: pd.DataFrame) -> pd.DataFrame:
     new = np.ones(len(lane), bool)
     new[1:] = (lane[1:] != lane[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(lane)))
+    older = doc[begin] < rows["most"].to_numpy()[lane[begin]]
+    begin, size = begin[older], size[older]
     return pd.DataFrame({
         "anchor": rows["anchor"].to_numpy()[lane[begin]], "segment": rows["segment"].to_numpy()[lane[begin]],
-        "first": place[begin], "n": np.diff(np.append(begin, len(lane))), "source": doc[begin],
+        "first": place[begin], "n": size, "source": doc[begin],
     })
 
 
+def _likely(held, bits: int):
+    """Anchors whose segment may be one with sources."""
+
+    def run(batches):
+        hit = np.unpackbits(np.frombuffer(held.value, np.uint8)).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(hit, bits, batch["segment"].to_numpy())))
+
+    return run
+
+
+def _ranges(rows: pa.Table) -> pa.Table:
+    """Word ranges of each document of a bucket, from rows (places of a segment, runs of its windows), joined where they meet."""
+    found = [np.zeros((3, 0), np.int64)]
+    for batch in rows.to_batches():
+        for i in range(batch.num_rows):
+            places, runs = batch["places"][i].values, batch["runs"][i].values
+            rid, doc, pos = (places.field(name).to_numpy().astype(np.int64) for name in ("rid", "doc", "pos"))
+            first, n, source = (runs.field(name).to_numpy().astype(np.int64) for name in ("first", "n", "source"))
+            at, run = np.nonzero(source[None, :] < doc[:, None])
+            begin = np.maximum(pos[at] - SIDE, 0) + first[run]
+            found.append(np.stack([rid[at], begin, begin + n[run] - 1 + WINDOW]))
+    rid, begin, end = np.concatenate(found, axis=1)
+    order = np.lexsort((begin, rid))
+    rid, begin, end = rid[order], begin[order], end[order]
+    docs, number = np.unique(rid, return_inverse=True)
+    reach = np.maximum.accumulate(number * (1 << 40) + end) - number * (1 << 40)  # furthest end so far in the document
+    new = np.ones(len(rid), bool)
+    new[1:] = (rid[1:] != rid[:-1]) | (begin[1:] > reach[:-1])
+    start = np.flatnonzero(new)
+    last = np.append(start[1:], len(rid)) - 1
+    ranges = pa.StructArray.from_arrays(
+        [pa.array(begin[start], pa.int32()), pa.array(reach[last] if len(last) else last, pa.int32())], ["begin", "end"])
+    offsets = np.append(np.searchsorted(rid[start], docs), len(start))
+    return pa.table({"rid": pa.array(docs), "ranges": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ranges)})
+
+
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """rid and the array of word ranges (begin, end) that windows of smaller documents cover; rows: rid, doc_id, text."""
     anchors = saved(
-        rows.select("rid", "doc_id", "text").mapInArrow(_anchors, "anchor long, segment long, rid long, doc long, pos int"), "anchors")
+        rows.select("rid", "doc_id", "text").mapInArrow(released(_anchors), "anchor long, segment long, rid long, doc long, pos int"), "anchors")
     shared = anchors.groupBy("anchor", "segment").agg(
         F.min(F.struct("doc", "rid", "pos")).alias("first"), F.max("doc").alias("most"))
     docs = shared.groupBy("anchor").agg(F.min("first.doc").alias("lo"), F.max("most").alias("hi")).where("lo < hi").select("anchor")
-    distinct = saved(shared.join(docs, "anchor").select("anchor", "segment", "first.doc", "first.rid", "first.pos"), "segments")
-    chosen = distinct.groupBy("rid").agg(F.collect_list(F.struct("anchor", "segment", "doc", "pos")).alias("chosen"))
+    distinct = saved(shared.join(docs, "anchor").select("anchor", "segment", "first.doc", "first.rid", "first.pos", "most"), "segments")
+    chosen = distinct.groupBy("rid").agg(F.collect_list(F.struct("anchor", "segment", "doc", "pos", "most")).alias("chosen"))
     held, bits = bitmap_of(distinct, "rid", MAX_BITS)
     texts = rows.select("rid", "text").mapInArrow(_texts(held, bits), "rid long, text string").join(chosen, "rid")
-    full = texts.select("text", "chosen").mapInArrow(_segments, "anchor long, segment long, doc long, words binary")
+    full = texts.select("text", "chosen").mapInArrow(released(_segments), "anchor long, segment long, doc long, most long, words binary")
     shards = max(1, distinct.count() // SHARD)
     sources = saved(
         full.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(
@@ -117,12 +162,12 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         "sources",
     )
     runs = sources.groupBy("anchor", "segment").agg(F.collect_list(F.struct("first", "n", "source")).alias("runs"))
-    begin = F.col("pos") - F.least("pos", F.lit(SIDE))
-    older = F.transform(
-        F.filter("runs", lambda r: r["source"] < F.col("doc")),
-        lambda r: F.struct((begin + r["first"]).alias("begin"), (begin + r["first"] + r["n"] - 1 + WINDOW).alias("end")))
-    places = anchors.join(runs, ["anchor", "segment"]).select("rid", older.alias("ranges")).where(F.size("ranges") > 0)
-    return places.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    held, bits = bitmap_of(sources, "segment", MAX_BITS)
+    bucket = F.pmod(F.xxhash64("rid"), F.lit(max(1, anchors.count() // PLACES)))
+    packed = anchors.mapInArrow(released(_likely(held, bits)), anchors.schema).groupBy("anchor", "segment", bucket.alias("bucket")).agg(
+        F.collect_list(F.struct("rid", "doc", "pos")).alias("places"))
+    met = packed.join(runs, ["anchor", "segment"]).select("bucket", "places", "runs")
+    return met.groupBy("bucket").applyInArrow(_ranges, "rid long, ranges array<struct<begin: int, end: int>>")
 
 
 def _kept(text: bytes, ranges) -> tuple[int, list[bytes]]:
@@ -176,10 +221,10 @@ def _finished(documents: DataFrame, column: str, form) -> DataFrame:
     kinds = f"rid long, doc_id long, n_words long, n_removed long, {column}"
     seen = saved(
         rows.select("rid", "doc_id", "text").mapInArrow(
-            first, f"rid long, doc_id long, later boolean, waiting binary, n_words long, n_removed long, {column}"),
+            released(first), f"rid long, doc_id long, later boolean, waiting binary, n_words long, n_removed long, {column}"),
         "texts",
     )
-    rest = seen.where("later").select("rid", "doc_id", "waiting").join(ranges, "rid", "left").mapInArrow(second, kinds)
+    rest = seen.where("later").select("rid", "doc_id", "waiting").join(ranges, "rid", "left").mapInArrow(released(second), kinds)
     return seen.where("NOT later").drop("later", "waiting").unionByName(rest)
 
 
