@@ -12,6 +12,10 @@ from mnemora.llm import bpe, decontaminate, ngram_join, quality, substring_dedup
 from mnemora.llm.common import prepared, saved, table
 
 
+#: Near duplicates: words of a shingle, and the least similarity in hundredths.
+SHINGLE, PERCENT = 5, 80
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it is trained on the labelled rows of ``docs``."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
@@ -20,7 +24,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id."""
     prepared(spark)
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
