@@ -121,17 +121,11 @@ def stream_webhooks(t):
 
 @query("stream_session_memory")
 def stream_session_memory(t):
-    memories, facts = open_memories(t), t.facts
-    live = Live(t, "conversations")
-
-    body = flows.stream_session_memory(memories, AS_OF, flows.work_folder(t.spark, "session-memory"))
-
-    def fold(batch, number):
-        batch_tables = Tables(t.spark, t.path)
-        batch_tables._built = {"session_messages": batch, "facts": facts}
-        return body(topics(batch_tables), number)
-
-    return flows.drain(live.session_messages, "append", fold)
+    """Three triggers of topics in order of their sessions' time; the last row of each memory."""
+    flows.use_rocksdb(t.spark)
+    stream = in_parts(t, topics(t), "topic_no")
+    rows = flows.drain(flows.stream_session_memory(stream, open_memories(t), AS_OF), "append", lambda batch, n: batch.withColumn("batch", F.lit(n)))
+    return rows.groupBy("id").agg(F.max_by(F.struct("session_id", "kind", "content", "l0_abstract", "l1_overview", "l2_content", "tags", "parent_id"), "batch").alias("r")).select("id", "r.*")
 
 
 @query("stream_access_counts", "SELECT memory_id AS id, count(*) AS hits FROM (SELECT event_id % 1000 AS memory_id FROM events) GROUP BY 1")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import session_memory, sharing, stats, updates
 from ..operators.graph import with_hash
-from ..operators.ranking import top_n
 from ..session import shared_folder
 
 
@@ -59,28 +61,61 @@ def stream_auto_share(memories: DataFrame, spaces: DataFrame, members: DataFrame
     return of_batch
 
 
-def session_state(memories: DataFrame, log: str, before: int) -> DataFrame:
-    """Session memories as the batches below ``before`` left them: the last row of each id in the log, else the stored one."""
-    if before == 0:
-        return memories.withColumn("place", F.lit(-1).cast("bigint"))
-    logged = memories.sparkSession.read.parquet(log).filter(F.col("batch") < before)
-    last = top_n(logged, ["id"], [F.desc("batch")], 1)
-    kept = memories.withColumn("id", F.col("id").cast("string")).join(last.select("id"), "id", "left_anti")
-    return kept.withColumn("place", F.lit(-1).cast("bigint")).unionByName(
-        last.withColumn("created_at", F.lit(None).cast("timestamp")).select(*memories.columns, "place"))
+OPEN_ROW = "id string, content string, l0_abstract string, tags array<string>, parent_id string, place bigint"
 
 
-def stream_session_memory(memories: DataFrame, as_of, log: str):
-    """``foreachBatch`` body: a batch of topics folded onto the session memories as the batches before it left them.
+class SessionFold(StatefulProcessor):
+    """Keeps the open memory of each kind of one session; topics are folded onto it as they come."""
 
-    Changed rows go to ``log`` under the number of the batch, so a batch that runs again replaces itself.
-    """
-    def of_batch(topics: DataFrame, number: int) -> DataFrame:
-        path = f"{log}/batch={number}"
-        session_memory.append_topics(session_state(memories, log, number), topics, as_of).write.mode("overwrite").parquet(path)
-        return memories.sparkSession.read.parquet(path)
+    def __init__(self, max_tags: int | None):
+        self.max_tags = max_tags
 
-    return of_batch
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", "kind string", OPEN_ROW)
+
+    def _keep(self, row: dict) -> None:
+        tags = list(row["tags"])[: self.max_tags]
+        self.open.updateValue((row["kind"],), (row["id"], row["content"], row["l0_abstract"], tags, row["parent_id"], int(row["place"])))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for row in initialState.to_dict("records"):
+            self._keep(row)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        topics = [r for frame in rows for r in frame.to_dict("records")]
+        names = [part.split()[0] for part in OPEN_ROW.split(", ")]
+        held = [{"session_id": key[0], "kind": kind[0], **dict(zip(names, value))} for kind, value in self.open.iterator()]
+        made = session_memory.folded_rows(held, sorted(topics, key=lambda r: r["topic_no"]))
+        newest = {}
+        for row in sorted(made.to_dict("records"), key=lambda r: r["place"]):
+            newest[row["kind"]] = row
+        for row in newest.values():
+            self._keep(row)
+        yield made
+
+    def close(self) -> None:
+        pass
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that keyed state needs."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_session_memory(topics: DataFrame, memories: DataFrame, as_of, max_tags: int | None = 8) -> DataFrame:
+    """Changed and new memories (see ``session_memory.append_topics``) of a stream of topics.
+
+    The state of a session is its open memory of each kind, at first the stored one of ``memories``, so the cost of a batch
+    depends on its topics only. A memory comes out once for each batch that changes it; the last row of an id stands.
+    """
+    rows = session_memory.incoming(topics, as_of)
+    first = session_memory.open_rows(memories).withColumn("parent_id", F.lit(None).cast("string")).select(
+        "session_id", "kind", *[p.split()[0] for p in OPEN_ROW.split(", ")])
+    folded = rows.groupBy("session_id").transformWithStateInPandas(
+        SessionFold(max_tags), session_memory.FOLDED_SCHEMA, "append", "None", initialState=first.groupBy("session_id"))
+    return session_memory.finished(folded, max_tags)
 
 
 def stream_timeline(events: DataFrame, late: str = "1 day") -> DataFrame:

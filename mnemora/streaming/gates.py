@@ -9,8 +9,8 @@ parallel again. A key with a third of all rows is spread like any other.
 **Noise learner.** Leaders depend on all earlier ones, so a tenant is one sequence; it is taken block by block: one matrix product
 of a block with the known leaders, then steps only at the rows that become leaders.
 
-Streams run the same operators on each micro-batch (``foreachBatch``), with the state of the keys of a batch in a table by
-number of the batch: a batch that runs again reads the state before it and replaces its own.
+Streams run the same operators on each micro-batch (``foreachBatch``), with the state of all keys in a table by number of the
+batch: a batch reads what the one before it left, and one that runs again replaces its own.
 """
 
 from __future__ import annotations
@@ -140,25 +140,22 @@ def recall_gate_batch(queries: DataFrame) -> DataFrame:
     return gated(gate_rows(queries))[0]
 
 
-def _state_before(spark: SparkSession, folder: str, number: int, schema: str, key: str) -> DataFrame | None:
-    """Newest state of each key in the batches below ``number``."""
-    if number == 0:
-        return None
-    rows = spark.read.schema(f"{schema}, batch int").parquet(folder).filter(F.col("batch") < number)
-    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [key, "batch"]).drop("batch")
+def _state_before(spark: SparkSession, folder: str, number: int, schema: str) -> DataFrame | None:
+    """What the batch before ``number`` left: each batch writes the state of all keys, so none reads more than one."""
+    return None if number == 0 else spark.read.schema(schema).parquet(f"{folder}/batch={number - 1}")
 
 
 def recall_gate(folder: str):
     """``foreachBatch`` body of a stream of queries: verdicts of a batch, after those of the batches before it.
 
-    The last pass of each key that a batch meets goes to ``folder`` under its number.
+    The last pass of each key goes to ``folder`` under the number of the batch; one that is ``FORGET_S`` behind the newest
+    no longer counts and is left out.
     """
     def of_batch(queries: DataFrame, number: int) -> DataFrame:
         rows = stored(gate_rows(queries), "requests")
-        verdicts, state = gated(rows, _state_before(rows.sparkSession, folder, number, GATE_STATE, "gate_key"))
-        met = state.join(rows.select("gate_key").distinct(), "gate_key", "left_semi")
-        met.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        verdicts, state = gated(rows, _state_before(rows.sparkSession, folder, number, GATE_STATE))
+        newest = rows.agg(F.max("ts_s")).first()[0]
+        state.filter(F.col("last") > F.lit(newest) - FORGET_S).write.mode("overwrite").parquet(f"{folder}/batch={number}")
         return verdicts
 
     return of_batch
@@ -256,13 +253,12 @@ def noise_learner_batch(rejected: DataFrame, prototypes: list, same: float = SAM
 
 
 def noise_learner(folder: str, prototypes: list, same: float = SAME_NOISE, size: int = LEARNED):
-    """``foreachBatch`` body of a stream of rejected vectors, whose batches come in order of seq. The learned vectors of the tenants
-    that a batch meets go to ``folder`` under its number."""
+    """``foreachBatch`` body of a stream of rejected vectors, whose batches come in order of seq. The learned vectors go to ``folder``
+    under the number of the batch."""
     def of_batch(rejected: DataFrame, number: int) -> DataFrame:
         rows = stored(rejected.select("tenant_id", "seq", "embedding"), "rejected")
-        told, state = learned_noise(rows, prototypes, _state_before(rows.sparkSession, folder, number, NOISE_STATE, "tenant_id"), same, size)
-        met = state.join(rows.select("tenant_id").distinct(), "tenant_id", "left_semi")
-        met.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        told, state = learned_noise(rows, prototypes, _state_before(rows.sparkSession, folder, number, NOISE_STATE), same, size)
+        state.write.mode("overwrite").parquet(f"{folder}/batch={number}")
         return told
 
     return of_batch
