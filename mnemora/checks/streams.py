@@ -56,11 +56,12 @@ def recall_gate_batch(t):
     return gates.recall_gate_batch(gate_input(t))
 
 
-def in_parts(t, rows, by, parts=3):
-    """``rows`` as a stream of ``parts`` files in order of ``by``, one for each trigger."""
+def in_parts(t, rows, by=None, parts=3, place=None):
+    """``rows`` as a stream of ``parts`` files in order of ``by``, or by their ``place`` from 0, one for each trigger."""
     folder = flows.work_folder(t.spark, "parts")
-    cuts = rows.approxQuantile(by, [i / parts for i in range(1, parts)], 0.0) if rows.count() else []
-    place = sum([F.when(F.col(by) > c, 1).otherwise(0) for c in cuts], F.lit(0))
+    if place is None:
+        cuts = rows.approxQuantile(by, [i / parts for i in range(1, parts)], 0.0) if rows.count() else []
+        place = sum([F.when(F.col(by) > c, 1).otherwise(0) for c in cuts], F.lit(0))
     kept = stored(rows.withColumn("_part", place), "cut")
     for part in range(parts):
         kept.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(folder)
@@ -148,6 +149,21 @@ def stream_timeline(t):
     return flows.drain(flows.stream_timeline(events), "complete").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+# Three triggers. A trigger closes days by the newest event of those before it, less a day; a row is late for days that were closed a trigger earlier.
+CLOSED = """e AS (SELECT event_id % 3 AS part, ts, event_type AS action, date_trunc('day', ts) + INTERVAL 1 DAY AS closes FROM events),
+marks AS (SELECT part, max(max(ts)) OVER (ORDER BY part) - INTERVAL 1 DAY AS mark FROM e GROUP BY part),
+kept AS (SELECT e.* FROM e LEFT JOIN marks ON marks.part = e.part - 2 WHERE mark IS NULL OR closes > mark)"""
+
+
+@query("stream_timeline_closed", f"""WITH {CLOSED} SELECT strftime(closes - INTERVAL 1 DAY, '%Y-%m-%d') AS day, action, count(*) AS n FROM kept
+ WHERE closes <= (SELECT max(mark) FROM marks) GROUP BY 1, 2""")
+def stream_timeline_closed(t):
+    """In append mode: days come out once, when the watermark has passed them, and their state goes; later rows are dropped."""
+    rows = t.events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("action"), (F.col("event_id") % 3).alias("part"))
+    events = in_parts(t, rows, place=F.col("part"))
+    return flows.drain(flows.stream_timeline(events), "append").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query("stream_session_groups", """SELECT session_id, count(*) AS recalls, count(*) FILTER (recall_type = 'auto') AS auto, count(*) FILTER (recall_type = 'manual') AS manual,
  arg_max(query_text, (ts, event_id)) AS latest_query FROM recall_events GROUP BY session_id""")
 def stream_session_groups(t):
