@@ -135,19 +135,38 @@ def planted(t):
     return facts, memories, candidates
 
 
-@query("exact_dedup", f"""WITH {PLANTED},
+DEDUP = f"""{PLANTED},
 pairs AS (SELECT f.fact_id, c.memory_id, place, f.importance AS fi, p.importance AS mi, {norm_sql('f.l0_abstract')} AS fn, {norm_sql('p.content')} AS mn, lower(f.l0_abstract) AS a, lower(p.l0_abstract) AS b,
    {norm_sql('f.l0_abstract')} AS x, {norm_sql('p.l0_abstract')} AS y FROM weighted f JOIN cand c USING (batch_id) JOIN planted p ON p.id = c.memory_id),
 sets AS (SELECT *, list_distinct(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) AS gx, list_distinct(list_transform(range(1, length(y) - 1), lambda i: substr(y, i, 3))) AS gy FROM pairs),
 sims AS (SELECT *, CASE WHEN len(gx) = 0 AND len(gy) = 0 THEN 1 WHEN len(gx) = 0 OR len(gy) = 0 THEN 0 ELSE len(list_intersect(gx, gy)) / (len(gx) + len(gy) - len(list_intersect(gx, gy)))::DOUBLE END AS sim FROM sets),
 tiers AS (SELECT *, CASE WHEN fn = mn THEN 1 WHEN contains(a, b) OR contains(b, a) THEN 2 WHEN sim > 0.6 THEN 3 END AS tier FROM sims),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY tier, CASE tier WHEN 1 THEN -place WHEN 2 THEN place ELSE -sim END, place) AS rn FROM tiers WHERE tier IS NOT NULL) WHERE rn = 1)
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY tier, CASE tier WHEN 1 THEN -place WHEN 2 THEN place ELSE -sim END, place) AS rn FROM tiers WHERE tier IS NOT NULL) WHERE rn = 1)"""
+
+
+@query("exact_dedup", f"""WITH {DEDUP}
 SELECT w.fact_id, tier, memory_id, CASE WHEN tier IS NULL THEN 'new' WHEN mi >= fi THEN 'skip' ELSE 'upgrade' END AS outcome FROM weighted w LEFT JOIN best USING (fact_id)""")
 def exact_dedup(t):
     facts, memories, candidates = planted(t)
     return reconcile.exact_dedup(facts, memories, candidates).select("fact_id", "tier", "memory_id", "outcome")
 
 
+UPGRADED = f"""{DEDUP},
+raised AS (SELECT * FROM (SELECT memory_id AS id, w.*, row_number() OVER (PARTITION BY memory_id ORDER BY w.batch_id DESC, w.fact_index DESC, w.fact_id DESC) AS nth
+  FROM best JOIN weighted w USING (fact_id) WHERE mi < fi) WHERE nth = 1)"""
+
+
+def with_texts(facts):
+    return facts.withColumn("l1_overview", F.lit(None).cast("string")).withColumn("tags", F.array(F.lit("new")))
+
+
+@query("upgraded_rows", f"WITH {UPGRADED} SELECT id, l0_abstract AS content, l0_abstract, l2_content, 'new' AS tags, round(least(1, greatest(quality_score, 0.1::DOUBLE)), 6) AS confidence, round(importance, 6) AS importance FROM raised")
+def upgraded_rows(t):
+    facts, memories, candidates = planted(t)
+    rows = reconcile.upgraded_rows(with_texts(facts), reconcile.exact_dedup(facts, memories, candidates), AS_OF)
+    return rows.select("id", "content", "l0_abstract", "l2_content", F.array_join("tags", ",").alias("tags"), F.round("confidence", 6).alias("confidence"), F.round("importance", 6).alias("importance"))
+
+
 @query("session_fast_merge")
 def session_fast_merge(t):
     facts, memories, _ = planted(t)
@@ -186,6 +205,36 @@ def apply_edges(t):
     return applied(t).edges.select("src_id", "relation_type", "target_id")
 
 
+# Upgrades, then what decisions change, on the stored rows; then the new ones.
+@query("memory_table", f"""WITH {UPGRADED}, {EFFECT},
+upd AS (SELECT match_id AS id, arg_max(coalesce(merged_content, l2_content), (batch_id, fact_index)) FILTER (effect = 'MERGE') AS content,
+ arg_max(new_id, (batch_id, fact_index)) FILTER (effect = 'SUPERSEDE') AS superseded_by, count(*) FILTER (effect = 'SUPPORT') AS supports
+ FROM done WHERE effect IN ('MERGE', 'SUPERSEDE', 'SUPPORT', 'CONTRADICT') GROUP BY match_id)
+SELECT m.id::VARCHAR AS id, coalesce(u.content, r.l0_abstract, m.content) AS content, coalesce(r.l0_abstract, m.l0_abstract) AS l0_abstract,
+ round(CASE WHEN u.id IS NOT NULL THEN least(m.confidence + 0.1::DOUBLE * supports, greatest(m.confidence, 1)) WHEN r.id IS NOT NULL THEN least(1, greatest(r.quality_score, 0.1::DOUBLE)) ELSE m.confidence END, 6) AS confidence,
+ round(coalesce(r.importance, m.importance), 6) AS importance, coalesce(u.superseded_by, m.superseded_by::VARCHAR) AS superseded_by, version + (CASE WHEN u.id IS NOT NULL OR r.id IS NOT NULL THEN 1 ELSE 0 END) AS version
+ FROM memories m LEFT JOIN upd u USING (id) LEFT JOIN raised r ON r.id = m.id
+UNION ALL SELECT new_id, w.l0_abstract, w.l0_abstract, round(least(1, greatest(w.quality_score, 0.1::DOUBLE)), 6), round(w.importance, 6), NULL, 1 FROM done JOIN weighted w USING (batch_id, fact_index)
+ WHERE effect IN ('CREATE', 'SUPERSEDE', 'CONTEXTUALIZE', 'CONTRADICT')""")
+def memory_table(t):
+    facts, memories, candidates = planted(t)
+    facts = with_texts(facts)
+    raised = reconcile.upgraded_rows(facts, reconcile.exact_dedup(facts, memories, candidates), AS_OF)
+    done = applied(t)
+    whole = facts.withColumn("visibility", F.lit("global")).withColumn("owner_agent_id", F.lit("")).withColumn("project_path", F.lit(None).cast("string"))
+    inserts = reconcile.facts_to_memories(whole.join(done.inserts, ["batch_id", "fact_index"], "left_semi"), AS_OF)
+    table = plan.memory_table(t.memory, inserts, AS_OF, raised, done.updates)
+    return table.select("id", "content", "l0_abstract", F.round("confidence", 6).alias("confidence"), F.round("importance", 6).alias("importance"), "superseded_by", "version")
+
+
+@query("relation_table", f"""WITH {PREPARED}, {EFFECT} SELECT src_id::VARCHAR AS src_id, relation_type, target_id::VARCHAR AS target_id FROM memory_relations
+ UNION SELECT match_id::VARCHAR, 'supports', match_id::VARCHAR FROM done WHERE effect = 'SUPPORT'
+ UNION SELECT new_id, 'contextualizes', match_id::VARCHAR FROM done WHERE effect = 'CONTEXTUALIZE' UNION SELECT new_id, 'contradicts', match_id::VARCHAR FROM done WHERE effect = 'CONTRADICT'
+ UNION SELECT match_id::VARCHAR, 'contradicts', new_id FROM done WHERE effect = 'CONTRADICT'""")
+def relation_table(t):
+    return plan.relation_table(t.memory_relations, applied(t).edges)
+
+
 @query("category_action_rules", """WITH r(name, always_merge, append_only) AS (VALUES ('identity', TRUE, FALSE), ('emotional', FALSE, TRUE), ('work', FALSE, TRUE), ('decisions', FALSE, TRUE)),
 d AS (SELECT id, category, CASE id % 7 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'MERGE' WHEN 2 THEN 'SKIP' WHEN 3 THEN 'SUPERSEDE' WHEN 4 THEN 'SUPPORT' WHEN 5 THEN 'contradict' ELSE 'CONTEXTUALIZE' END AS action FROM memories)
 SELECT id, action, CASE WHEN append_only THEN upper(action) NOT IN ('CREATE', 'SKIP', 'MERGE') WHEN always_merge THEN upper(action) IN ('SUPERSEDE', 'CONTRADICT') ELSE FALSE END AS violates FROM d LEFT JOIN r ON name = category""")

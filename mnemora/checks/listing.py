@@ -112,6 +112,11 @@ def count_by_session(t):
     return filters.count_by_session(t.memory)
 
 
+@query("project_paths_all", "SELECT DISTINCT project_path FROM memories WHERE project_path <> ''")
+def project_paths_all(t):
+    return filters.project_paths(t.memory, None)
+
+
 @query("project_paths", "SELECT DISTINCT project_path FROM memories WHERE project_path <> '' ORDER BY project_path LIMIT 50")
 def project_paths(t):
     return filters.project_paths(t.memory)

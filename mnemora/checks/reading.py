@@ -22,6 +22,50 @@ def decode_memories(t):
         F.unix_seconds("created_at").alias("created_s"), F.size("relations").cast("bigint").alias("n_relations"))
 
 
+def stored_rows(t):
+    """Memories as they are stored, some JSON text broken, columns missing."""
+    return t.memory.select(
+        "id", "content", "space_id", F.to_json("tags").alias("tags"), F.when(F.col("id") % 5 == 0, "{broken").otherwise('[{"relation_type":"supports","target_id":"7"}]').alias("relations"),
+        F.when(F.col("id") % 3 == 0, F.col("importance")).alias("importance"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+
+
+@query("read_memories", """SELECT id, content, space_id, CASE WHEN id % 3 = 0 THEN importance ELSE 0.5::DOUBLE END AS importance, (SELECT count(*) FROM memory_tags g WHERE g.id = m.id) AS n_tags, created_s,
+ CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END::BIGINT AS n_relations, 'active' AS state FROM memories m""")
+def read_memories(t):
+    """Written by space and read back."""
+    folder = flows.work_folder(t.spark, "memories")
+    memories.write_memories(stored_rows(t), folder)
+    rows = memories.read_memories(t.spark, folder)
+    return rows.select("id", "content", F.coalesce("space_id", F.lit("")).alias("space_id"), "importance", F.size("tags").cast("bigint").alias("n_tags"),
+                       F.unix_seconds("created_at").alias("created_s"), F.size("relations").cast("bigint").alias("n_relations"), "state")
+
+
+@query("read_memories_of_space", "SELECT space_id, count(*) AS n, sum(length(content)) AS chars FROM memories WHERE space_id = 'team/t1' GROUP BY 1")
+def read_memories_of_space(t):
+    """One space: the scan reads its folder only."""
+    folder = flows.work_folder(t.spark, "memories")
+    memories.write_memories(stored_rows(t), folder)
+    rows = memories.read_memories(t.spark, folder).filter("space_id = 'team/t1'")
+    return rows.groupBy("space_id").agg(F.count("*").alias("n"), F.sum(F.char_length("content")).alias("chars"))
+
+
+@query("read_sessions", "SELECT session_id, conv_id, turn, role, content, agent_id, created_s FROM session_messages")
+def read_sessions(t):
+    folder = flows.work_folder(t.spark, "sessions")
+    t.session_messages.write.parquet(folder)
+    return memories.read_sessions(t.spark, folder)
+
+
+@query("stream_read_sessions", "SELECT session_id, conv_id, turn, role, content, agent_id, created_s FROM session_messages")
+def stream_read_sessions(t):
+    """Files that come one after another, two triggers."""
+    folder, sink = flows.work_folder(t.spark, "sessions"), flows.work_folder(t.spark, "read")
+    for part in (0, 1):
+        t.session_messages.filter(F.col("turn") % 2 == part).write.mode("append").parquet(folder)
+        rows = flows.drain(memories.read_sessions(t.spark, folder, stream=True), "append", folder=sink)
+    return rows
+
+
 @query("session_of", "SELECT conv_id, turn, content FROM session_messages WHERE session_id = 'sess-7'")
 def session_of(t):
     return memories.session_of(t.session_messages, "sess-7").select("conv_id", "turn", "content")
@@ -29,7 +73,11 @@ def session_of(t):
 
 @query("read_recall", "SELECT e.session_id, count(*) AS n, round(sum(score), 6) AS score FROM recall_events e JOIN recall_items i USING (event_id) GROUP BY 1")
 def read_recall(t):
-    return t.recall_events.join(t.recall_items, "event_id").groupBy("session_id").agg(
+    folder = flows.work_folder(t.spark, "recall")
+    t.recall_events.write.parquet(f"{folder}/events")
+    t.recall_items.write.parquet(f"{folder}/items")
+    events, items = memories.read_recall(t.spark, f"{folder}/events", f"{folder}/items")
+    return events.join(items, "event_id").groupBy("session_id").agg(
         F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
 
 

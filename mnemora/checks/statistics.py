@@ -25,6 +25,11 @@ def timeline(t):
 USAGE = """u AS (SELECT tag, count(*) AS usages, count(DISTINCT CASE WHEN space_id = '' THEN 'default' ELSE space_id END) AS spaces FROM memory_tags JOIN memories USING (id) GROUP BY tag)"""
 
 
+@query("tag_stats_all", f"WITH {USAGE} SELECT tag, usages, spaces FROM u")
+def tag_stats_all(t):
+    return stats.tag_stats(t.memory, None)
+
+
 @query("tag_stats", f"WITH {USAGE} SELECT tag, usages, spaces FROM u WHERE usages >= 40 ORDER BY usages DESC, tag LIMIT 10")
 def tag_stats(t):
     return stats.tag_stats(t.memory, 10, 40)

@@ -205,11 +205,10 @@ def count_by_session(memories: DataFrame) -> DataFrame:
     return memories.groupBy("session_id").agg(F.count("*").alias("n"))
 
 
-def project_paths(memories: DataFrame, limit: int = 50) -> DataFrame:
-    return (
-        memories.select("project_path").filter(F.col("project_path") != "")
-        .distinct().orderBy("project_path").limit(limit)
-    )
+def project_paths(memories: DataFrame, limit: int | None = 50) -> DataFrame:
+    """The first paths in order; with None all."""
+    paths = memories.select("project_path").filter(F.col("project_path") != "").distinct()
+    return paths if limit is None else paths.orderBy("project_path").limit(limit)
 
 
 def reembed_worklist(memories: DataFrame) -> DataFrame:

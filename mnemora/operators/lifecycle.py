@@ -168,8 +168,10 @@ def stale(memories: DataFrame, as_of, decay: Decay = Decay(), protected_access:
     )
 
 
-def cap_per_space(rows: DataFrame, cap: int = 50) -> DataFrame:
-    """At most ``cap`` rows of each space, lowest id first: the delete limit of one run."""
+def cap_per_space(rows: DataFrame, cap: int | None = 50) -> DataFrame:
+    """At most ``cap`` rows of each space, lowest id first: the delete limit of one run. With None all."""
+    if cap is None:
+        return rows
     order = Window.partitionBy("space_id").orderBy("id")
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap).drop("_n")
 

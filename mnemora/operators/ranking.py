@@ -67,9 +67,11 @@ def _until_overflow(df: DataFrame, by, order, size: Column, smallest: int, budge
     return df.withColumn("_used", F.sum(size).over(window)).filter(F.col("_used") <= budget).drop("_used")
 
 
-def select_recent(messages: DataFrame, count: int = 20, budget: int = 200_000) -> DataFrame:
-    """Newest messages of each conversation within a count and a byte budget; the newest always stays."""
+def select_recent(messages: DataFrame, count: int | None = 20, budget: int | None = 200_000) -> DataFrame:
+    """Newest messages of each conversation within a count and a byte budget (None: no bound); the newest always stays."""
     newest = top_n(messages, ["conv_id"], [F.desc("turn")], count)
+    if budget is None:
+        return newest
     window = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
     used, place = F.sum(F.octet_length("content")).over(window), F.count("*").over(window)
     return newest.withColumn("_fits", (used <= budget) | (place == 1)).filter("_fits").drop("_fits")

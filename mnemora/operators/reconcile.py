@@ -21,8 +21,9 @@ from .vectors import vector_topk
 PRESETS = {"balanced": (0.50, 0.65), "conservative": (0.58, 0.72), "high_recall": (0.34, 0.52)}
 
 
-def prepare_facts(facts: DataFrame, categories: DataFrame | None, aliases: DataFrame | None, per_batch: int = 15) -> DataFrame:
-    """Confidence 0 counts as 3; empty and unsure facts are dropped; category resolved, quality scored; first 15 per batch."""
+def prepare_facts(facts: DataFrame, categories: DataFrame | None, aliases: DataFrame | None, per_batch: int | None = 15) -> DataFrame:
+    """Confidence 0 counts as 3; empty and unsure facts are dropped; category resolved, quality scored; the first of each batch, all
+    with None."""
     sure = facts.withColumn(
         "llm_confidence", F.when(F.col("llm_confidence") == 0, 3).otherwise(F.col("llm_confidence"))
     ).filter((F.col("llm_confidence") >= 3) & (strip(F.col("l0_abstract")) != ""))
@@ -101,10 +102,10 @@ def fuzzy_pairs(facts: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def gather_existing(facts: DataFrame, memories: DataFrame, vectors: DataFrame, per_fact: int = 20,
-                    min_similarity: float = 0.3, per_batch: int = 50) -> DataFrame:
+                    min_similarity: float = 0.3, per_batch: int | None = 50) -> DataFrame:
     """(batch_id, memory_id, place): candidates of each batch, first come first kept.
 
-    Order: rows of the same session, then fact by fact the nearest vectors, then the best texts, all of the fact's tenant.
+    ``per_batch``: most rows of a session and of a batch, all with None. Order: rows of the same session, then fact by fact the nearest vectors, then the best texts, all of the fact's tenant.
     ``facts``: fact_id, tenant_id, batch_id, fact_index, session_id, l0_abstract, embedding, project_path (may be null).
     """
     own = ["tenant_id", "session_id"]
@@ -127,8 +128,9 @@ def gather_existing(facts: DataFrame, memories: DataFrame, vectors: DataFrame, p
         "batch_id", "memory_id", F.struct(F.col("fact_index").cast("bigint").alias("fact"), "leg", "n").alias("place"))
     once = first.unionByName(found).groupBy("batch_id", "memory_id").agg(F.min("place").alias("_first"))
     order = Window.partitionBy("batch_id").orderBy("_first", "memory_id")
-    return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_batch).select(
-        "batch_id", "memory_id", "place")
+    placed = once.withColumn("place", F.row_number().over(order))
+    kept = placed if per_batch is None else placed.filter(F.col("place") <= per_batch)
+    return kept.select("batch_id", "memory_id", "place")
 
 
 def exact_dedup(facts: DataFrame, memories: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -162,6 +164,17 @@ def exact_dedup(facts: DataFrame, memories: DataFrame, candidates: DataFrame) ->
     ).fillna("new", ["outcome"])
 
 
+def upgraded_rows(facts: DataFrame, outcome: DataFrame, as_of) -> DataFrame:
+    """What memories become that a more important fact replaces, one row per id. Each fact is held against the stored row, so of
+    several the last in order stands. ``outcome``: see ``exact_dedup``."""
+    chosen = outcome.filter("outcome = 'upgrade'").select("fact_id", "memory_id").join(facts, "fact_id")
+    last = top_n(chosen, ["memory_id"], [F.desc("batch_id"), F.desc("fact_index"), F.desc("fact_id")], 1)
+    return last.select(
+        F.col("memory_id").alias("id"), F.coalesce("source_text", "l0_abstract").alias("content"), "l0_abstract",
+        F.coalesce("l1_overview", "l0_abstract").alias("l1_overview"), "l2_content", "tags",
+        F.greatest(F.least("quality_score", F.lit(1.0)), F.lit(0.1)).alias("confidence"), "importance", times.moment(as_of).alias("updated_at"))
+
+
 def session_fast_merge(facts: DataFrame, memories: DataFrame, as_of, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(changed memories, remaining facts): a fact close to a memory of its session is merged into it by sections.
 

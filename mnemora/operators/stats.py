@@ -54,8 +54,10 @@ def tag_usage(memories: DataFrame) -> DataFrame:
     return per_space.groupBy("tag").agg(F.sum("n").alias("usages"), F.count("*").alias("spaces"))
 
 
-def tag_stats(memories: DataFrame, limit: int = 100, min_count: int = 1) -> DataFrame:
-    return tag_usage(memories).filter(F.col("usages") >= min_count).orderBy(F.desc("usages"), "tag").limit(limit)
+def tag_stats(memories: DataFrame, limit: int | None = 100, min_count: int = 1) -> DataFrame:
+    """The most used tags; with None all."""
+    used = tag_usage(memories).filter(F.col("usages") >= min_count)
+    return used if limit is None else used.orderBy(F.desc("usages"), "tag").limit(limit)
 
 
 def cross_space_tags(memories: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, graph, ranking, reconcile, session_memory
+from ..operators import chunking, graph, ranking, reconcile, session_memory, updates
 from ..operators.vectors import noise_similarity
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 
 @dataclass
@@ -62,10 +62,55 @@ def ingest(messages: DataFrame, stored_messages: DataFrame, facts: DataFrame, de
     inserts = reconcile.facts_to_memories(
         left.join(applied.inserts.select("batch_id", "fact_index"), ["batch_id", "fact_index"], "left_semi"), as_of)
     counts = scored.groupBy("hint").agg(F.count("*").alias("n"))
-    return Ingested(said, scored.filter("NOT admitted"), outcome.filter("outcome = 'upgrade'"), merged, inserts,
+    return Ingested(said, scored.filter("NOT admitted"), reconcile.upgraded_rows(admitted, outcome, as_of), merged, inserts,
                     applied.updates, applied.edges, counts)
 
 
+CHANGED = ("content", "l0_abstract", "l1_overview", "l2_content", "tags", "confidence", "importance", "superseded_by")
+
+
+def memory_table(memories: DataFrame, inserts: DataFrame, as_of, *changes: DataFrame) -> DataFrame:
+    """The table behind an ingest: ``memories`` with all ``changes`` by id, of which a later one stands column by column where it
+    has a value, and the inserts. Changed rows get version + 1 and a new update time.
+
+    Ids are strings then. Each of ``changes`` has one row per id and any of the columns ``CHANGED``; unknown ids are ignored.
+    Inserts replace rows of their ids, so ingesting a batch twice gives the table that once gives.
+    """
+    kinds = dict(memories.dtypes)
+    names = [c for c in CHANGED if c in kinds]
+    rows = None
+    for stage, change in enumerate(changes):
+        part = change.select(
+            F.col("id").cast("string").alias("id"), F.lit(stage).alias("_stage"),
+            *[(F.col(c) if c in change.columns else F.lit(None)).cast("string" if c == "superseded_by" else kinds[c]).alias(c) for c in names])
+        rows = part if rows is None else rows.unionByName(part)
+    old = memories.withColumn("id", F.col("id").cast("string")).join(inserts.select(F.col("id").cast("string").alias("id")), "id", "left_anti")
+    if "superseded_by" in names:
+        old = old.withColumn("superseded_by", F.col("superseded_by").cast("string"))
+    if rows is not None:
+        last = rows.groupBy("id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_stage"))).alias(f"_{c}") for c in names])
+        joined = old.join(last.withColumn("_changed", F.lit(True)), "id", "left")
+        merged = joined.withColumns({c: F.coalesce(f"_{c}", c) for c in names})
+        old = updates.touched(merged, F.col("_changed").isNotNull(), as_of).drop("_changed", *[f"_{c}" for c in names])
+    made = inserts.select(*[(F.col(c) if c in inserts.columns else F.lit(None)).cast(dict(old.dtypes)[c]).alias(c) for c in old.columns])
+    return old.unionByName(made)
+
+
+def relation_table(relations: DataFrame, edges: DataFrame) -> DataFrame:
+    """Relations with the new edges, each (src_id, relation_type, target_id) once. Ids are strings then."""
+    columns = ["src_id", "relation_type", "target_id"]
+    both = [df.select(F.col("src_id").cast("string").alias("src_id"), "relation_type", F.col("target_id").cast("string").alias("target_id"))
+            for df in (relations, edges)]
+    return both[0].unionByName(both[1]).dropDuplicates(columns)
+
+
+def commit(ingested: Ingested, memories: DataFrame, relations: DataFrame, folder: str, batch_id: str, as_of) -> tuple[DataFrame, DataFrame]:
+    """(memories, relations) behind an ingest, written below ``folder`` under the batch's id: a batch that runs again replaces what
+    it wrote. The next ingest reads them."""
+    table = memory_table(memories, ingested.inserts, as_of, ingested.upgrades, ingested.merged, ingested.updates)
+    return stored(table, "memories", f"{folder}/{batch_id}"), stored(relation_table(relations, ingested.edges), "relations", f"{folder}/{batch_id}")
+
+
 def import_batch(files: DataFrame, stored: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(import rows, counts). ``files``: task_id, file_no, text, strategy. ``stored``: content_hash of earlier imports.
 
