@@ -77,7 +77,7 @@ SELECT conv_id * 100 + turn AS fact_id, conv_id AS batch_id, turn AS fact_index,
   CASE conv_id % 4 WHEN 0 THEN 'likes' WHEN 1 THEN ' Project ' WHEN 2 THEN 'decisions' ELSE 'unlisted' END AS category,
   CAST(turn % 6 AS INT) AS llm_confidence, concat('tenant-', CAST(conv_id % 3 AS STRING)) AS tenant_id,
   concat('sess-', CAST(conv_id % 40 AS STRING)) AS session_id,
-  (conv_id * 11 + turn) % (SELECT count(*) FROM embeddings) AS vec_id FROM conversations WHERE role <> 'system'""",
+  (conv_id * 11 + turn) % (SELECT count(*) FROM embeddings) AS vec_id FROM conversations""",
     "decisions": """
 SELECT batch_id, fact_index, fact_id,
   CASE fact_id % 8 WHEN 0 THEN 'create' WHEN 1 THEN 'MERGE' WHEN 2 THEN 'SKIP' WHEN 3 THEN 'SUPERSEDE'
@@ -113,7 +113,7 @@ SELECT event_id, concat('sess-', CAST(user_id AS STRING)) AS session_id,
   concat('q', CAST(event_id AS STRING)) AS query_text, concat('tenant-', CAST(user_id % 3 AS STRING)) AS tenant_id, ts FROM events""",
     "recall_items": """
 SELECT event_id * 2 AS item_id, event_id, (event_id * 3) % (SELECT count(*) FROM documents) AS memory_id,
-  CAST(event_id % 100 AS DOUBLE) / 100 AS score, event_id % 4 <> 0 AS is_kept FROM events WHERE event_type <> 'error'
+  CAST(event_id % 100 AS DOUBLE) / 100 AS score, event_id % 4 <> 0 AS is_kept FROM events
 UNION ALL SELECT event_id * 2 + 1, event_id, (event_id * 7 + 1) % (SELECT count(*) FROM documents), CAST(event_id % 37 AS DOUBLE) / 100, TRUE FROM events WHERE event_type = 'view'""",
     "preferences": """
 SELECT doc_id AS id, concat('tenant-', CAST(doc_id % 3 AS STRING)) AS tenant_id,
