@@ -1,6 +1,7 @@
 """Licence scan by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences: behind ``. ! ? : ;`` and at line ends, unless the next line goes on in lower case. Normalised
+A text is cut into sentences: behind ``. ! ? : ;`` and at line ends, unless the line goes on: in lower case (indented or not), from
+capitals to capitals, with a quote or bracket, or with a word of ``CARRIED``. The colon of an SPDX line does not cut. Normalised
 (lower case, anything but letters and digits one blank), a sentence is looked up in a fixed catalogue of known licence
 sentences. What a document says is the sequence of their identifiers in order; ordered rules over such sequences name its
 licences. A rule of several sentences allows others between them; of the rules of one family the first that holds counts.
@@ -16,14 +17,15 @@ from .common import numbered, table
 # Names by which sentences refer to a licence, in the order licence: names.
 NAMES = {
     "MIT": ["mit license", "mit licence", "mit"],
-    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0", "apache 2 0 license"],
-    "GPL-3.0": ["gnu general public license version 3", "gnu gpl version 3", "gnu gpl v3", "gpl v3", "gplv3", "gnu general public license v3 0"],
-    "GPL-2.0": ["gnu general public license version 2", "gnu gpl version 2", "gnu gpl v2", "gpl v2", "gplv2"],
-    "LGPL-3.0": ["gnu lesser general public license version 3", "lgpl v3", "lgplv3"],
-    "AGPL-3.0": ["gnu affero general public license version 3", "agpl v3", "agplv3"],
+    "ISC": ["isc license", "isc"],
+    "Apache-2.0": ["apache license version 2 0", "apache license version 2 0 the license", "apache license 2 0", "apache 2 0", "apache 2 0 license"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu gpl version 3", "gnu gpl v3", "gpl v3", "gplv3", "gnu general public license v3 0", "gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu gpl version 2", "gnu gpl v2", "gpl v2", "gplv2", "gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"],
+    "LGPL-3.0": ["gnu lesser general public license version 3", "lgpl v3", "lgplv3", "lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"],
+    "AGPL-3.0": ["gnu affero general public license version 3", "agpl v3", "agplv3", "agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"],
     "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license v 2 0", "mpl 2 0"],
-    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license"],
-    "BSD-3-Clause": ["bsd 3 clause license", "new bsd license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license", "bsd 2 clause"],
+    "BSD-3-Clause": ["bsd 3 clause license", "new bsd license", "bsd 3 clause"],
     "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license"],
     "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
     "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
@@ -45,6 +47,11 @@ SENTENCES = {
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "apache-use": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
+    "gnu-gpl": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gnu-gpl-3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gnu-lgpl-3": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gnu-agpl-3": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gnu-either-2": "either version 2 of the license or at your option any later version",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
 }
 #: Families of ordered rules: (licence, sequence of identifiers).
@@ -54,10 +61,21 @@ RULES = [
      ("BSD-like", ["bsd-grant"])],
     [("Apache-2.0", ["ref:Apache-2.0", "apache-use", "apache-copy"]), ("Apache-2.0", ["ref:Apache-2.0"]), ("Apache-like", ["apache-use", "apache-copy"])],
     [("ISC", ["isc-grant"])],
+    [("GPL-3.0", ["gnu-gpl-3"])],
+    [("GPL-2.0", ["gnu-gpl", "gnu-either-2"]), ("GPL-like", ["gnu-gpl"])],
+    [("LGPL-3.0", ["gnu-lgpl-3"])],
+    [("AGPL-3.0", ["gnu-agpl-3"])],
     [("public-domain", ["public"])],
     [("all-rights-reserved", ["rights"])],
     *[[(name, [f"ref:{name}"])] for name in NAMES if name != "Apache-2.0"],
 ]
+#: Capitalised words that licence texts carry over a line end within a sentence.
+CARRIED = "Software|License|Licence|Apache|GNU|Foundation"
+#: Places where a line goes on, and the end of an SPDX identifier, as (pattern, what stays), in order; the same for both engines but for the sign of a group.
+JOINS = [
+    (r"\n[ \t]+([a-z])", " {1}"), (r"([Ss][Pp][Dd][Xx]-[Ll]icense-[Ii]dentifier):[ \t]*([^ \t\n]+)", "{1} {2}\u0001"), (r'([A-Z",])\n([A-Z][A-Z])', "{1} {2}"), (r'\n(["(][A-Za-z])', " {1}"),
+    (rf"([a-z,])\n((?:{CARRIED})\b)", "{1} {2}"),
+]
 #: Every known sentence holds one of these, so other sentences need no look-up.
 MARKS = "licen|under|permi|redistribut|rights reserved|public domain|warrant|endorse"
 
@@ -70,6 +88,8 @@ def catalogue() -> dict[str, str]:
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text, in order; empty ones stay as places."""
+    for pattern, kept in JOINS:
+        text = F.regexp_replace(text, pattern, kept.replace("{", "$").replace("}", ""))
     marked = F.regexp_replace(F.regexp_replace(text, r"\n(?![a-z])", "\u0001"), r"(?<=[.!?:;])\s+", "\u0001")
     cut = F.split(F.lower(marked), "\u0001", -1)
     return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
@@ -121,10 +141,13 @@ def _sql() -> str:
         return f"regexp_matches('|' || sentence_ids || '|', '{pattern}')"
 
     cases = ", ".join("CASE " + " ".join(f"WHEN {holds(rule)} THEN '{licence}'" for licence, rule in family) + " END" for family in RULES)
+    text = "text"
+    for pattern, kept in JOINS:
+        text = f"regexp_replace({text}, '{pattern}', '{kept.replace('{', chr(92)).replace('}', '')}', 'g')"
     return rf"""
 WITH known(sentence, sentence_id) AS (VALUES {values}),
 cut AS (
-  SELECT doc_id, string_split(lower(regexp_replace(regexp_replace(text, '\n([^a-z]|$)', chr(1) || '\1', 'g'), '([.!?:;])\s+', '\1' || chr(1), 'g')), chr(1)) AS parts
+  SELECT doc_id, string_split(lower(regexp_replace(regexp_replace({text}, '\n([^a-z]|$)', chr(1) || '\1', 'g'), '([.!?:;])\s+', '\1' || chr(1), 'g')), chr(1)) AS parts
   FROM documents),
 places AS (SELECT doc_id, unnest(range(len(parts))) AS place, unnest(parts) AS part FROM cut),
 found AS (

@@ -121,13 +121,18 @@ def _ranges(rows: pa.Table) -> pa.Table:
     """Word ranges of each document of a bucket, from rows (places of a segment, runs of its windows), joined where they meet."""
     found = [np.zeros((3, 0), np.int64)]
     for batch in rows.to_batches():
-        for i in range(batch.num_rows):
-            places, runs = batch["places"][i].values, batch["runs"][i].values
-            rid, doc, pos = (places.field(name).to_numpy().astype(np.int64) for name in ("rid", "doc", "pos"))
-            first, n, source = (runs.field(name).to_numpy().astype(np.int64) for name in ("first", "n", "source"))
-            at, run = np.nonzero(source[None, :] < doc[:, None])
-            begin = np.maximum(pos[at] - SIDE, 0) + first[run]
-            found.append(np.stack([rid[at], begin, begin + n[run] - 1 + WINDOW]))
+        places, runs = batch["places"], batch["runs"]
+        first_run = runs.offsets.to_numpy()[:-1] - runs.offsets[0].as_py()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+        rid, doc, pos = (places.flatten().field(name).to_numpy().astype(np.int64) for name in ("rid", "doc", "pos"))
+        first, n, source = (runs.flatten().field(name).to_numpy().astype(np.int64) for name in ("first", "n", "source"))
+        many = np.diff(runs.offsets.to_numpy())[row]  # every place meets every run of its row
+        at = np.repeat(np.arange(len(row)), many)
+        run = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + first_run[row[at]]
+        older = source[run] < doc[at]
+        at, run = at[older], run[older]
+        begin = np.maximum(pos[at] - SIDE, 0) + first[run]
+        found.append(np.stack([rid[at], begin, begin + n[run] - 1 + WINDOW]))
     rid, begin, end = np.concatenate(found, axis=1)
     order = np.lexsort((begin, rid))
     rid, begin, end = rid[order], begin[order], end[order]
@@ -136,9 +141,9 @@ def _ranges(rows: pa.Table) -> pa.Table:
     new = np.ones(len(rid), bool)
     new[1:] = (rid[1:] != rid[:-1]) | (begin[1:] > reach[:-1])
     start = np.flatnonzero(new)
-    last = np.append(start[1:], len(rid)) - 1
+    last = np.append(start, len(rid))[1:] - 1
     ranges = pa.StructArray.from_arrays(
-        [pa.array(begin[start], pa.int32()), pa.array(reach[last] if len(last) else last, pa.int32())], ["begin", "end"])
+        [pa.array(begin[start], pa.int32()), pa.array(reach[last], pa.int32())], ["begin", "end"])
     offsets = np.append(np.searchsorted(rid[start], docs), len(start))
     return pa.table({"rid": pa.array(docs), "ranges": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ranges)})
 

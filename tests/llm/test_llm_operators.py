@@ -449,3 +449,119 @@ def test_licences(spark):
 def test_every_known_sentence_has_a_mark():
     assert all(re.search(licenses.MARKS, s) or re.search(licenses.MARKS, f"x {s}") for s in licenses.catalogue())
     assert {i for family in licenses.RULES for _, rule in family for i in rule} == set(licenses.catalogue().values())
+
+
+def test_multi_sequence_traversal():
+    """The traversal meets every held cell within reach, each once, and skips others."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 16)) + 4 * rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = embedding_dedup.MultiIndex(*(embedding_dedup.codebook(h, 24) for h in embedding_dedup.halves(x)))
+    cells = index.cells(x)
+    held, radii = embedding_dedup.held_cells(cells, index.radii(x, cells))
+    found, counts = index.visits(x, held, radii)
+    a, b = (np.sqrt(d) for d in index.distances(x))
+    gap = np.maximum(a[:, held // 24] - radii[0], 0) ** 2 + np.maximum(b[:, held % 24] - radii[1], 0) ** 2
+    want = [held[row <= embedding_dedup.REACH**2].tolist() for row in gap]
+    got = [sorted(part.tolist()) for part in np.split(found, np.cumsum(counts)[:-1])]
+    assert got == want and counts.sum() < 0.5 * gap.size
+    seen = sum(len(row) for row, _ in index.traversal(x, held, radii))
+    assert counts.sum() <= seen < gap.size
+
+
+def test_vectors_of_another_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, []), (6, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(frame).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+
+
+def test_ranges_of_a_bucket():
+    rng = random.Random(3)
+    rows = [{
+        "bucket": 1,
+        "places": [{"rid": rng.randrange(50), "doc": rng.randrange(50), "pos": rng.randrange(300)} for _ in range(rng.randint(1, 4))],
+        "runs": [{"first": rng.randrange(30), "n": rng.randint(1, 6), "source": rng.randrange(50)} for _ in range(rng.randint(1, 3))],
+    } for _ in range(400)]
+    for part in (rows, rows[7:90], rows[:1], [r | {"places": [p | {"doc": 0} for p in r["places"]]} for r in rows[:9]]):
+        covered = {}
+        for r in part:
+            for p in r["places"]:
+                for u in r["runs"]:
+                    if u["source"] < p["doc"]:
+                        begin = max(p["pos"] - substring_dedup.SIDE, 0) + u["first"]
+                        covered.setdefault(p["rid"], set()).update(range(begin, begin + u["n"] - 1 + substring_dedup.WINDOW))
+        table = pa.Table.from_pylist(rows + part).slice(len(rows))
+        got = substring_dedup._ranges(table).to_pylist()
+        assert {x["rid"]: {j for a in x["ranges"] for j in range(a["begin"], a["end"])} for x in got} == covered
+        for x in got:
+            assert all(a["end"] < b["begin"] for a, b in zip(x["ranges"], x["ranges"][1:]))
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+APACHE = """Copyright 2019 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES_CLAUSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+GNU = """This program is free software{}
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+"""
+
+
+def test_licence_texts(spark):
+    cases = [
+        (MIT, "MIT"), (MIT.replace("\nSoftware is", " Software is"), "MIT"), (MIT[: MIT.index("THE SOFTWARE")], "MIT-like"), (APACHE, "Apache-2.0"),
+        (BSD, "BSD-2-Clause"), (BSD + NAMES_CLAUSE, "BSD-3-Clause"), (ISC, "ISC"),
+        (GNU.format(": you can redistribute it and/or modify", "", ",", 3), "GPL-3.0"),
+        (GNU.format("; you can redistribute it and/or modify", "", ";", 2), "GPL-2.0"),
+        (GNU.format(": you can redistribute it and/or modify", "Lesser ", ",", 3), "LGPL-3.0"),
+        (GNU.format(": you can redistribute it and/or modify", "Affero ", ",", 3), "AGPL-3.0"),
+        *[(f"# SPDX-License-Identifier: {name}\nimport os\n", name.removesuffix("-only").removesuffix("-or-later")) for name in (
+            "MIT", "Apache-2.0", "GPL-3.0-only", "GPL-2.0-or-later", "LGPL-3.0-or-later", "BSD-3-Clause", "ISC", "MPL-2.0", "CC0-1.0")],
+        ("Nothing to see\nHere is prose. The Software works", ""),
+    ]
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["licences"] for r in licenses.licences(frame).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for _, name in cases]
