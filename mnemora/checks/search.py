@@ -1,9 +1,8 @@
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from ..operators import graph, set_join, vectors
+from ..operators import graph, vectors
 from ..operators.text_search import text_topk
-from ..plans import recall, retrieval
+from ..plans import retrieval
 from .lifecycle import decay_sql
 from .registry import query
 from .views import AS_OF

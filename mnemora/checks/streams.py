@@ -33,6 +33,14 @@ def stream_dedup(t):
     return flows.drain(flows.stream_dedup_messages(twice), "append").select("content_hash")
 
 
+@query("stream_append_messages", "SELECT DISTINCT sha256(concat(session_id, role, content)) AS content_hash FROM session_messages")
+def stream_append_messages(t):
+    """Every message comes in two of three triggers."""
+    twice = t.session_messages.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    messages = in_parts(t, twice.withColumn("part", (F.col("turn") + F.col("copy")) % 3), place=F.col("part"))
+    return flows.drain(messages, "append", flows.append_new_messages(flows.work_folder(t.spark, "messages"))).select("content_hash")
+
+
 def gate_input(t):
     """Recall events as queries; similarity to the previous query from the event's props."""
     return t.events.select(

@@ -1,13 +1,10 @@
-"""Helpers of the task kernels: best rows per query, and dealing queries and rows into tasks of bounded size."""
+"""Helpers of the task kernels: filters of searches and the best rows of each query."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
@@ -116,27 +113,3 @@ class TopRows:
         return pa.RecordBatch.from_arrays(
             [names.take(pa.array(take)).cast(schema.field(0).type), pa.array(ids, schema.field(1).type),
              pa.array(scores, pa.float64())], schema=schema)
-
-
-def deal(queries: DataFrame, rows: DataFrame, n_blocks: int, n_cells: int) -> tuple[DataFrame, DataFrame]:
-    """Queries in blocks, rows in cells by a hash of their ids, both copied so that every (block, cell) can meet."""
-    def part(column: str, n: int):
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    def all_of(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    asked = queries.withColumn("_block", part("query_id", n_blocks)).select("*", all_of(n_cells).alias("_cell"))
-    given = rows.withColumn("_cell", part("memory_id", n_cells)).select("*", all_of(n_blocks).alias("_block"))
-    return asked, given
-
-
-def meet(asked: DataFrame, given: DataFrame, keys: list[str], kernel: Callable, out: T.StructType) -> DataFrame:
-    """``kernel(query table, row table) -> record batch`` for every block and cell."""
-    def run(block: pa.Table, cell: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([kernel(block, cell)])
-
-    # fresh attributes, since both sides may stem from the same rows
-    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
-    given = given.select(*[F.col(c).alias(c) for c in given.columns])
-    return asked.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(run, out)

@@ -38,8 +38,6 @@ DIGITS = 6             # similarities are compared after rounding, so ties do no
 SLACK = 2e-6           # of a bound, for that rounding
 LEAD = 4               # the bound of a product takes one in so many dimensions
 
-CELL = "struct<segment: bigint, shard: int, n: bigint, radius: double, centre: array<double>>"
-
 
 @dataclass
 class VectorIndex:

@@ -31,17 +31,22 @@ def stream_dedup_messages(messages: DataFrame, within: str = "1 day") -> DataFra
     return with_hash(messages).withWatermark("created_at", within).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def append_new_messages(batch: DataFrame, store: str) -> None:
-    """``foreachBatch`` body of the exact form: only hashes not stored yet are appended, whatever their age."""
-    spark = batch.sparkSession
-    fresh = with_hash(batch).dropDuplicates(["content_hash"])
-    try:
-        stored = spark.read.parquet(store).select("content_hash")
-    except Exception as error:  # first batch: no store yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = fresh.select("content_hash").limit(0)
-    fresh.join(stored.distinct(), "content_hash", "left_anti").write.mode("append").parquet(store)
+def append_new_messages(store: str):
+    """``foreachBatch`` body of the exact form: only messages whose hash no earlier batch has stored, whatever their age.
+
+    They go to ``store`` under the number of the batch, so a batch that runs again replaces itself.
+    """
+    def of_batch(messages: DataFrame, number: int) -> DataFrame:
+        spark = messages.sparkSession
+        fresh = with_hash(messages).dropDuplicates(["content_hash"])
+        if number:
+            known = spark.read.schema("content_hash string, batch int").parquet(store).filter(F.col("batch") < number)
+            fresh = fresh.join(known.select("content_hash").distinct(), "content_hash", "left_anti")
+        path = f"{store}/batch={number}"
+        fresh.write.mode("overwrite").parquet(path)
+        return spark.read.schema(fresh.schema).parquet(path)
+
+    return of_batch
 
 
 def stream_access_counts(hits: DataFrame) -> DataFrame:
