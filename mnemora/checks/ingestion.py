@@ -305,7 +305,7 @@ def extract_window(t):
     return session_memory.extract_window(t.session_messages, 900)
 
 
-@query("cross_session_tail", f"""WITH RECURSIVE s AS (SELECT query_id, mq.tenant_id, mq.project_path, e.vec_id, round({SIMILAR}, 6) AS score FROM memory_queries mq JOIN embeddings q ON q.vec_id = mq.query_vec_id JOIN vectors e ON TRUE),
+@query("cross_session_tail", f"""WITH RECURSIVE s AS (SELECT query_id * 10 + k AS query_id, concat('tenant-', k) AS tenant_id, mq.project_path, e.vec_id, round({SIMILAR}, 6) AS score FROM memory_queries mq CROSS JOIN unnest([0, 1, 2]) u(k) JOIN embeddings q ON q.vec_id = mq.query_vec_id JOIN vectors e ON TRUE),
 r AS (SELECT query_id, m.id, m.scope, m.source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, m.id) AS rn FROM s JOIN memories m USING (vec_id, tenant_id)
    WHERE s.project_path IS NULL OR m.project_path IS NULL OR m.visibility = 'private' OR m.project_path = s.project_path OR starts_with(m.project_path, s.project_path || '/') OR starts_with(s.project_path, m.project_path || '/')),
 b AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM r WHERE rn <= 20 AND score >= 0.5 AND scope <> 'private' AND source = 'session_ingest'),
@@ -313,7 +313,9 @@ nxt AS (SELECT src_id, min(target_id) AS target_id FROM memory_relations WHERE r
 walk AS (SELECT id, id AS place FROM memories UNION ALL SELECT walk.id, target_id FROM walk JOIN nxt ON src_id = place), tails AS (SELECT id, max(place) AS tail_id FROM walk GROUP BY id)
 SELECT query_id, id AS hit_id, score, tail_id FROM b JOIN tails USING (id) WHERE n = 1""")
 def cross_session_tail(t):
-    return session_memory.cross_session_tail(with_vectors(t).select("query_id", "tenant_id", "embedding", "project_path"), t.memory, t.memory_vectors, t.memory_relations, 0.1)
+    each = with_vectors(t).select("query_id", "embedding", "project_path", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    asked = each.select((F.col("query_id") * 10 + F.col("k")).alias("query_id"), F.concat(F.lit("tenant-"), "k").alias("tenant_id"), "embedding", "project_path")
+    return session_memory.cross_session_tail(asked, t.memory, t.memory_vectors, t.memory_relations, 0.1)
 
 
 @query("usable_messages", f"""WITH n AS (SELECT conv_id, turn, content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn, sum(strlen(content)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM session_messages)
