@@ -262,6 +262,7 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        chunks.forget()  # later stages use the worker again
 
     return documents.select("doc_id", "text").mapInArrow(
         released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 50_000
+KEEP = 300_000
 STOPS = (".", ",")
 
 
@@ -28,6 +28,11 @@ class Chunks(dict):
         self.code, self.kind = {2: "H", 4: "I"}[width], np.dtype(f"<u{width}")
         self.stops = self._ids(STOPS)
 
+    def forget(self) -> None:
+        """Drop what is remembered."""
+        self.clear()
+        self.old = {}
+
     def _ids(self, texts) -> list[bytes]:
         code = self.code
         return [array(code, ids).tobytes() for ids in self.encode(list(texts))]
