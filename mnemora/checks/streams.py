@@ -133,7 +133,7 @@ def stream_session_memory(t):
     """Three triggers of topics in order of their sessions' time; the last row of each memory."""
     flows.use_rocksdb(t.spark)
     stream = in_parts(t, topics(t), "topic_no")
-    rows = flows.drain(flows.stream_session_memory(stream, open_memories(t), AS_OF), "append", lambda batch, n: batch.withColumn("batch", F.lit(n)))
+    rows = flows.drain(flows.keyed_session_memory(stream, open_memories(t), AS_OF), "append", lambda batch, n: batch.withColumn("batch", F.lit(n)))
     return rows.groupBy("id").agg(F.max_by(F.struct("session_id", "kind", "content", "l0_abstract", "l1_overview", "l2_content", "tags", "parent_id"), "batch").alias("r")).select("id", "r.*")
 
 

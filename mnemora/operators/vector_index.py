@@ -97,7 +97,7 @@ def _segment(rows: pa.Table) -> pa.Table:
         "embeddings": blocks.one(rows.column("embedding"))})
 
 
-def vector_index(vectors: DataFrame, path: str | None = None, segment: int = SEGMENT) -> VectorIndex:
+def vector_index(vectors: DataFrame, path: str | None = None, segment: int = SEGMENT, most_centres: int = CENTRES) -> VectorIndex:
     """Index of ``vectors``: memory_id, embedding [, store, access_key, project_path, scope], of one length.
 
     Written below ``path``, from where ``read_index`` gets it again, or in the shared folder. Null vectors are left out; a null
@@ -109,7 +109,7 @@ def vector_index(vectors: DataFrame, path: str | None = None, segment: int = SEG
     rows = vectors.filter(F.col("embedding").isNotNull()).select("memory_id", "embedding", store.alias("store"), *own)
     held = rows.select("memory_id", "embedding").orderBy(F.xxhash64("memory_id")).limit(SAMPLE).toArrow()
     n = rows.count() if held.num_rows == SAMPLE else held.num_rows
-    centres = fitted_centres(unit_rows(held.column("embedding")), max(1, min(CENTRES, -(-n // segment))))
+    centres = fitted_centres(unit_rows(held.column("embedding")), max(1, min(most_centres, -(-n // segment))))
     placed = rows.mapInArrow(_homes(spark.sparkContext.broadcast(centres)), T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
     whole = F.sum("n").over(Window.partitionBy("store"))
     sizes = placed.groupBy("store", "cell").agg(F.count("*").alias("n")).select(

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import session_memory, sharing, stats, updates
 from ..operators.graph import with_hash
+from ..operators.ranking import top_n
 from ..session import shared_folder
 
 
@@ -66,6 +67,31 @@ def stream_auto_share(memories: DataFrame, spaces: DataFrame, members: DataFrame
     return of_batch
 
 
+def session_state(memories: DataFrame, log: str, before: int) -> DataFrame:
+    """Session memories as the batches below ``before`` left them: the last row of each id in the log, else the stored one."""
+    if before == 0:
+        return memories.withColumn("place", F.lit(-1).cast("bigint"))
+    logged = memories.sparkSession.read.parquet(log).filter(F.col("batch") < before)
+    last = top_n(logged, ["id"], [F.desc("batch")], 1)
+    kept = memories.withColumn("id", F.col("id").cast("string")).join(last.select("id"), "id", "left_anti")
+    return kept.withColumn("place", F.lit(-1).cast("bigint")).unionByName(
+        last.withColumn("created_at", F.lit(None).cast("timestamp")).select(*memories.columns, "place"))
+
+
+def stream_session_memory(memories: DataFrame, as_of, log: str):
+    """``foreachBatch`` body: a batch of topics folded onto the session memories as the batches before it left them. It reads the
+    log of all batches; ``keyed_session_memory`` does not.
+
+    Changed rows go to ``log`` under the number of the batch, so a batch that runs again replaces itself.
+    """
+    def of_batch(topics: DataFrame, number: int) -> DataFrame:
+        path = f"{log}/batch={number}"
+        session_memory.append_topics(session_state(memories, log, number), topics, as_of).write.mode("overwrite").parquet(path)
+        return memories.sparkSession.read.parquet(path)
+
+    return of_batch
+
+
 OPEN_ROW = "id string, content string, l0_abstract string, tags array<string>, parent_id string, place bigint"
 
 
@@ -109,7 +135,7 @@ def use_rocksdb(spark: SparkSession) -> None:
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def stream_session_memory(topics: DataFrame, memories: DataFrame, as_of, max_tags: int | None = 8) -> DataFrame:
+def keyed_session_memory(topics: DataFrame, memories: DataFrame, as_of, max_tags: int | None = 8) -> DataFrame:
     """Changed and new memories (see ``session_memory.append_topics``) of a stream of topics.
 
     The state of a session is its open memory of each kind, at first the stored one of ``memories``, so the cost of a batch

@@ -136,7 +136,7 @@ def test_neighbours(spark, segment, least):
     for i, v, store, _ in data:
         found = [(-round(float(unit(v) @ unit(w)), 6), j) for j, w, other, _ in data if other == store]
         want |= {(i, j, -s + 0.0) for s, j in sorted(found)[:4] if -s >= least}
-    got = {tuple(r) for r in vectors.similar_neighbours(rows, least, 4, segment).collect()}
+    got = {tuple(r) for r in vectors.similar_neighbours(rows, least, 4, cell_rows=segment).collect()}
     assert got == want
 
 

@@ -38,7 +38,7 @@ def test_stream_equals_batch(spark, tmp_path, max_tags):
     for a, b in ((0, 20), (20, 21), (21, 60), (60, 90)):
         spark.createDataFrame(rows[a:b], topics.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(topics.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    made = flows.drain(flows.stream_session_memory(stream, memories, AS_OF, max_tags), "append", lambda b, n: b.withColumn("batch", F.lit(n))).collect()
+    made = flows.drain(flows.keyed_session_memory(stream, memories, AS_OF, max_tags), "append", lambda b, n: b.withColumn("batch", F.lit(n))).collect()
     assert len({r["batch"] for r in made}) >= 3
     last = {r["id"]: r for r in sorted(made, key=lambda r: r["batch"])}
     want = session_memory.append_topics(memories, topics, AS_OF, max_tags).collect()
