@@ -2,7 +2,8 @@
 
 **Recall gate.** Whether a request passes depends only on the time of the last one that passed, and of equal times only the first
 request can pass. A key's distinct seconds are cut into chunks of ``CHUNK_S``; a chunk is a function from the last pass before
-it to the last pass in it, known from the few seconds at its start where a first pass can lie. Chunks of one key become such
+it to the last pass in it, known from the few seconds where a first pass can lie: those near the start of the chunk, and those
+up to an interval behind the pass that an earlier batch left within it. Chunks of one key become such
 functions in parallel, a walk over these summaries gives the last pass before every chunk, and chunks find their passes in
 parallel again. A key with a third of all rows is spread like any other.
 
@@ -62,13 +63,15 @@ def judge(last: int | None, ts: int, similarity: float | None) -> tuple[int | No
     return ts, "ok"
 
 
-def chunk_function(ts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seconds of a chunk that may be its first pass, and the last pass that follows from each. ``ts``: sorted, distinct."""
+def chunk_function(ts: np.ndarray, known: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Seconds of a chunk that may be its first pass, and the last pass that follows from each. ``ts``: sorted, distinct;
+    ``known``: the pass that an earlier batch left, which may lie within the chunk."""
     after = np.searchsorted(ts, ts + INTERVAL_S)
     last = np.where(after < len(ts), after, np.arange(len(ts)))
     while (last[last] != last).any():
         last = last[last]
-    first = int(np.searchsorted(ts, ts[0] - ts[0] % CHUNK_S + INTERVAL_S)) + 1
+    begins = int(ts[0] - ts[0] % CHUNK_S)
+    first = int(np.searchsorted(ts, max(begins, begins if known is None else known) + INTERVAL_S)) + 1
     return ts[:first], ts[last[:first]]
 
 
@@ -83,7 +86,7 @@ def chunk_passes(ts: np.ndarray, last: int | None) -> list[int]:
 
 def _summaries(batches):
     for batch in batches:
-        made = [chunk_function(np.asarray(x)) for x in batch.column("ts").to_pylist()]
+        made = [chunk_function(np.asarray(x), known) for x, known in zip(batch.column("ts").to_pylist(), batch.column("known").to_pylist())]
         yield pa.RecordBatch.from_arrays(
             [batch.column("gate_key"), batch.column("chunk"), *[pa.array([m[i].tolist() for m in made], pa.list_(pa.int64())) for i in (0, 1)],
              batch.column("known")], ["gate_key", "chunk", "first", "last", "known"])

@@ -67,6 +67,17 @@ def test_chunk_function():
             assert (passes[-1] if passes else None) == (int(last[at]) if at < len(first) else None)
 
 
+def test_gate_goes_on_within_a_chunk(spark, tmp_path):
+    """A batch ends within an hour; what passes in the rest of it counts for the hour that follows."""
+    seconds = [[0, 1795], [1801, 1826, 3590, 3601, 3620, 3625, 7190], [7205, 7221]]
+    rows = [("t", "s", ts, ts, 0.0) for part in seconds for ts in part]
+    body, at, got = gates.recall_gate(str(tmp_path)), 0, []
+    for number, part in enumerate(seconds):
+        got += map(tuple, body(frame(spark, rows[at : at + len(part)]), number).collect())
+        at += len(part)
+    assert sorted(got) == row_by_row(rows)[0]
+
+
 def noise(n=900, dims=6):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(n, dims)) + 2 * rng.normal(size=(8, dims))[rng.integers(0, 8, n)]
