@@ -23,8 +23,11 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def stream_table(spark: SparkSession, folder: str, table: str, like: DataFrame) -> DataFrame:
-    """File stream over the parquet files of one table."""
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    """File stream over the parquet files of one table, which is a file or a folder of files.
+
+    The path is a pattern, as Spark takes a plain one for the folder that partition columns lie below, and a file is none.
+    """
+    return spark.readStream.schema(like.schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def stream_dedup_messages(messages: DataFrame, within: str = "1 day") -> DataFrame:
