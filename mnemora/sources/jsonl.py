@@ -1,7 +1,7 @@
 """Spark data source ``jsonl_places``: lines of text files with their places, for tables and streams.
 
-Files are cut into ranges of ``splitBytes``; a range holds the lines that begin in it, so a large file is read by many tasks. A
-line comes with the byte at which it begins, the range and its number there. A stream takes whole lines as files grow: its
+Files are cut into ranges of ``splitBytes``; a range holds the lines that begin in it, so a large file is read by many tasks, and
+a task takes many small ranges, so its number does not grow with that of the files. A line comes with the byte at which it begins, the range and its number there. A stream takes whole lines as files grow: its
 offset is, for each file, the byte behind the last line feed, and lies in the query's checkpoint. Files are opened by
 ``pyarrow.fs``: local and mounted paths, and what it has file systems for.
 """
@@ -21,17 +21,25 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "file string, range_start bigint, nth bigint, start bigint, value string"
 SPLIT_BYTES = 32 << 20
+TASKS = 64             # of a table whose ranges are small
 READ_BYTES = 1 << 20
 BATCH_ROWS = 4096
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     file: str
     begin: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[Range]
+
+
 def opened(path: str) -> tuple[pa.fs.FileSystem, str]:
     """File system of a path or URI, and the path in it."""
     if "://" in path or path.startswith("file:"):
@@ -54,6 +62,19 @@ def ranges(files: dict[str, tuple[int, int]], split: int) -> list[Range]:
     return [Range(name, at, min(at + split, end)) for name, (begin, end) in sorted(files.items()) for at in range(begin, end, split)]
 
 
+def dealt(parts: list[Range]) -> list[Ranges]:
+    """Ranges in order, dealt to tasks of about SPLIT_BYTES, or of a ``TASKS``-th of all where that is less."""
+    most = min(SPLIT_BYTES, -(-sum(r.end - r.begin for r in parts) // TASKS))
+    out, size = [], most
+    for part in parts:
+        if size >= most:
+            out.append(Ranges([]))
+            size = 0
+        out[-1].ranges.append(part)
+        size += part.end - part.begin
+    return out
+
+
 def lines_of(path: str, part: Range) -> Iterator[tuple[int, bytes]]:
     """Start and bytes of the lines that begin in the range; a line feed ends a line, a return before it is not part of it."""
     with opened(path)[0].open_input_file(part.file) as source:
@@ -82,22 +103,20 @@ def lines_of(path: str, part: Range) -> Iterator[tuple[int, bytes]]:
                 at, held = at + len(held), b""  # only the place of the next line feed matters
 
 
-def batches(path: str, part: Range) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple[int, bytes]] = []
-    nth = 0
+def batches(path: str, parts: Ranges) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[str, int, int, int, str]] = []
 
     def made() -> pa.RecordBatch:
-        n = len(rows)
-        text = [line.decode("utf-8", "replace") for _, line in rows]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays(
-            [pa.array([part.file] * n), pa.array([part.begin] * n, pa.int64()), pa.array(range(nth, nth + n), pa.int64()),
-             pa.array([s for s, _ in rows], pa.int64()), pa.array(text)], ["file", "range_start", "nth", "start", "value"])
-
-    for row in lines_of(path, part):
-        rows.append(row)
-        if len(rows) == BATCH_ROWS:
-            yield made()
-            nth, rows = nth + len(rows), []
+            [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], ["file", "range_start", "nth", "start", "value"])
+
+    for part in parts.ranges:
+        for nth, (start, line) in enumerate(lines_of(path, part)):
+            rows.append((part.file, part.begin, nth, start, line.decode("utf-8", "replace")))
+            if len(rows) == BATCH_ROWS:
+                yield made()
+                rows = []
     if rows:
         yield made()
 
@@ -109,10 +128,10 @@ class _Options:
 
 
 class Reader(_Options, DataSourceReader):
-    def partitions(self) -> list[Range]:
-        return ranges({name: (0, size) for name, size in sizes(self.path, self.glob).items()}, self.split)
+    def partitions(self) -> list[Ranges]:
+        return dealt(ranges({name: (0, size) for name, size in sizes(self.path, self.glob).items()}, self.split))
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return batches(self.path, partition)
 
 
@@ -136,10 +155,10 @@ class StreamReader(_Options, DataSourceStreamReader):
                 end = begin
         return 0
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return ranges({name: (start.get(name, 0), to) for name, to in end.items() if to > start.get(name, 0)}, self.split)
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return dealt(ranges({name: (start.get(name, 0), to) for name, to in end.items() if to > start.get(name, 0)}, self.split))
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return batches(self.path, partition)
 
 

@@ -67,3 +67,16 @@ def test_stream_follows_growing_files(spark, tmp_path):
     cursors = spark.createDataFrame([("s1", "u1")], "session_id string, uuid string")
     assert sorted(r["uuid"] for r in transcripts.after_cursor(rows, cursors).collect()) == ["u2", "u3", "u7"]
     assert {r["session_id"]: r["uuid"] for r in transcripts.new_cursors(rows).collect()} == {"s1": "u3", "s2": "u7"}
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """The number of tasks does not grow with that of the files; ranges and places stay."""
+    want = []
+    for n in range(300):
+        data = content(n, n % 7)
+        (tmp_path / f"{n:03}.jsonl").write_bytes(data)
+        want += [(str(tmp_path / f"{n:03}.jsonl"), i, x.removesuffix(b"\r").decode()) for i, x in enumerate(data.split(b"\n")[:-1])]
+    rows = jsonl.read_lines(spark, str(tmp_path), splitBytes=100)
+    assert 1 < rows.rdd.getNumPartitions() <= jsonl.TASKS + 1
+    got = jsonl.numbered_lines(rows).select("file", "line_no", "value")
+    assert sorted(map(tuple, got.collect())) == want
