@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import times
-from ..functions.columns import strip
+from ..functions.columns import strip, two_digits
 from . import set_join
 from .ranking import pack_budget, top_n
 
@@ -65,7 +65,7 @@ def apply_induction(preferences: DataFrame, inducted: DataFrame, as_of) -> tuple
         stamp.alias("last_reinforced_at"))
     log = reinforced.select(
         "tenant_id", F.col("id").cast("string").alias("preference_id"), F.lit("reinforced").alias("action"),
-        F.format_string("confidence: %.2f→%.2f", "old_confidence", "confidence").alias("new_value")
+        F.format_string("confidence: %s→%s", two_digits(F.col("old_confidence")), two_digits(F.col("confidence"))).alias("new_value")
     ).unionByName(created.select("tenant_id", F.col("id").alias("preference_id"), F.lit("created").alias("action"), F.col("value").alias("new_value")))
     return reinforced, created, log
 
