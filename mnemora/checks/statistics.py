@@ -187,11 +187,11 @@ e AS (SELECT query_id, coalesce(results, 0) AS results, coalesce(results, 0) > 0
 
 
 def evaluated(t):
-    results = t.recall_items.join(t.memory.select(F.col("id").alias("memory_id"), "content"), "memory_id").select(
-        (F.col("event_id") % 100).alias("query_id"), F.col("item_id").alias("memory_id"), "score", "content")
+    results = t.recall_items.select(
+        (F.col("event_id") % 100).alias("query_id"), F.col("item_id").alias("memory_id"), "score", F.col("memory_id").alias("text_id"))
     wanted = t.events.select((F.col("event_id") % 110).alias("query_id")).distinct().select(
         "query_id", F.lit("QU").alias("should_contain"), F.lit("Password").alias("should_not_contain"))
-    return stats.retrieval_eval(results, wanted)
+    return stats.retrieval_eval(results, t.memory.select(F.col("id").alias("text_id"), "content"), wanted)
 
 
 @query("retrieval_eval", f"WITH {EXPECT} SELECT * FROM e")

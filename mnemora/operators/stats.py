@@ -233,12 +233,14 @@ def archive_names(archives: DataFrame) -> DataFrame:
         F.startswith(line, F.lit("name:"))).select("id", name.alias("name")).filter(F.col("name") != "")
 
 
-def retrieval_eval(results: DataFrame, expectations: DataFrame, k: int = 5) -> DataFrame:
+def retrieval_eval(results: DataFrame, texts: DataFrame, expectations: DataFrame, k: int = 5) -> DataFrame:
     """Per expectation: passed when the best ``k`` texts hold the wanted string and not the forbidden one.
 
-    ``results``: query_id, memory_id, score, content. ``expectations``: query_id, should_contain, should_not_contain.
+    ``results``: query_id, memory_id, score, text_id. ``texts``: text_id, content; results without a text do not count. Only the
+    best results meet their texts. ``expectations``: query_id, should_contain, should_not_contain.
     """
-    best = top_n(results, ["query_id"], [F.desc("score"), F.col("memory_id")], k)
+    known = results.join(texts.select("text_id"), "text_id", "left_semi")
+    best = top_n(known, ["query_id"], [F.desc("score"), F.col("memory_id")], k).join(texts, "text_id")
     texts = best.groupBy("query_id").agg(
         F.lower(F.array_join(F.transform(
             F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "memory_id", "content"))),

@@ -3,7 +3,17 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from mnemora.operators import reconcile
+from mnemora.operators import reconcile, stats
+
+
+def test_eval_joins_texts_behind_the_best(spark):
+    results = spark.createDataFrame([(1, n, n / 100, n % 3) for n in range(50)] + [(1, 99, 9.0, 7)], "query_id int, memory_id int, score double, text_id int")
+    texts = spark.createDataFrame([(0, "zero"), (1, "QUite"), (2, "two")], "text_id int, content string")
+    wanted = spark.createDataFrame([(1, "qu", "password"), (2, "qu", "")], "query_id int, should_contain string, should_not_contain string")
+    rows = stats.retrieval_eval(results, texts, wanted, 2)
+    assert sorted(rows.select("query_id", "results", "passed").collect()) == [(1, 2, True), (2, 0, False)]  # 49 and 48: QUite, zero
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan[plan.index("content"):]  # texts meet rows that the window has cut
 
 
 def test_admission_asks_and_searches_equal_vectors_once(spark, monkeypatch):
