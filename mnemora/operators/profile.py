@@ -48,9 +48,10 @@ def apply_induction(preferences: DataFrame, inducted: DataFrame, as_of) -> tuple
         return tokens.withColumn("set_key", set_join.set_key(F.col("tokens")))
 
     new, old = keyed(items), keyed(live)
-    close = set_join.similar_sets(set_join.distinct_sets(new, by), set_join.distinct_sets(old, by), by, 0.6)
-    best_of = old.groupBy(*by, F.col("set_key").alias("right_key")).agg(F.min(strongest).alias("_best"))
-    per_set = close.join(best_of, [*by, "right_key"]).groupBy(*by, F.col("left_key").alias("set_key")).agg(F.min("_best").alias("_best"))
+    order = ("_rank", "id")
+    ranked = old.withColumn("_rank", -F.col("confidence"))
+    close = set_join.similar_sets(set_join.distinct_sets(new, by), set_join.distinct_sets(ranked, by, order), by, 0.6, pick="first", order=order)
+    per_set = close.select(*by, F.col("left_key").alias("set_key"), F.struct("_rank", "id").alias("_best"))
     similar = new.join(per_set, [*by, "set_key"]).select("item_id", "_best")
     matched = exact.unionByName(similar).groupBy("item_id").agg(F.min("_best").alias("_best")).select(
         "item_id", F.col("_best.id").alias("preference_id"))

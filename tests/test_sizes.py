@@ -1,9 +1,11 @@
 """What operators move or hold: less than their inputs where the result needs less."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from mnemora.operators import reconcile, stats
+from mnemora.operators import reconcile, set_join, stats
 
 
 def test_eval_joins_texts_behind_the_best(spark):
@@ -39,3 +41,29 @@ def test_admission_asks_and_searches_equal_vectors_once(spark, monkeypatch):
     for n in range(30):
         idle = (1722470400 - 1700000000 - first[n % 2, n % 6] * 86400) // 86400
         assert abs(got[n]["recency"] - (1 - np.exp(-idle / 30))) < 1e-12
+
+
+def test_set_join_in_parts_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "PART", 16)
+    monkeypatch.setattr(set_join, "CELLS", 200)
+    rng = random.Random(5)
+    sets = [(n, f"g{min(n % 9, 3)}", sorted({f"w{rng.randrange(14 if n % 2 else 9)}" for _ in range(rng.randint(1, 9))})) for n in range(240)]
+    left, right = sets[:120], sets[120:]
+
+    def alike(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b))
+
+    def frame(rows, name):
+        return spark.createDataFrame(rows, f"{name} int, g string, tokens array<string>")
+
+    want = {}
+    for n, g, a in left:
+        near = sorted((-alike(a, b), m) for m, h, b in right if g == h and alike(a, b) > 0.6)
+        if near:
+            want[n] = (near[0][1], min(m for _, m in near))
+    best = set_join.best_match(frame(left, "left_id"), frame(right, "right_id"), ["g"], 0.6)
+    assert {r["left_id"]: r["right_id"] for r in best.collect()} == {n: w[0] for n, w in want.items()} and len(want) > 50
+    keyed = [frame(rows, "id").withColumn("set_key", set_join.set_key(F.col("tokens"))) for rows in (left, right)]
+    first = set_join.similar_sets(set_join.distinct_sets(keyed[0], ["g"]), set_join.distinct_sets(keyed[1], ["g"], ("id",)), ["g"], 0.6,
+                                  pick="first", order=("id",)).select("g", F.col("left_key").alias("set_key"), F.col("id").alias("hit"))
+    assert {r["id"]: r["hit"] for r in keyed[0].join(first, ["g", "set_key"]).collect()} == {n: w[1] for n, w in want.items()}
