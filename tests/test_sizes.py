@@ -5,7 +5,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from mnemora.operators import reconcile, set_join, stats
+from mnemora.operators import diversity, reconcile, set_join, stats
+from mnemora.plans import retrieval
 
 
 def test_eval_joins_texts_behind_the_best(spark):
@@ -67,3 +68,23 @@ def test_set_join_in_parts_equals_brute_force(spark, monkeypatch):
     first = set_join.similar_sets(set_join.distinct_sets(keyed[0], ["g"]), set_join.distinct_sets(keyed[1], ["g"], ("id",)), ["g"], 0.6,
                                   pick="first", order=("id",)).select("g", F.col("left_key").alias("set_key"), F.col("id").alias("hit"))
     assert {r["id"]: r["hit"] for r in keyed[0].join(first, ["g", "set_key"]).collect()} == {n: w[1] for n, w in want.items()}
+
+
+def test_diversity_holds_only_the_best_rows_until_queries_are_settled(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [" ".join(f"w{rng.randrange(40)}" for _ in range(8)) for _ in range(12)]
+    rows = [(q, m, rng.randrange(40) / 40, words[0] if q == 1 and m < 90 else rng.choice(words) + f" x{m % 5}") for q in (1, 2) for m in range(120)]
+    hits = spark.createDataFrame(rows, "query_id int, memory_id int, score double, content string")
+    want = []
+    for query in (1, 2):
+        line = sorted((-s, m, set(c.split())) for q, m, s, c in rows if q == query)
+        new = [(s / 2 if any(len(t & c) > 0.85 * len(t | c) for _, _, t in line[:n]) else s, m) for n, (s, m, c) in enumerate(line)]
+        want += [(query, m, -s) for s, m in sorted(new)[:6]]
+    monkeypatch.setattr(diversity, "GROUP", 64)
+    seen, judge = [], diversity.repeated
+    monkeypatch.setattr(retrieval, "repeated", lambda rows, t, most: (seen.append(most), judge(rows, t, most))[1])
+    texts = spark.createDataFrame([(q * 1000 + m, c) for q, m, s, c in rows], "memory_id int, content string")
+    own = hits.withColumn("memory_id", F.col("query_id") * 1000 + F.col("memory_id")).drop("content")
+    got = retrieval.diversity(own, retrieval.Settings(limit=6), texts, 8).collect()
+    assert sorted((r["query_id"], r["memory_id"] - 1000 * r["query_id"], r["score"]) for r in got) == sorted(want)
+    assert seen[0] == 8 and seen[-1] > 64 or seen == [8, 64]
