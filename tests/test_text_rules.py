@@ -58,8 +58,22 @@ def uses(rows, column, function: str) -> int:
 def test_a_message_is_cleaned_once(texts):
     """Lines and cleaned texts named twice were worked out twice, with all that lies before them."""
     assert uses(texts, lines(F.col("t")), "split(") == 1
+    assert uses(texts, tx.clean_message(F.col("t")), "split(") == 1
 
 
 def test_lines(spark):
     rows = spark.createDataFrame([("",), ("\n",), ("a\r\nb\n",), ("a\n\n",), (None,)], "t string").select(lines(F.col("t")))
     assert [r[0] for r in rows.collect()] == [[], [""], ["a", "b"], ["a", ""], None]
+
+
+CASES = [
+    ("<thinking>a\nb</thinking> c\r\n\r\n d ", "c\n d"), ("<analysis>open\nnext", "next"), ("< omoc: x</>y", "y"), ("<mem-context>q</mem-context>z", "z"),
+    ("[MEM-MEMORY]q[/MEM-MEMORY]z", "z"), ("a OH-MY-OPENCODE b", "a  b"), ("a\n <dcp x\n</dcf\nb", "a\nb"), ("a < b > c [d] M", "a < b > c [d] M"),
+    ("<thin<thinking>a</thinking>king>rest\nkept", "kept"), ("", ""), (" \n ", ""),
+]
+
+
+def test_clean_message(spark):
+    rows = spark.createDataFrame([(t, w) for t, w in CASES], "t string, w string")
+    got = rows.select(tx.clean_message(F.col("t")), "w").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
