@@ -59,6 +59,7 @@ def test_a_message_is_cleaned_once(texts):
     """Lines and cleaned texts named twice were worked out twice, with all that lies before them."""
     assert uses(texts, lines(F.col("t")), "split(") == 1
     assert uses(texts, tx.clean_message(F.col("t")), "split(") == 1
+    assert uses(texts, tx.strip_envelope(F.col("t")), "System:") == 2  # mark and pattern
 
 
 def test_lines(spark):
