@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mnemora.functions import scoring, text as tx
@@ -227,3 +228,15 @@ def test_clean_message_takes_out_blocks_of_any_host(spark):
     want = "ab\nc <plain-note>d</plain-note>"
     assert frame.select(tx.clean_message(F.col("t"))).first()[0] == want
     assert frame.select(tx.clean_message(F.col("t"), "other")).first()[0] == text
+
+
+def test_chunks_leave_a_task_in_small_batches():
+    """Chunks of a whole Arrow batch were held at once, as Python texts and again as Arrow."""
+    texts = ["é" * 1_500_000, "b\n" * 10, "c" * 700_000] * 4
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    made = list(chunking._chunks(80_000, 2_000, None)(iter([batch])))
+    assert max(b.nbytes for b in made) < 3 * chunking.BATCH_BYTES
+    rows = [(r["id"], r["chunk_no"], r["chunk"]) for b in made for r in b.to_pylist()]
+    assert rows == [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(chunking.overlapping(t, 80_000, 2_000))]
+    last = [r for b in chunking._chunks(80_000, 2_000, 2)(iter([batch])) for r in b.to_pylist()]
+    assert [r["chunk_no"] for r in last if r["id"] == 1] == [0] and sum(r["id"] == 0 for r in last) == 2
