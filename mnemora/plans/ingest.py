@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.columns import compute_once
 from ..operators import chunking, graph, ranking, reconcile, session_memory, updates
 from ..operators.vectors import noise_similarity
 from ..session import cut_lineage, stored
@@ -120,17 +121,18 @@ def import_batch(files: DataFrame, stored: DataFrame, force: bool = False) -> tu
     hashed = files.withColumn("content_hash", F.sha2("text", 256))
     known = stored.select("content_hash").distinct().withColumn("_known", F.lit(True))
     judged = hashed.join(known, "content_hash", "left").withColumn("rejected", F.col("_known").isNotNull() & F.lit(not force))
-    accepted = judged.filter("NOT rejected").withColumn(
-        "kind", F.when(F.col("strategy") != "auto", F.col("strategy")).otherwise(tx.content_kind(F.col("text"))))
-    accepted = accepted.withColumn("id", F.concat_ws("/", "task_id", F.col("file_no").cast("string")))
-    keep = ["id", "task_id", "file_no", "kind"]
-    long = accepted.filter(F.col("kind").isin("conversation", "large"))
-    cut = chunking.split_overlap(long.select("id", "text")).withColumnsRenamed({"chunk_no": "part_no", "chunk": "content"})
-    headed = chunking.sections(accepted.filter("kind = 'structured'").select("id", "text")).withColumnsRenamed(
-        {"section_no": "part_no", "section": "content"})
-    whole = accepted.filter(~F.col("kind").isin("conversation", "large", "structured")).select(
-        "id", F.lit(0).alias("part_no"), F.col("text").alias("content"))
-    parts = cut.unionByName(headed).unionByName(whole).join(accepted.select(*keep), "id").withColumn(
+    accepted = judged.filter("NOT rejected")
+    text = F.col("text")
+    kind = F.when(F.col("strategy") != "auto", F.col("strategy")).otherwise(tx.content_kind(text)).alias("kind")
+    # each text is judged once; only texts longer than a chunk may overlap, and which of them do is asked again
+    overlaps = F.col("kind").isin("conversation", "large")
+    long = (F.octet_length("text") > chunking.SIZE) & ~F.col("rejected")
+    cut = chunking.split_overlap(judged.filter(long).select("task_id", "file_no", "text", kind).filter(overlaps).select(
+        F.struct("task_id", "file_no", "kind").alias("id"), "text")).select("id.*", F.col("chunk_no").alias("part_no"), F.col("chunk").alias("content"))
+    pieces = F.when(F.col("kind") == "structured", tx.split_sections(text)).otherwise(F.array(text))
+    others = compute_once(accepted, kind=kind).filter(~(overlaps & (F.octet_length("text") > chunking.SIZE))).select(
+        "task_id", "file_no", "kind", F.posexplode(pieces).alias("part_no", "content"))
+    parts = others.unionByName(cut).withColumn("id", F.concat_ws("/", "task_id", F.col("file_no").cast("string"))).withColumn(
         "session_id", F.concat(F.lit("import-"), "task_id"))
     per_file = judged.groupBy("task_id").agg(
         F.count("*").alias("files"), F.count_if("rejected").alias("rejected"))

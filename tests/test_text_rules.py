@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import patterns as P
 from mnemora.functions import text as tx
+from mnemora.plans import ingest
 from mnemora.functions.columns import WHITE, lines, strip, strip_end, strip_start
 
 TEXTS = [
@@ -78,3 +79,26 @@ def test_clean_message(spark):
     rows = spark.createDataFrame([(t, w) for t, w in CASES], "t string, w string")
     got = rows.select(tx.clean_message(F.col("t")), "w").collect()
     assert [r[0] for r in got] == [r[1] for r in got]
+
+
+def test_content_kind_counts_words_to_500(spark):
+    words = ["w " * 499, " w" * 500, "w　w\n" * 249 + "w", "w\n" * 250 + "w ​" * 250, "# a", "a\n## b", "a\n### b", "x" * 80_001, "\nuser: a" * 3, ""]
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select(tx.content_kind(F.col("t")))
+    assert [r[0] for r in rows.collect()] == [
+        "note", "structured", "note", "structured", "structured", "structured", "note", "large", "conversation", "note"]
+
+
+def test_import_judges_a_text_once(spark):
+    """The kind of every text was worked out in each of four branches and its parts were joined to the texts again."""
+    files = spark.createDataFrame(
+        [("t", 1, "# a\nx\n# b\ny", "auto"), ("t", 2, "line\n" * 40_000, "auto"), ("t", 3, "plain", "auto"), ("t", 4, "known", "auto"),
+         ("t", 5, "# a\n# b", "note"), ("t", 6, "short", "conversation"), ("t", 7, "line\n" * 40_000, "note"), ("t", 8, "line\n" * 40_000, "conversation")],
+        "task_id string, file_no int, text string, strategy string")
+    known = files.filter("file_no = 4").select(F.sha2("text", 256).alias("content_hash"))
+    parts, counts = ingest.import_batch(files, known)
+    got = {(r["file_no"], r["kind"]): r["n"] for r in parts.groupBy("file_no", "kind").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, "structured"): 2, (2, "large"): 3, (3, "note"): 1, (5, "note"): 1, (6, "conversation"): 1, (7, "note"): 1, (8, "conversation"): 3}
+    assert set(parts.columns) == {"id", "part_no", "content", "task_id", "file_no", "kind", "session_id"}
+    assert counts.first().asDict() == {"task_id": "t", "files": 8, "rejected": 1, "parts": 12}
+    plan = parts._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_count") <= 3 and plan.count("Join") <= 3  # 10 and 6 before
