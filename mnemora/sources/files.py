@@ -43,9 +43,13 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files_to_memories(chunks: DataFrame) -> DataFrame:
-    """One session memory per chunk. ``chunks``: filename, chunk_no, chunk_type, content, tenant_id, agent_id."""
+    """One session memory per chunk. ``chunks``: filename, chunk_no, chunk_type, content, tenant_id, agent_id.
+
+    A file without a name counts as one whose name is empty; a missing part must not drop out of the id.
+    """
+    name, tenant = F.coalesce("filename", F.lit("")), F.coalesce("tenant_id", F.lit(""))
     return chunks.select(
-        F.sha2(F.concat_ws("/", F.lit("file"), "tenant_id", "filename", F.col("chunk_no").cast("string")), 256).alias("id"),
+        F.sha2(F.concat_ws("/", F.lit("file"), tenant, name, F.col("chunk_no").cast("string")), 256).alias("id"),
         "content", F.lit("entities").alias("category"), F.lit("session").alias("memory_type"), "tenant_id", "agent_id",
-        F.array(F.concat(F.lit("file:"), "filename"), F.concat(F.lit("chunk_type:"), "chunk_type")).alias("tags"),
-        F.concat(F.lit("file_upload:"), "filename").alias("source"))
+        F.array(F.concat(F.lit("file:"), name), F.concat(F.lit("chunk_type:"), "chunk_type")).alias("tags"),
+        F.concat(F.lit("file_upload:"), name).alias("source"))
