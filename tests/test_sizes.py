@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from mnemora.functions import text as tx
 from mnemora.operators import diversity, reconcile, set_join, stats
 from mnemora.plans import retrieval
 
@@ -88,3 +89,33 @@ def test_diversity_holds_only_the_best_rows_until_queries_are_settled(spark, mon
     got = retrieval.diversity(own, retrieval.Settings(limit=6), texts, 8).collect()
     assert sorted((r["query_id"], r["memory_id"] - 1000 * r["query_id"], r["score"]) for r in got) == sorted(want)
     assert seen[0] == 8 and seen[-1] > 64 or seen == [8, 64]
+
+
+def test_marks_rule_out_only_sets_that_are_not_similar(spark):
+    rng = random.Random(4)
+    base = [f"t{n}" for n in range(60)]
+    sets = [base[: rng.randint(1, 60)] + [f"x{rng.randrange(40)}" for _ in range(rng.randint(0, 9))] for _ in range(60)] + [
+        [f"{n}-{m}" for m in range(40)] for n in range(20)] + [[""], ["", "a"]]
+    rows = spark.createDataFrame([(n, sorted(set(s))) for n, s in enumerate(sets)], "id int, tokens array<string>").withColumn(
+        "marks", tx.set_marks(F.col("tokens")))
+    left, right = (rows.toDF("id" + s, "tokens" + s, "marks" + s) for s in "ab")
+    judged = left.crossJoin(right).select(
+        tx.may_be_similar(F.col("marksa"), F.col("marksb"), 0.6).alias("may"), (tx.jaccard(F.col("tokensa"), F.col("tokensb")) > 0.6).alias("is")).collect()
+    assert all(r["may"] for r in judged if r["is"]) and sum(r["is"] for r in judged) > 100
+    assert sum(r["may"] for r in judged) < 0.6 * len(judged)
+
+
+def test_dedup_marks_texts_once_and_compares_trigrams_of_few_pairs(spark):
+    """Sets were made again for every pair of a fact and a candidate, and texts that are no candidates were hashed."""
+    facts = spark.createDataFrame(
+        [(1, 1, "the cat sat on the mat today", 0.5), (2, 1, "nothing like it", 0.5), (3, 1, "The CAT", 0.5), (4, 2, "...", 0.5)],
+        "fact_id int, batch_id int, l0_abstract string, importance double").withColumn("source_text", F.lit(None).cast("string"))
+    memories = spark.createDataFrame(
+        [(10, "the cat sat on the mat todax", "a", 0.9), (11, "the cat sat on the mat toda", "b", 0.1), (12, "x", "Nothing, like it!", 0.1), (13, "!!", "c", 0.9),
+         (14, "y", "z", 0.1)], "id int, l0_abstract string, content string, importance double")
+    candidates = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 13, 1)], "batch_id int, memory_id int, place int")
+    made = reconcile.exact_dedup(facts, memories, candidates)
+    got = {r["fact_id"]: (r["tier"], r["memory_id"], r["outcome"]) for r in made.collect()}
+    assert got == {1: (2, 11, "upgrade"), 2: (1, 12, "upgrade"), 3: (2, 10, "skip"), 4: (3, 13, "skip")}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "bit_count" in plan
