@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from mnemora import session
 from mnemora.functions import text as tx
 from mnemora.operators import diversity, reconcile, set_join, stats
 from mnemora.plans import retrieval
@@ -119,3 +121,12 @@ def test_dedup_marks_texts_once_and_compares_trigrams_of_few_pairs(spark):
     assert got == {1: (2, 11, "upgrade"), 2: (1, 12, "upgrade"), 3: (2, 10, "skip"), 4: (3, 13, "skip")}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "bit_count" in plan
+
+
+def test_stored_tables_of_large_rows_have_small_row_groups(spark):
+    """Spark's reader holds a row group of few rows as a whole; segments of an index came in groups of as many rows as a task had."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda n: F.sha2(F.concat_ws("/", "id", n), 256)), "")
+    made = session.stored(spark.range(60, numPartitions=1).select("id", F.array(text.cast("binary")).alias("x")), "wide")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made.inputFiles()]
+    groups = [f.row_group(n).num_rows for f in files for n in range(f.num_row_groups)]
+    assert sum(groups) == 60 and max(groups) <= 40
